@@ -21,45 +21,50 @@ def _keys(text: Column) -> list[Column]:
     return [F.unhex(F.sha2(text, 256)).alias("digest"), F.length(text).alias("length"), F.xxhash64(text).alias("check")]
 
 
-def _merge(runs: DataFrame) -> DataFrame:
+def _merge(runs: DataFrame, key: list[str]) -> DataFrame:
     """One sorted run per run number: each key once, with its smallest (missing id last, id, row) and its rows."""
-    merged = runs.groupBy("run", *KEY).agg(F.min("first").alias("first"), F.sum("rows").alias("rows"))
-    return written(merged.sortWithinPartitions("run", "digest"), "run")
+    merged = runs.groupBy("run", *key).agg(F.min("first").alias("first"), F.sum("rows").alias("rows"))
+    return written(merged.sortWithinPartitions("run", key[0]), "run")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Group rows whose normalised texts are equal; one row of each group stays.
+def tree_merge(keyed: DataFrame, key: list[str]) -> DataFrame:
+    """Add `keep` (none, id, row of the smallest id) and `group_size` to each row of (id, *key).
 
     Rows are dealt to RUNS leaf runs by a hash of their id. In each round, FAN_IN runs are exchanged and
-    merged into one; every level keeps a digest's smallest id, and joins two entries only if SHA-256,
-    length and a second hash of another family all agree (the verification). The results then go down
-    the same tree, so that the rows of a huge group are joined in RUNS separate keys, never in one.
-
-    Returns one row per input row: id, keep_id, group_size, kept, text_sha256. Null and empty texts are
-    equal; a null id is larger than any other; of repeated rows with the smallest id exactly one stays;
-    an empty table gives an empty result; other columns of the input are ignored.
+    merged into one, keeping the smallest id of a key at every level. The results then go down the same
+    tree, so that the rows of a huge group are joined under RUNS separate keys, never in one.
     """
-    text = normalised(F.col(text_col))
     rows = written(
-        docs.select(F.col(id_col).alias("id"), text.alias("text"))
-        .select("id", *_keys(F.col("text")))
-        .withColumn("row", F.monotonically_increasing_id())
-        .withColumn("run", F.pmod(F.xxhash64("id"), F.lit(RUNS)).cast("int")),
-        "digests",
+        keyed.withColumn("row", F.monotonically_increasing_id()).withColumn("run", F.pmod(F.xxhash64("id"), F.lit(RUNS)).cast("int")), "rows"
     )
-    levels = [_merge(rows.select("run", *KEY, F.struct(F.col("id").isNull().alias("none"), "id", "row").alias("first"), F.lit(1).cast("long").alias("rows")))]
+    levels = [_merge(rows.select("run", *key, F.struct(F.col("id").isNull().alias("none"), "id", "row").alias("first"), F.lit(1).cast("long").alias("rows")), key)]
     width = RUNS
     while width > 1:
         width = -(-width // FAN_IN)
-        levels.append(_merge(levels[-1].withColumn("run", (F.col("run") / FAN_IN).cast("int"))))
-    found = levels.pop().select("run", *KEY, F.col("first").alias("keep"), F.col("rows").alias("group_size"))
+        levels.append(_merge(levels[-1].withColumn("run", (F.col("run") / FAN_IN).cast("int")), key))
+    found = levels.pop().select("run", *key, F.col("first").alias("keep"), F.col("rows").alias("group_size"))
     for level in reversed(levels):
         found = (
-            level.select(F.col("run").alias("leaf"), (F.col("run") / FAN_IN).cast("int").alias("run"), *KEY)
-            .join(found.hint("merge"), ["run", *KEY])
-            .select(F.col("leaf").alias("run"), *KEY, "keep", "group_size")
+            level.select(F.col("run").alias("leaf"), (F.col("run") / FAN_IN).cast("int").alias("run"), *key)
+            .join(found.hint("merge"), ["run", *key])
+            .select(F.col("leaf").alias("run"), *key, "keep", "group_size")
         )
-    return rows.join(found.hint("merge"), ["run", *KEY]).select(
+    return rows.join(found.hint("merge"), ["run", *key])
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Group rows whose normalised texts are equal; one row of each group stays.
+
+    Digests are merged up a tree of sorted runs (tree_merge); two entries merge only if SHA-256, length
+    and a second hash of another family all agree, which is checked at every level.
+
+    Returns one row per input row: id, keep_id, group_size, kept, text_sha256. Null and empty texts are
+    equal; a null id is larger than any other; of repeated rows with the smallest id exactly one stays;
+    an empty table gives an empty result; other columns of the input are ignored.
+    """
+    text = normalised(F.col(text_col))
+    keyed = docs.select(F.col(id_col).alias("id"), text.alias("text")).select("id", *_keys(F.col("text")))
+    return tree_merge(keyed, KEY).select(
         F.col("id").alias(id_col),
         F.col("keep.id").alias("keep_id"),
         "group_size",
