@@ -12,6 +12,13 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words removed as repeats of an earlier 20-word window, and a digest of what is kept."""
+    from graphloom.llm.substring_dedup import substring_dedup
+
+    return substring_dedup(_docs(spark, sf_dir), 20).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of each document for a mix by source weights."""
     from graphloom.llm.mixing import mix_to_weights
@@ -50,6 +57,21 @@ FROM t JOIN g ON t.norm = g.norm
 """
 
 
+OP2_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, ws FROM w),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS seq FROM p WHERE i + 19 <= len(ws)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY seq ORDER BY doc_id, i) AS k FROM win) WHERE k > 1),
+c AS (SELECT DISTINCT doc_id, i + j AS i FROM r, range(0, 20) AS t(j)),
+g AS (SELECT p.doc_id, count(c.i) AS n_removed, coalesce(string_agg(CASE WHEN c.i IS NULL THEN p.ws[p.i] END, ' ' ORDER BY p.i), '') AS kept
+  FROM p LEFT JOIN c ON c.doc_id = p.doc_id AND c.i = p.i GROUP BY p.doc_id)
+SELECT w.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, CAST(coalesce(g.n_removed, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(g.kept, '')) AS kept_sha256
+FROM w LEFT JOIN g ON g.doc_id = w.doc_id
+"""
+
+
 OP10_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -72,9 +94,9 @@ FROM documents t LEFT JOIN n ON n.doc_id = t.doc_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name -> function of (spark, sf_dir)."""
-    return {f.__name__: f for f in (op3_mixing, op6_exact_dedup, op9_bpe, op10_ngram_join)}
+    return {f.__name__: f for f in (op2_substring_dedup, op3_mixing, op6_exact_dedup, op9_bpe, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {"op6_exact_dedup": OP6_SQL, "op10_ngram_join": OP10_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op6_exact_dedup": OP6_SQL, "op10_ngram_join": OP10_SQL}
