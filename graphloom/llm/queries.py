@@ -12,6 +12,13 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of each text, of its edited form, and their likeness."""
+    from graphloom.llm.fingerprint import fingerprints
+
+    return fingerprints(_docs(spark, sf_dir))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words removed as repeats of an earlier 20-word window, and a digest of what is kept."""
     from graphloom.llm.substring_dedup import substring_dedup
@@ -26,6 +33,13 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_to_weights(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of each text."""
+    from graphloom.llm.language import identify
+
+    return identify(_docs(spark, sf_dir))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal normalised texts."""
     from graphloom.llm.exact_dedup import exact_dedup
@@ -94,7 +108,7 @@ FROM documents t LEFT JOIN n ON n.doc_id = t.doc_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name -> function of (spark, sf_dir)."""
-    return {f.__name__: f for f in (op2_substring_dedup, op3_mixing, op6_exact_dedup, op9_bpe, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_fingerprint, op2_substring_dedup, op3_mixing, op5_language, op6_exact_dedup, op9_bpe, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
