@@ -19,7 +19,7 @@ HASHES = 3
 #: A paragraph ends at a line break or a sentence end; longer ones also at a word that its own hash chooses.
 _PARAGRAPH = regex.compile(r"[^\n]*?(?:[.!?]+(?=\s)|\n|\Z)", regex.V1)
 #: Words from which on a paragraph may be cut, and one word in how many cuts it.
-LONG, CUT = 24, 8
+LONG, CUT = 10, 4
 
 
 def paragraphs(text: str) -> list[str]:
@@ -108,10 +108,9 @@ def difference(a: set[int], b: set[int], cells: int = CELLS) -> tuple[set[int],
 
 
 def likeness(a: set[int], b: set[int]) -> float:
-    """Share of all digests that both have, from the recovered difference; 1.0 for two empty texts."""
+    """Share of both texts' digests that the other has too, from the recovered difference; 1.0 for two empty texts."""
     x, y = difference(a, b)
-    common = len(a) - len(x)
-    return common / (common + len(x) + len(y)) if a or b else 1.0
+    return 1 - (len(x) + len(y)) / (len(a) + len(b)) if a or b else 1.0
 
 
 def fingerprint(keys: set[int]) -> str:
