@@ -47,6 +47,20 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_docs(spark, sf_dir))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight of each document and whether the resampling selects it."""
+    from graphloom.llm.quality import resample
+
+    return resample(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of each page."""
+    from graphloom.llm.html_text import extract
+
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and of the decoded text."""
     import public_tokenizers
@@ -108,7 +122,7 @@ FROM documents t LEFT JOIN n ON n.doc_id = t.doc_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name -> function of (spark, sf_dir)."""
-    return {f.__name__: f for f in (op1_fingerprint, op2_substring_dedup, op3_mixing, op5_language, op6_exact_dedup, op9_bpe, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_fingerprint, op2_substring_dedup, op3_mixing, op5_language, op6_exact_dedup, op7_quality, op8_html_text, op9_bpe, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
