@@ -33,6 +33,13 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_to_weights(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of personal data in each text."""
+    from graphloom.llm.pii import find_pii
+
+    return find_pii(_docs(spark, sf_dir))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of each text."""
     from graphloom.llm.language import identify
@@ -122,7 +129,7 @@ FROM documents t LEFT JOIN n ON n.doc_id = t.doc_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name -> function of (spark, sf_dir)."""
-    return {f.__name__: f for f in (op1_fingerprint, op2_substring_dedup, op3_mixing, op5_language, op6_exact_dedup, op7_quality, op8_html_text, op9_bpe, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_fingerprint, op2_substring_dedup, op3_mixing, op4_pii, op5_language, op6_exact_dedup, op7_quality, op8_html_text, op9_bpe, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
