@@ -1 +1,4 @@
+"""Named queries over the source tables; importing the modules registers them."""
 
+from graphloom.plans import graph_queries, inference_queries, source_queries, text_queries, view_queries  # noqa: F401
+from graphloom.plans.registry import ORACLES, QUERIES  # noqa: F401
