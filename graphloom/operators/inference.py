@@ -92,7 +92,8 @@ def rule_inverse(facts: DataFrame, inverse: DataFrame) -> DataFrame:
 
 def rule_chain(left: DataFrame, right: DataFrame, chain: DataFrame) -> DataFrame:
     """x p1 y, y p2 z: x p z."""
-    a = left.where("o_kind = 'iri'").join(F.broadcast(chain), F.col("p") == F.col("p1")).select("s", F.col("o").alias("y"), "p2", chain["p"].alias("q"))
+    axioms = chain.select(F.col("p").alias("q"), F.col("p1"), "p2")
+    a = left.where("o_kind = 'iri'").join(F.broadcast(axioms), F.col("p") == F.col("p1")).select("s", F.col("o").alias("y"), "p2", "q")
     b = right.select(F.col("s").alias("y"), F.col("p").alias("p2"), "o", "o_kind")
     return a.join(b, ["y", "p2"]).select("s", F.col("q").alias("p"), "o", "o_kind")
 
