@@ -36,6 +36,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def drop_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """The rows of docs whose id is not among those of gone (one written column; null counts as an id)."""
+    name = fresh(docs, "_gone")
+    return sized_join(docs, gone.toDF(name), F.col(id_col).eqNullSafe(F.col(name)), "left_anti")
+
+
 def sized_join(left: DataFrame, right: DataFrame, on, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join with a written right side of fixed-width rows: broadcast if its counted rows are few, else sort-merge."""
     few = right.count() <= rows

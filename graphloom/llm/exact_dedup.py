@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import SPACE, sized_join, written
+from graphloom.llm.common import SPACE, fresh, sized_join, written
 
 #: Leaf runs, and runs that one merge of a round takes.
 RUNS, FAN_IN = 64, 8
@@ -77,9 +77,10 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The rows of docs that exact_dedup keeps, with all their columns."""
     out = written(exact_dedup(docs, id_col, text_col).where(~F.col("kept")), "gone")
     repeat = F.col(id_col).eqNullSafe(F.col("keep_id"))  # the kept row's own id: the same row once more
-    gone = out.where(~repeat).select(F.col(id_col).alias("_id"), F.unhex("text_sha256").alias("_gone")).distinct()
-    tagged = docs.withColumn("_digest", F.unhex(F.sha2(normalised(F.col(text_col)), 256)))
-    kept = sized_join(tagged, gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_gone")), "left_anti")
+    key, id_, digest = fresh(docs, "_digest"), fresh(docs, "_id"), fresh(docs, "_same")
+    gone = out.where(~repeat).select(F.col(id_col).alias(id_), F.unhex("text_sha256").alias(digest)).distinct()
+    tagged = docs.withColumn(key, F.unhex(F.sha2(normalised(F.col(text_col)), 256)))
+    kept = sized_join(tagged, gone, F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(key) == F.col(digest)), "left_anti")
     if not out.where(repeat).isEmpty():
-        kept = kept.dropDuplicates([id_col, "_digest"])
-    return kept.drop("_digest")
+        kept = kept.dropDuplicates([id_col, key])
+    return kept.drop(key)
