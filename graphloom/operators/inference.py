@@ -34,8 +34,8 @@ def example_ontology(spark: SparkSession) -> Ontology:
     """An ontology of one axiom of each kind for the derived graph."""
     make = spark.createDataFrame
     return Ontology(
-        make([("kg:FootballPlayer", "kg:Athlete"), ("kg:Athlete", "kg:Person"), ("kg:Person", "dbo:Agent"), ("kg:NationalTeamPlayer", "kg:FootballPlayer"),
-              ("kg:FootballClub", "kg:Team"), ("kg:NationalTeam", "kg:Team"), ("kg:Team", "dbo:Agent"), ("kg:FormerProvince", "kg:Province"), ("kg:Province", "kg:Place"),
+        make([("kg:FootballPlayer", "kg:Athlete"), ("kg:Athlete", "kg:Person"), ("kg:Person", "up:Agent"), ("kg:NationalTeamPlayer", "kg:FootballPlayer"),
+              ("kg:FootballClub", "kg:Team"), ("kg:NationalTeam", "kg:Team"), ("kg:Team", "up:Agent"), ("kg:FormerProvince", "kg:Province"), ("kg:Province", "kg:Place"),
               ("kg:Country", "kg:Place"), ("kg:Stadium", "kg:Place"), ("kg:ClubStation", "kg:CareerStation"), ("kg:YouthStation", "kg:CareerStation"),
               ("kg:NationalTeamStation", "kg:CareerStation")], "sub string, sup string"),
         make([("kg:birthProvince", "kg:birthPlace"), ("kg:province", "kg:locatedIn")], "sub string, sup string"),
@@ -141,7 +141,7 @@ def materialise(facts: DataFrame, tbox: Ontology, semantics: str = "owl") -> Dat
         known = known.unionByName(delta)
 
 
-def inferred(facts: DataFrame, tbox: Ontology, terms: DataFrame | None = None, keep: tuple[str, ...] = ("kg:", "dbo:", "geo:"), semantics: str = "owl") -> DataFrame:
+def inferred(facts: DataFrame, tbox: Ontology, terms: DataFrame | None = None, keep: tuple[str, ...] = ("kg:", "up:", "geo:"), semantics: str = "owl") -> DataFrame:
     """New and useful facts only: not asserted, subject no ontology term or blank node, no same-as, properties of the kept namespaces."""
     new = materialise(facts, tbox, semantics).join(facts.select(*FACT), FACT, "left_anti")
     prop = F.col("p")

@@ -265,7 +265,7 @@ _SUCC = "SELECT n_nationkey AS a, n_nationkey // 2 AS b FROM nation WHERE n_nati
 
 @query(
     "h01_superclasses",
-    "WITH RECURSIVE e(a, b) AS (VALUES ('kg:FootballPlayer','kg:Athlete'),('kg:Athlete','kg:Person'),('kg:Person','dbo:Agent'),('kg:FootballClub','kg:Team'),('kg:Team','dbo:Agent'),('kg:Province','kg:Place'),('kg:FormerProvince','kg:Province'),('kg:Country','kg:Place'),('kg:Stadium','kg:Place')), c(a, b) AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a), n AS (SELECT 'kg:FootballPlayer' AS cls, count(*) AS n FROM customer UNION ALL SELECT 'kg:FootballClub', count(*) FROM supplier UNION ALL SELECT 'kg:Province', count(*) FROM nation UNION ALL SELECT 'kg:Country', count(*) FROM region UNION ALL SELECT 'kg:Stadium', count(*) FROM part UNION ALL SELECT 'kg:FormerProvince', count(*) FROM nation WHERE n_nationkey % 3 = 2) SELECT n.cls, b AS sup, n FROM n JOIN c ON c.a = n.cls UNION ALL SELECT cls, cls, n FROM n",
+    "WITH RECURSIVE e(a, b) AS (VALUES ('kg:FootballPlayer','kg:Athlete'),('kg:Athlete','kg:Person'),('kg:Person','up:Agent'),('kg:FootballClub','kg:Team'),('kg:Team','up:Agent'),('kg:Province','kg:Place'),('kg:FormerProvince','kg:Province'),('kg:Country','kg:Place'),('kg:Stadium','kg:Place')), c(a, b) AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a), n AS (SELECT 'kg:FootballPlayer' AS cls, count(*) AS n FROM customer UNION ALL SELECT 'kg:FootballClub', count(*) FROM supplier UNION ALL SELECT 'kg:Province', count(*) FROM nation UNION ALL SELECT 'kg:Country', count(*) FROM region UNION ALL SELECT 'kg:Stadium', count(*) FROM part UNION ALL SELECT 'kg:FormerProvince', count(*) FROM nation WHERE n_nationkey % 3 = 2) SELECT n.cls, b AS sup, n FROM n JOIN c ON c.a = n.cls UNION ALL SELECT cls, cls, n FROM n",
 )
 def h01(spark, d):
     from graphloom.operators.inference import example_ontology

@@ -35,9 +35,9 @@ WITH f AS (
  UNION SELECT 'kg:player/' || c_custkey, 'kg:birthPlace', 'kg:province/' || c_nationkey FROM customer
  UNION SELECT 'kg:club/' || s_suppkey, 'kg:locatedIn', 'kg:province/' || s_nationkey FROM supplier
  UNION SELECT 'kg:stadium/' || p_partkey, 'kg:locatedIn', 'kg:province/' || (p_partkey % 25) FROM part
- UNION SELECT 'kg:player/' || c_custkey, 'rdf:type', c FROM customer, (VALUES ('kg:Athlete'), ('kg:Person'), ('dbo:Agent')) t(c)
+ UNION SELECT 'kg:player/' || c_custkey, 'rdf:type', c FROM customer, (VALUES ('kg:Athlete'), ('kg:Person'), ('up:Agent')) t(c)
  UNION SELECT 'kg:player/' || k, 'rdf:type', 'kg:NationalTeamPlayer' FROM {_NATP}
- UNION SELECT 'kg:club/' || s_suppkey, 'rdf:type', c FROM supplier, (VALUES ('kg:Team'), ('dbo:Agent')) t(c)
+ UNION SELECT 'kg:club/' || s_suppkey, 'rdf:type', c FROM supplier, (VALUES ('kg:Team'), ('up:Agent')) t(c)
  UNION SELECT 'kg:club/' || k, 'rdf:type', 'kg:NationalTeam' FROM {_NAT}
  UNION SELECT 'kg:station/' || o_orderkey, 'rdf:type', 'kg:CareerStation' FROM orders
  UNION SELECT 'kg:province/' || n_nationkey, 'rdf:type', 'kg:Place' FROM nation
@@ -51,7 +51,7 @@ def r02(spark, d):
     return _facts(spark, d).agg(F.count("*").alias("n"), F.countDistinct("p").alias("props"))
 
 
-@query("r03_sub_class", "SELECT 'kg:player/' || c_custkey AS s, c AS o FROM customer, (VALUES ('kg:Athlete'), ('kg:Person'), ('dbo:Agent')) t(c)")
+@query("r03_sub_class", "SELECT 'kg:player/' || c_custkey AS s, c AS o FROM customer, (VALUES ('kg:Athlete'), ('kg:Person'), ('up:Agent')) t(c)")
 def r03(spark, d):
     f = _facts(spark, d).where("p = 'rdf:type' and o = 'kg:FootballPlayer'")
     return R.rule_sub_class(f, closure(R.example_ontology(spark).sub_class)).select("s", "o")
@@ -149,9 +149,9 @@ def r18(spark, d):
 # ---- composite queries that need inference
 
 
-@query("z01_entities_per_aligned_class", "SELECT 'dbo:Agent' AS cls, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS n UNION ALL SELECT 'kg:Place', (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) + (SELECT count(*) FROM part)")
+@query("z01_entities_per_aligned_class", "SELECT 'up:Agent' AS cls, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS n UNION ALL SELECT 'kg:Place', (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) + (SELECT count(*) FROM part)")
 def z01(spark, d):
-    return _all(spark, d).where("p = 'rdf:type' and o in ('dbo:Agent', 'kg:Place')").groupBy(F.col("o").alias("cls")).agg(F.countDistinct("s").alias("n"))
+    return _all(spark, d).where("p = 'rdf:type' and o in ('up:Agent', 'kg:Place')").groupBy(F.col("o").alias("cls")).agg(F.countDistinct("s").alias("n"))
 
 
 @query("z15_who_played_for", f"SELECT 'kg:player/' || o_custkey AS player FROM {_PLAYED} WHERE l_suppkey = 3")
@@ -203,7 +203,7 @@ def q01(spark, d):
 @query("q02_without_aligned_ancestor", "SELECT 'error' AS severity, 'no_aligned_ancestor' AS \"check\", c AS subject, '' AS detail FROM (VALUES ('kg:Country'), ('kg:Province'), ('kg:FormerProvince'), ('kg:Stadium'), ('kg:ClubStation'), ('kg:YouthStation'), ('kg:NationalTeamStation')) t(c) WHERE (SELECT count(*) FROM orders) > 0")
 def q02(spark, d):
     used = graph(spark, d).where(F.col("p") == TYPE).select(F.col("o").alias("cls")).distinct()
-    return Q.without_aligned_ancestor(used, R.example_ontology(spark).sub_class, "dbo:")
+    return Q.without_aligned_ancestor(used, R.example_ontology(spark).sub_class, "up:")
 
 
 @query("q03_missing_labels", "SELECT 'error' AS severity, 'missing_label' AS \"check\", 'kg:document/' || doc_id AS subject, CASE WHEN lang = 'en' THEN 'fr' WHEN lang = 'fr' THEN 'en' ELSE 'en,fr' END AS detail FROM documents")

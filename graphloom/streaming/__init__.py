@@ -1 +1 @@
-
+"""Nothing yet: the work this package covers has no streams; newest-wins tables are in sources.landed."""
