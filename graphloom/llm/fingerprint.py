@@ -3,33 +3,40 @@
 from __future__ import annotations
 
 import hashlib
-import struct
-from collections import Counter
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.shingles import mix
+
 #: Cells of a fingerprint; each retry takes four times as many.
 CELLS = 16
 HASHES = 3
+_LOW = np.uint64((1 << 21) - 1)
 #: A paragraph ends at a line break or a sentence end; longer ones also at a word that its own hash chooses.
-_PARAGRAPH = regex.compile(r"[^\n]*?(?:[.!?]+(?=\s)|\n|\Z)", regex.V1)
+_END = re.compile(r"(?<=[.!?])\s+|\n")
 #: Words from which on a paragraph may be cut, and one word in how many cuts it.
 LONG, CUT = 10, 4
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def paragraphs(text: str) -> list[str]:
     """The paragraphs of a text, white space trimmed; cuts depend on nearby words only, so edits stay local."""
     out = []
-    for p in _PARAGRAPH.findall(text):
+    for p in _END.split(text):
+        if len(p) < 4 * LONG:
+            if p := p.strip():
+                out.append(p)
+            continue
         words = p.split()
         start = 0
-        for k, w in enumerate(words):
-            if k - start >= LONG and xxhash.xxh3_64_intdigest(w) % CUT == 0:
+        for k in range(LONG, len(words)):
+            if k - start >= LONG and xxhash.xxh3_64_intdigest(words[k]) % CUT == 0:
                 out.append(" ".join(words[start : k + 1]))
                 start = k + 1
         if words[start:]:
@@ -37,85 +44,104 @@ def paragraphs(text: str) -> list[str]:
     return out
 
 
-def digests(text: str | None) -> set[int]:
+def digests(text: str | None) -> np.ndarray:
     """64-bit digests of a text's paragraphs; the n-th repeat of a paragraph has its own."""
-    seen = Counter()
-    out = set()
+    seen: dict[str, int] = {}
+    out = []
     for p in paragraphs(text or ""):
-        out.add(xxhash.xxh3_64_intdigest(p, seen[p]))
-        seen[p] += 1
-    return out
+        n = seen[p] = seen.get(p, -1) + 1
+        out.append(xxhash.xxh3_64_intdigest(f"{p}\0{n}" if n else p))
+    return np.unique(np.array(out, np.uint64))  # a key that is there twice would never peel
+
+
+def _check(keys: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (keys * _ODD) >> np.uint64(32)
 
 
 class Sketch:
     """An invertible Bloom lookup table: each key is counted and XOR-ed, with its check, into HASHES cells."""
 
-    def __init__(self, keys: set[int], cells: int):
+    def __init__(self, keys: np.ndarray, cells: int):
         self.cells = cells
-        self.count, self.key, self.check = [0] * cells, [0] * cells, [0] * cells
-        for k in keys:
-            self._put(k, 1)
+        self.count, self.key, self.check = np.zeros(cells, np.int64), np.zeros(cells, np.uint64), np.zeros(cells, np.uint64)
+        self._put(keys, np.ones(len(keys), np.int64))
 
-    def _places(self, key: int) -> list[int]:
-        h = xxhash.xxh3_128_intdigest(key.to_bytes(8, "little"), self.cells)
+    def _places(self, keys: np.ndarray) -> np.ndarray:
         third = self.cells // HASHES
-        return [k * third + ((h >> (40 * k)) & 0xFFFFFFFFFF) % (third if k < HASHES - 1 else self.cells - third * (HASHES - 1)) for k in range(HASHES)]
-
-    def _put(self, key: int, n: int) -> None:
-        check = (key * 0x9E3779B97F4A7C15 >> 17) & 0xFFFFFFFF
-        for c in self._places(key):
-            self.count[c] += n
-            self.key[c] ^= key
-            self.check[c] ^= check
+        wide = self.cells - third * (HASHES - 1)
+        with np.errstate(over="ignore"):
+            h = mix(keys + np.uint64(self.cells) * _ODD)
+        return np.concatenate([(h & _LOW) % np.uint64(third), third + ((h >> np.uint64(21)) & _LOW) % np.uint64(third), 2 * third + (h >> np.uint64(42)) % np.uint64(wide)]).astype(np.int64)
+
+    def _put(self, keys: np.ndarray, signs: np.ndarray) -> None:
+        if not len(keys):
+            return
+        at = self._places(keys)
+        self.count += np.bincount(at, weights=np.tile(signs, HASHES), minlength=self.cells).astype(np.int64)
+        np.bitwise_xor.at(self.key, at, np.tile(keys, HASHES))
+        np.bitwise_xor.at(self.check, at, np.tile(_check(keys), HASHES))
 
     def minus(self, other: Sketch) -> Sketch:
         """The cells' difference: what both hold cancels."""
-        out = Sketch(set(), self.cells)
-        out.count = [a - b for a, b in zip(self.count, other.count, strict=True)]
-        out.key = [a ^ b for a, b in zip(self.key, other.key, strict=True)]
-        out.check = [a ^ b for a, b in zip(self.check, other.check, strict=True)]
+        out = Sketch.__new__(Sketch)
+        out.cells, out.count, out.key, out.check = self.cells, self.count - other.count, self.key ^ other.key, self.check ^ other.check
         return out
 
-    def peel(self) -> tuple[set[int], set[int]] | None:
-        """Keys in the first only and in the second only; None if the table is too small for them."""
-        found: tuple[set[int], set[int]] = (set(), set())
-        todo = list(range(self.cells))
-        while todo:
-            c = todo.pop()
-            n, key = self.count[c], self.key[c]
-            if n not in (1, -1) or self.check[c] != (key * 0x9E3779B97F4A7C15 >> 17) & 0xFFFFFFFF:
-                continue
-            side = found[n < 0]
-            if key in side:  # a false check
-                return None
-            side.add(key)
-            self._put(key, -n)
-            todo += self._places(key)
-        return None if any(self.count) or any(self.key) else found
+    def peel(self) -> tuple[int, int] | None:
+        """How many keys are in the first only and in the second only; None if the table is too small for them.
+
+        Each pass takes the keys of all cells that hold a single one out of the other cells. The
+        recovered keys are in `found`, with their signs in `signs`.
+        """
+        found, signs = [], []
+        for _ in range(4 * self.cells):
+            pure = np.flatnonzero((np.abs(self.count) == 1) & (self.check == _check(self.key)))
+            if not len(pure):
+                break
+            keys, first = np.unique(self.key[pure], return_index=True)
+            sign = self.count[pure][first]
+            self._put(keys, -sign)
+            found.append(keys), signs.append(sign)
+        if self.count.any() or self.key.any():
+            return None
+        self.found = np.concatenate(found) if found else np.empty(0, np.uint64)
+        self.signs = np.concatenate(signs) if signs else np.empty(0, np.int64)
+        return int((self.signs > 0).sum()), int((self.signs < 0).sum())
 
     def text(self) -> str:
         """Hexadecimal form: count, key and check of each cell."""
-        return b"".join(struct.pack("<iQI", n, k, c) for n, k, c in zip(self.count, self.key, self.check, strict=True)).hex()
+        return np.stack([self.count.astype(np.uint64), self.key, self.check], axis=1).astype("<u8").tobytes().hex()
 
 
-def difference(a: set[int], b: set[int], cells: int = CELLS) -> tuple[set[int], set[int]]:
-    """Digests of a only and of b only, by subtracting sketches and peeling; larger ones until it succeeds."""
-    while True:
-        out = Sketch(a, cells).minus(Sketch(b, cells)).peel()
-        if out is not None:
-            return out
-        cells *= 4
+class Fingerprint:
+    """A text's paragraph digests and its sketches by size, each built once."""
 
+    def __init__(self, text: str):
+        self.keys = digests(text)
+        self.sketches: dict[int, Sketch] = {}
 
-def likeness(a: set[int], b: set[int]) -> float:
-    """Share of both texts' digests that the other has too, from the recovered difference; 1.0 for two empty texts."""
-    x, y = difference(a, b)
-    return 1 - (len(x) + len(y)) / (len(a) + len(b)) if a or b else 1.0
+    def sketch(self, cells: int) -> Sketch:
+        if cells not in self.sketches:
+            self.sketches[cells] = Sketch(self.keys, cells)
+        return self.sketches[cells]
 
+    def difference(self, other: Fingerprint, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
+        """Digests of this only and of the other only, by subtracting sketches and peeling; larger ones until it succeeds."""
+        while True:
+            rest = self.sketch(cells).minus(other.sketch(cells))
+            if rest.peel() is not None:
+                return rest.found[rest.signs > 0], rest.found[rest.signs < 0]
+            cells *= 4
 
-def fingerprint(keys: set[int]) -> str:
-    """Number of digests and the first sketch's cells."""
-    return f"{len(keys)}:{Sketch(keys, CELLS).text()}"
+    def likeness(self, other: Fingerprint) -> float:
+        """Share of both texts' digests that the other has too, from the recovered difference; 1.0 for two empty texts."""
+        total = len(self.keys) + len(other.keys)
+        return 1 - sum(map(len, self.difference(other))) / total if total else 1.0
+
+    def text(self) -> str:
+        """Number of digests and the first sketch's cells."""
+        return f"{len(self.keys)}:{self.sketch(CELLS).text()}"
 
 
 def edited_by(text: str, other: str) -> str:
@@ -158,12 +184,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         held, out = None, []
         for batch in batches:
             for part, id_, text, head in zip(batch["part"], batch["id"], batch["text"], batch["head"], strict=True):
-                keys = digests(text)
+                keys = Fingerprint(text)
                 if held and held[0] == part:
                     _, id_0, text_0, keys_0 = held
                     new = edited_by(text_0, text)
-                    edit = digests(new)
-                    out.append((id_0, len(text_0), hashlib.sha256(new.encode()).hexdigest(), fingerprint(keys_0), fingerprint(edit), likeness(keys_0, edit), likeness(keys_0, keys)))
+                    edit = Fingerprint(new)
+                    digest = hashlib.sha256(new.encode()).hexdigest()
+                    out.append((id_0, len(text_0), digest, keys_0.text(), edit.text(), keys_0.likeness(edit), keys_0.likeness(keys)))
                 held = None if head else (part, id_, text, keys)
             yield pd.DataFrame(out, columns=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]).astype({"id": batch["id"].dtype})
             out = []
