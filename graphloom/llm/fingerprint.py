@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.shingles import mix
 
-#: Cells of a fingerprint; each retry takes four times as many.
-CELLS = 16
+#: Cells of a fingerprint; each retry takes GROWTH times as many.
+CELLS, GROWTH = 16, 16
 HASHES = 3
-_LOW = np.uint64((1 << 21) - 1)
+_LOW, _BITS, _HIGH = np.uint64((1 << 21) - 1), np.uint64(21), np.uint64(43)
 #: A paragraph ends at a line break or a sentence end; longer ones also at a word that its own hash chooses.
 _END = re.compile(r"(?<=[.!?])\s+|\n")
 #: Words from which on a paragraph may be cut, and one word in how many cuts it.
@@ -72,15 +72,19 @@ class Sketch:
         wide = self.cells - third * (HASHES - 1)
         with np.errstate(over="ignore"):
             h = mix(keys + np.uint64(self.cells) * _ODD)
-        return np.concatenate([(h & _LOW) % np.uint64(third), third + ((h >> np.uint64(21)) & _LOW) % np.uint64(third), 2 * third + (h >> np.uint64(42)) % np.uint64(wide)]).astype(np.int64)
+        one = (h & _LOW) * np.uint64(third) >> _BITS
+        two = ((h >> _BITS) & _LOW) * np.uint64(third) >> _BITS
+        three = (h >> _HIGH) * np.uint64(wide) >> _BITS
+        return np.concatenate((one, two + np.uint64(third), three + np.uint64(2 * third))).astype(np.int64)
 
     def _put(self, keys: np.ndarray, signs: np.ndarray) -> None:
         if not len(keys):
             return
         at = self._places(keys)
-        self.count += np.bincount(at, weights=np.tile(signs, HASHES), minlength=self.cells).astype(np.int64)
-        np.bitwise_xor.at(self.key, at, np.tile(keys, HASHES))
-        np.bitwise_xor.at(self.check, at, np.tile(_check(keys), HASHES))
+        check = _check(keys)
+        self.count += np.bincount(at, np.concatenate((signs, signs, signs)), self.cells).astype(np.int64)
+        np.bitwise_xor.at(self.key, at, np.concatenate((keys, keys, keys)))
+        np.bitwise_xor.at(self.check, at, np.concatenate((check, check, check)))
 
     def minus(self, other: Sketch) -> Sketch:
         """The cells' difference: what both hold cancels."""
@@ -132,7 +136,7 @@ class Fingerprint:
             rest = self.sketch(cells).minus(other.sketch(cells))
             if rest.peel() is not None:
                 return rest.found[rest.signs > 0], rest.found[rest.signs < 0]
-            cells *= 4
+            cells *= GROWTH
 
     def likeness(self, other: Fingerprint) -> float:
         """Share of both texts' digests that the other has too, from the recovered difference; 1.0 for two empty texts."""
