@@ -19,6 +19,8 @@ from graphloom.llm.shingles import mix, shingle_set
 BAND = 1.3
 #: Documents of a tree's leaf, about.
 LEAF = 64
+#: Rounds of stars in large groups, and members drawn as centres of each signature.
+ROUNDS, CENTRES = 2, 8
 #: Signatures (one long each) up to which those that occur repeatedly are broadcast to drop the others.
 SIGNATURES = 4_000_000
 
@@ -137,37 +139,63 @@ def _linked(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> Da
     return written(both.mapInArrow(run, f"a {t}, b {t}"), "links")
 
 
-def _bound(x: str, y: str, num: int, den: int) -> Column:
+def _bound(x: Column, y: Column, num: int, den: int) -> Column:
     """Whether two entries' sizes and bitmaps leave room for the overlap that a link needs."""
-    c = lambda side, name: F.col(f"{side}.{name}")
-    missing = sum((F.bit_count(c(x, f"b{k}").bitwiseAND(F.bitwise_not(c(y, f"b{k}")))) for k in range(4)), F.lit(0))
-    other = sum((F.bit_count(c(y, f"b{k}").bitwiseAND(F.bitwise_not(c(x, f"b{k}")))) for k in range(4)), F.lit(0))
-    n, m = c(x, "size"), c(y, "size")
+    missing = sum((F.bit_count(x[f"b{k}"].bitwiseAND(F.bitwise_not(y[f"b{k}"]))) for k in range(4)), F.lit(0))
+    other = sum((F.bit_count(y[f"b{k}"].bitwiseAND(F.bitwise_not(x[f"b{k}"]))) for k in range(4)), F.lit(0))
+    n, m = x["size"], y["size"]
     return (
         (n * den >= m * num) & (m * den >= n * num) & (missing * den <= n * (den - num)) & (other * den <= m * (den - num))
         & ((missing + other) * (den + num) <= (n + m) * (den - num))
     )
 
 
-def _need(n: Column, m: Column, full_n: Column, full_m: Column, most: Column, num: int, den: int) -> Column:
+def _need(n: Column, m: Column, full_n: Column, full_m: Column, num: int, den: int) -> Column:
     """Signatures that linked sets have in common at least: segments not empty in both, less the differences."""
     return F.greatest(full_n, full_m) - F.floor((n + m) * (den - num) / (den + num))
 
 
+def _mixed(entries: DataFrame, least: int = 2) -> DataFrame:
+    """sig, n of the signatures of `least` or more entries that are not all of one component."""
+    spread = entries.groupBy("sig").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    return written(spread.where((F.col("low") != F.col("high")) & (F.col("n") >= least)).select("sig", "n"), "mixed")
+
+
+def _stars(entries: DataFrame, round_: int, num: int, den: int) -> DataFrame:
+    """One pair per document of a large mixed signature: with that of some CENTRES drawn members, of another component, with which it shares most."""
+    active = sized_join(entries, _mixed(entries, LEAF // 2), "sig", "inner", SIGNATURES // 2)
+    drawn = F.struct(F.xxhash64("id", F.lit(round_)).alias("h"), "id", "size", "component")
+    centres = active.groupBy("sig", F.pmod(F.xxhash64("id", F.lit(-round_)), F.lit(CENTRES)).alias("slot")).agg(F.min(drawn).alias("c"))
+    centres = written(centres.select("sig", F.col("c.id").alias("a"), F.col("c.size").alias("m"), F.col("c.component").alias("other")), "centres")
+    return (
+        active.join(centres.hint("merge"), "sig")
+        .where((F.col("component") != F.col("other")) & (F.col("size") * den >= F.col("m") * num) & (F.col("m") * den >= F.col("size") * num))
+        .groupBy("id", "a")
+        .agg(F.count("*").alias("shared"))
+        .groupBy("id")
+        .agg(F.max(F.struct("shared", "a")).alias("best"))
+        .select(F.least("best.a", "id").alias("a"), F.greatest("best.a", "id").alias("b"))
+        .distinct()
+    )
+
+
 def _tree_pairs(entries: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of entries of different components that share a signature and may link.
 
     The entries of a signature form a tree: leaves of about LEAF documents, dealt by the smallest
-    signature so that like documents meet, and the root. A leaf holds the OR of its bitmaps, its smallest
-    bitmap's bits and its size range. Pairs of leaves go on only if the largest overlap possible between
-    any of their documents suffices; then pairs of documents do.
+    signature so that like documents meet, those of a large component apart, and the root. A leaf holds
+    the OR of its bitmaps, its smallest bitmap's bits and its size range. Pairs of leaves go on only if
+    they are not of one component and the largest overlap possible between any of their documents
+    suffices; then pairs of documents do.
     """
-    spread = entries.groupBy("sig").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-    spread = written(spread.where("low <> high").select("sig", F.ceil(F.col("n") / LEAF).alias("leaves")), "trees")
-    leafed = sized_join(entries, spread, "sig", "inner", SIGNATURES // 2).withColumn("leaf", F.pmod("home", "leaves").cast("int"))
+    trees = _mixed(entries).select("sig", F.ceil(F.col("n") / LEAF).alias("leaves"))
+    large = F.when(F.col("members") >= LEAF // 2, F.col("component")).otherwise(None)
+    leafed = sized_join(entries, written(trees, "trees"), "sig", "inner", SIGNATURES // 2).select(
+        "*", F.coalesce(large, F.lit(-1).cast("long")).alias("of"), F.pmod("home", "leaves").cast("int").alias("leaf")
+    )
     bits = [f"b{k}" for k in range(4)]
     nodes = written(
-        leafed.groupBy("sig", "leaf").agg(
+        leafed.groupBy("sig", "of", "leaf").agg(
             F.collect_list(F.struct("id", "size", "component", "band", "own", "full", *bits)).alias("members"),
             *(F.bit_or(b).alias(b) for b in bits),
             F.min("size").alias("small"),
@@ -183,18 +211,27 @@ def _tree_pairs(entries: DataFrame, num: int, den: int) -> DataFrame:
         & ((F.col("x.least") - common) * den <= F.col("x.large") * (den - num))
         & ((F.col("y.least") - common) * den <= F.col("y.large") * (den - num))
     )
-    met = x.join(y.hint("merge"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.leaf") <= F.col("y.leaf")) & room)
+    place = lambda n: F.struct(F.col(f"{n}.of"), F.col(f"{n}.leaf"))
+    apart = (F.col("x.of") != F.col("y.of")) | (F.col("x.of") == -1)
+    met = x.join(y.hint("merge"), (F.col("x.sig") == F.col("y.sig")) & (place("x") <= place("y")) & apart & room)
+    p, q = F.col("p"), F.col("q")
+
+    def may_link(q: Column) -> Column:
+        return (
+            (p["component"] != q["component"])
+            & (~F.col("same") | (p["id"] < q["id"]))
+            & (p["band"] == F.greatest(p["own"], q["own"]))
+            & _bound(p, q, num, den)
+        )
+
     return (
-        met.select((F.col("x.leaf") == F.col("y.leaf")).alias("same"), F.explode("x.members").alias("p"), F.col("y.members").alias("ys"))
-        .select("same", "p", F.explode("ys").alias("q"))
-        .where(
-            (F.col("p.component") != F.col("q.component"))
-            & (~F.col("same") | (F.col("p.id") < F.col("q.id")))
-            & (F.col("p.band") == F.greatest("p.own", "q.own"))
-            & _bound("p", "q", num, den)
+        met.select((place("x") == place("y")).alias("same"), F.explode("x.members").alias("p"), F.col("y.members").alias("ys"))
+        .select("p", F.explode(F.filter("ys", may_link)).alias("q"))
+        .select(
+            F.least(p["id"], q["id"]).alias("a"),
+            F.greatest(p["id"], q["id"]).alias("b"),
+            _need(p["size"], q["size"], p["full"], q["full"], num, den).alias("need"),
         )
-        .select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b"),
-                _need(F.col("p.size"), F.col("q.size"), F.col("p.full"), F.col("q.full"), F.lit(0), num, den).alias("need"))
         .groupBy("a", "b")
         .agg(F.count("*").alias("shared"), F.max("need").alias("need"))
         .where("shared >= need")
@@ -202,6 +239,14 @@ def _tree_pairs(entries: DataFrame, num: int, den: int) -> DataFrame:
     )
 
 
+def _with_components(entries: DataFrame, links: DataFrame) -> DataFrame:
+    """Entries with their component so far (their own id if none) and its members."""
+    found = components(links)
+    sizes = found.groupBy("component").agg(F.count("*").alias("members"))
+    found = written(found.join(sizes.hint("merge"), "component"), "components")
+    return sized_join(entries, found, "id", "left").withColumns({"component": F.coalesce("component", "id"), "members": F.coalesce("members", F.lit(1))})
+
+
 def ngram_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents linked by Jaccard similarity num/den or more of their n-word shingle sets.
 
@@ -211,6 +256,7 @@ def ngram_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100,
        signature are candidates, which loses no link.
     2. Each class is compared with one partner, the smallest of the signatures they share most of; most
        large groups are one component after that.
+       In large groups that are not, drawn members are centres of more such rounds.
     3. The classes that share a signature but no component yet meet in signature trees (_tree_pairs):
        OR-combined bitmaps, size ranges and the number of signatures in common bound the overlap, and
        what may still link is compared by its whole sets.
@@ -247,8 +293,11 @@ def ngram_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100,
         .select((-F.col("best.col2")).alias("a"), F.col("id").alias("b"))
     )
     links = _linked(star, docs, n, num, den)
-    first = written(components(links), "components")
-    grouped = sized_join(entries, first, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    for round_ in range(1, ROUNDS + 1):
+        grouped = _with_components(entries, links)
+        stars = _stars(grouped, round_, num, den)
+        links = links.union(_linked(stars, docs, n, num, den))
+    grouped = _with_components(entries, links)
     links = links.union(_linked(_tree_pairs(grouped, num, den), docs, n, num, den))
     last = written(components(links), "components").withColumnRenamed("id", "class")
     return sized_join(classes, last, "class", "left").select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component", "class").alias("component_id"))
