@@ -100,29 +100,18 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = lambda e: e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b"), F.col("a")))
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = None
     while True:
+        rows, starts = now.agg(F.count("*"), F.count_distinct("a")).first()
+        how = "broadcast" if 2 * rows <= BROADCAST_ROWS // 2 else "merge"  # fixed-width rows, counted
+        if rows == starts and now.join(now.select(F.col("b").alias("a")).distinct().hint(how), "a", "left_semi").isEmpty():
+            break  # every node points at the smallest of its component, and at nothing else
         around = both(now)
         least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
-            around.join(least.hint("merge"), "u")
-            .where("v > u")
-            .select(F.col("v").alias("a"), F.col("m").alias("b"))
-            .distinct()
-        )
+        large = around.join(least.hint(how), "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = written(large, "edges")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (
-            large.join(low.hint("merge"), "a")
-            .select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-            .select("e.*")
-            .where("a <> b")
-            .distinct()
+        small = large.join(low.hint(how), "a").select(
+            F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")
         )
-        now = written(small, "edges")
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first()
-        if seen == state or not seen[0]:
-            break
-        state = seen
-    return now.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.col("b").alias("component")).union(
-        now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
-    )
+        now = written(small.select("e.*").where("a <> b").distinct(), "edges")
+    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
