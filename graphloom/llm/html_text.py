@@ -6,6 +6,7 @@ import html
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import xxhash
@@ -16,6 +17,8 @@ from graphloom.llm.common import written
 
 #: Branches of less importance are removed, on hosts with this many pages or more.
 LOW, PAGES = 0.3, 8
+#: Branches that a part of a class, id or role marks are removed below this importance.
+DOUBTED = 0.6
 CONTENT = 0.9
 #: Levels of the tree below the body.
 DEPTH = 3
@@ -29,34 +32,73 @@ BLOCK = frozenset(
 )
 #: Elements that hold no main text.
 APART = frozenset("nav header footer aside form button select menu dialog head".split())
-#: Words in class, id or role that mark branches without main text.
-NOTED = re.compile(
-    r"(?:^|[^a-z])(?:ads?|adverts?|advertisement|banner|sponsor(?:ed)?|promo|cookies?|consent|notices?|popup|modal|newsletter|subscribe|nav|navbar|navigation|"
-    r"menu|breadcrumbs?|sidebar|side|footer|header|masthead|share|social|related|recommended|comments?|replies|respond|disqus|login|search|toolbar|skip|widget)(?:$|[^a-z])"
+#: Classes, ids and roles that mark branches without main text.
+NOTED = frozenset(
+    "ad ads advert adverts advertisement banner sponsor sponsored promo cookie cookies consent notice notices popup modal newsletter subscribe nav navbar "
+    "navigation menu breadcrumb breadcrumbs sidebar side footer header masthead share social related recommended comment comments replies respond disqus "
+    "login search toolbar skip widget".split()
 )
+#: Those of them whose branches often hold articles of their own, which are not the page's.
+OTHERS = frozenset("related recommended comment comments replies respond disqus".split())
+#: Before and after a part of a class, these say that the page has or lacks the thing, not that the branch is it.
+STATED, STATES = frozenset("has no not with without".split()), frozenset("open closed on off enabled disabled".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_MARK = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 #: A start tag of the key closes open elements of the values, up to the nearest of the stops.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 STOPS = frozenset("ul ol menu dl table body html article section div main".split())
 SPACE = re.compile(r"\s+")
+PARTS = re.compile(r"[a-z]+")
+OUT, HELD, OPEN, DOUBT = range(4)
 
 
-def blocks(page: str | None) -> Iterator[tuple[str, str, bool]]:
-    """(style path, text, whether markup alone rules it out) of the text blocks of a page, in order.
+@lru_cache(1 << 14)
+def noted(marks: str) -> tuple[bool, bool, bool]:
+    """Whether the class, id and role names (lower case) name a branch without main text: surely (a whole name), in doubt (a part of one), and as OTHERS."""
+    names = marks.split()
+    sure = NOTED.intersection(names)
+    doubt = False
+    for name in names:
+        parts = PARTS.findall(name)
+        if STATED.isdisjoint(parts) and STATES.isdisjoint(parts):
+            doubt = doubt or not NOTED.isdisjoint(parts)
+    return bool(sure), doubt, bool(sure) and sure <= OTHERS
+
+
+def blocks(page: str | None) -> Iterator[tuple[str, str, int]]:
+    """(style path, text, state) of the text blocks of a page, in order.
+
+    The state is OUT if markup alone rules a block out, DOUBT if only a part of a class, id or role does,
+    HELD inside of an article or main, else OPEN. Marks of html, body, main and article, and of branches that
+    hold a main, article or h1, do not count; but comments and related articles after the first of these do.
 
     Unclosed and wrongly nested elements are closed as browsers do: an end tag closes up to its element,
     a block start closes an open paragraph.
     """
-    stack: list[tuple[str, str, bool]] = [("html", "", False)]
+    for path, text, out, inside, marks in list(_parsed(page)):
+        open_ = [m for m in marks if not m[2]]
+        if out or any(m[0] for m in open_):
+            yield path, text, OUT
+        else:
+            yield path, text, DOUBT if open_ else HELD if inside else OPEN
+
+
+def _parsed(page: str | None) -> Iterator[tuple[str, str, bool, bool, tuple]]:
+    """(style path, text, ruled out by an element, inside of an article or main, marks above it) of the text blocks.
+
+    A mark is a list of whether it is sure, whether it is of OTHERS, and whether its branch holds main text;
+    the last is known at the end of the page only.
+    """
+    stack: list[tuple[str, str, bool, bool, tuple]] = [("html", "", False, False, ())]
     parts: list[str] = []
     text, at = page or "", 0
+    begun = False
 
-    def flush() -> tuple[str, str, bool] | None:
+    def flush() -> tuple[str, str, bool, bool, tuple] | None:
         joined = SPACE.sub(" ", html.unescape("".join(parts))).strip()
         parts.clear()
-        return (stack[-1][1], joined, stack[-1][2]) if joined else None
+        return (stack[-1][1], joined, *stack[-1][2:]) if joined else None
 
     while at < len(text):
         m = _TOKEN.search(text, at)
@@ -92,17 +134,34 @@ def blocks(page: str | None) -> Iterator[tuple[str, str, bool]]:
                 if stack[k][0] in STOPS:
                     break
         marks = " ".join(x or y or z for x, y, z in _MARK.findall(m[3])).lower() if "=" in m[3] else ""
-        inside = any(s[0] in ("article", "main") for s in stack)
-        out = stack[-1][2] or name in APART and not (name == "header" and inside) or bool(marks and NOTED.search(marks)) or bool(m[3] and _HIDDEN.search(m[3]))
+        _, path, out, inside, above = stack[-1]
+        if name in ("article", "main", "h1"):
+            for mark in above:
+                mark[2] = mark[2] or not (begun and mark[1])
+            begun = begun or not out
+        out = out or name in APART and name != "form" and not (name == "header" and inside) or bool(m[3] and _HIDDEN.search(m[3]))
+        if name == "form":
+            above = (*above, [True, False, False])
+        elif marks and name not in ("html", "body", "main", "article"):
+            sure, doubt, others = noted(marks)
+            if sure and inside and NOTED.intersection(marks.split()) == {"header"}:
+                sure, doubt = False, True
+            if sure or doubt:
+                above = (*above, [sure, others, False])
+        inside = inside or name in ("article", "main")
         label = name + ("." + ".".join(sorted(marks.split())) if marks else "")
-        path = stack[-1][1]
         if name not in ("html", "body") and name in BLOCK and path.count("/") < DEPTH:
             path = f"{path}/{label}"
-        stack.append((name, path, out))
+        stack.append((name, path, out, inside, above))
     if b := flush():
         yield b
 
 
+def _node(path: str, state: int) -> str:
+    """The style node of a block; blocks in doubt have nodes of their own."""
+    return f"?{path}" if state == DOUBT else path
+
+
 def _host(url) -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
 
@@ -134,10 +193,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """The main text of every page.
 
     The pages of a host are merged into a style tree of element paths (name, class, id, role; DEPTH
-    levels). Branches whose element or marks name a menu, header, footer, sidebar, notice, advert, form or
-    comments are no main text; of the others, those outside an article whose content hardly varies over
-    the host's pages (importance under LOW, hosts of PAGES pages or more) are removed. What is left is
-    joined in page order.
+    levels). Branches whose element or marks (whole names of class, id and role) name a menu, header,
+    footer, sidebar, notice, advert, form or comments are no main text, unless they hold the article (see
+    blocks()). Of the others, those outside an article whose content hardly varies over the host's pages
+    (importance under LOW, nodes of PAGES pages or more) are removed, and those that a part of a name marks
+    ("site-footer") if their importance is under DOUBTED. What is left is joined in page order.
 
     Returns one row per page: id, url, text, n_chars. Null html is empty; a null or odd url belongs to the
     host ''; repeated rows get equal results; an empty table gives an empty result; other columns are ignored.
@@ -149,9 +209,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         for b in batches:
             for host, page in zip(b["host"], b["html"], strict=True):
                 whole: dict[str, list[str]] = defaultdict(list)
-                for path, text, out in blocks(page):
-                    if not out and "/article" not in path and "/main" not in path:
-                        whole[path].append(text)
+                for path, text, state in blocks(page):
+                    if state in (OPEN, DOUBT):
+                        whole[_node(path, state)].append(text)
                 for path, texts in whole.items():
                     seen[host, path, xxhash.xxh3_64_intdigest("\n".join(texts)) >> 1] += 1
                 seen[host, "", 0] += 1
@@ -162,7 +222,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     nodes = rows.select("host", "html").mapInPandas(survey, "host string, path string, content long, pages long")
     tree = style_tree(nodes)
-    low = written(tree.where((F.col("importance") < LOW) & (F.col("n") >= PAGES)).groupBy("host").agg(F.collect_set("path").alias("low")), "low")
+    least = F.when(F.col("path").startswith("?"), DOUBTED).otherwise(LOW)
+    low = written(tree.where((F.col("importance") < least) & (F.col("n") >= PAGES)).groupBy("host").agg(F.collect_set("path").alias("low")), "low")
     size = low.agg(F.sum(F.length("host") + F.length(F.concat_ws("", "low")) + 64)).first()[0] or 0
     joined = rows.join(low.select("host", "low").hint("broadcast" if size <= 32_000_000 else "merge"), "host", "left")
 
@@ -171,7 +232,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             texts = []
             for page, low in zip(b["html"], b["low"], strict=True):
                 drop = set(low) if low is not None else ()
-                texts.append(" ".join([t for path, t, out in blocks(page) if not out and path not in drop]))
+                texts.append(" ".join([t for path, t, state in blocks(page) if state == HELD or state != OUT and _node(path, state) not in drop]))
             yield pd.DataFrame({"id": b["id"], "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     kind = rows.schema["id"].dataType.simpleString()

@@ -239,6 +239,43 @@ def test_html(spark, sf_dir):
     assert extract(real).count() == real.count()
 
 
+LAYOUTS = ["single has-sidebar", "content with-sidebar", "page no-sidebar", "post no-comments", "comments-open", "elementor-widget-container", "article-header", "widget"]
+
+
+def test_html_keeps_articles_in_marked_branches(spark):
+    from graphloom.llm.html_text import extract
+
+    def text(k):
+        return f"Story {k} with words of its own w{k * 7}"
+
+    shapes = [
+        "<body class='{0}'><article><h1>Head {2}</h1><p>{1}</article><div class=menu>Go</div>",
+        "<body><article class='{0}'><h1>Head {2}</h1><p>{1}</article><aside>Go</aside>",
+        "<body><div class='{0}'><h1>Head {2}</h1><p>{1}</div><div class='sidebar left'>Go</div>",
+        "<body><form><div id=page class='{0}'><main><h1>Head {2}</h1><p>{1}</main></div></form><div role=navigation>Go</div>",
+        "<body><article><h1>Head {2}</h1><div class=header>{1}</div></article><div class=header>Go</div><div class=comments><article>Go</article></div>",
+    ]
+    pages, want = [], {}
+    for a, shape in enumerate(shapes):
+        for b, name in enumerate(LAYOUTS):
+            for k in range(12):  # hosts whose tree counts, and hosts of a single page
+                host, i = f"h{a}-{b}" if k < 10 else f"h{a}-{b}-{k}", len(pages)
+                pages.append((i, f"http://{host}/{k}", shape.format(name, text(i), i)))
+                want[i] = f"Head {i} {text(i)}"
+    d = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract(d).collect()}
+    assert got == want
+
+
+def test_html_confirms_doubtful_marks(spark):
+    from graphloom.llm.html_text import extract
+
+    page = "<body><div class=site-footer>Always the same {2}</div><div class=entry-header>Lead {0}</div><article><p>Story {0}</p><div class=share-links>Tell all</div></article>{1}"
+    pages = [(k, "http://many/", page.format(k, "", k % 2)) for k in range(20)] + [(50, "http://one/", page.format(50, "", 0))]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Lead 3 Story 3" and got[50] == "Always the same 0 Lead 50 Story 50 Tell all"
+
+
 def test_bpe(spark, docs, rows, nothing):
     import public_tokenizers
     from graphloom.llm.bpe import bpe_decode, bpe_digests, bpe_encode
