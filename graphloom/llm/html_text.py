@@ -20,8 +20,6 @@ LOW, PAGES = 0.3, 8
 #: Branches that a part of a class, id or role marks are removed below this importance.
 DOUBTED = 0.6
 CONTENT = 0.9
-#: Levels of the tree below the body.
-DEPTH = 3
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,6 +49,8 @@ STOPS = frozenset("ul ol menu dl table body html article section div main".split
 SPACE = re.compile(r"\s+")
 PARTS = re.compile(r"[a-z]+")
 OUT, HELD, OPEN, DOUBT = range(4)
+#: Style node of a whole page, and the path of the body.
+PAGE, BODY = 0, 2
 
 
 @lru_cache(1 << 14)
@@ -66,8 +66,8 @@ def noted(marks: str) -> tuple[bool, bool, bool]:
     return bool(sure), doubt, bool(sure) and sure <= OTHERS
 
 
-def blocks(page: str | None) -> Iterator[tuple[str, str, int]]:
-    """(style path, text, state) of the text blocks of a page, in order.
+def blocks(page: str | None) -> Iterator[tuple[int, str, int]]:
+    """(hash of the style path, text, state) of the text blocks of a page, in order.
 
     The state is OUT if markup alone rules a block out, DOUBT if only a part of a class, id or role does,
     HELD inside of an article or main, else OPEN. Marks of html, body, main and article, and of branches that
@@ -84,18 +84,18 @@ def blocks(page: str | None) -> Iterator[tuple[str, str, int]]:
             yield path, text, DOUBT if open_ else HELD if inside else OPEN
 
 
-def _parsed(page: str | None) -> Iterator[tuple[str, str, bool, bool, tuple]]:
-    """(style path, text, ruled out by an element, inside of an article or main, marks above it) of the text blocks.
+def _parsed(page: str | None) -> Iterator[tuple[int, str, bool, bool, tuple]]:
+    """(hash of the style path, text, ruled out by an element, inside of an article or main, marks above it) of the text blocks.
 
     A mark is a list of whether it is sure, whether it is of OTHERS, and whether its branch holds main text;
     the last is known at the end of the page only.
     """
-    stack: list[tuple[str, str, bool, bool, tuple]] = [("html", "", False, False, ())]
+    stack: list[tuple[str, int, bool, bool, tuple]] = [("html", BODY, False, False, ())]
     parts: list[str] = []
     text, at = page or "", 0
     begun = False
 
-    def flush() -> tuple[str, str, bool, bool, tuple] | None:
+    def flush() -> tuple[int, str, bool, bool, tuple] | None:
         joined = SPACE.sub(" ", html.unescape("".join(parts))).strip()
         parts.clear()
         return (stack[-1][1], joined, *stack[-1][2:]) if joined else None
@@ -150,16 +150,22 @@ def _parsed(page: str | None) -> Iterator[tuple[str, str, bool, bool, tuple]]:
                 above = (*above, [sure, others, False])
         inside = inside or name in ("article", "main")
         label = name + ("." + ".".join(sorted(marks.split())) if marks else "")
-        if name not in ("html", "body") and name in BLOCK and path.count("/") < DEPTH:
-            path = f"{path}/{label}"
+        if name not in ("html", "body") and name in BLOCK:
+            path = _below(path, label)
         stack.append((name, path, out, inside, above))
     if b := flush():
         yield b
 
 
-def _node(path: str, state: int) -> str:
-    """The style node of a block; blocks in doubt have nodes of their own."""
-    return f"?{path}" if state == DOUBT else path
+@lru_cache(1 << 16)
+def _below(path: int, label: str) -> int:
+    """The path of an element below another path: even, from 0 to 2 ** 62, so that a path of any depth is one number."""
+    return xxhash.xxh3_64_intdigest(f"{path}/{label}") >> 3 << 1
+
+
+def _node(path: int, state: int) -> int:
+    """The style node of a block; blocks in doubt have (odd) nodes of their own."""
+    return path + (state == DOUBT)
 
 
 def _host(url) -> F.Column:
@@ -170,7 +176,7 @@ def style_tree(nodes: DataFrame) -> DataFrame:
     """host, path, n (pages that have it), importance of the style nodes of each host.
 
     nodes has host, path, content (hash of a node's text on one page), pages (how many pages had it); the
-    path '' stands for the page. A node's content importance is the entropy of its content over the pages
+    path PAGE stands for the page. A node's content importance is the entropy of its content over the pages
     that have it, its presentation importance that of being there at all, each as a share of the most
     possible; its importance is CONTENT parts the first and the rest the second. Equal contents are
     counted before they meet, so that a host of very many pages is never a group of rows.
@@ -178,12 +184,12 @@ def style_tree(nodes: DataFrame) -> DataFrame:
     per = nodes.groupBy("host", "path", "content").agg(F.sum("pages").alias("c"))
     stat = per.groupBy("host", "path").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log2("c")).alias("s"))
     stat = written(stat, "nodes")
-    total = stat.where("path = ''").select("host", F.col("n").alias("pages"))
+    total = stat.where(F.col("path") == PAGE).select("host", F.col("n").alias("pages"))
     p = F.col("n") / F.col("pages")
     content = F.when(F.col("n") > 1, (F.log2("n") - F.col("s") / F.col("n")) / F.log2("n")).otherwise(1.0)
     presence = F.when(p < 1, -p * F.log2(p) - (1 - p) * F.log2(1 - p)).otherwise(0.0)
     return (
-        stat.where("path <> ''")
+        stat.where(F.col("path") != PAGE)
         .join(total.hint("merge"), "host")
         .select("host", "path", "n", (CONTENT * content + (1 - CONTENT) * presence).alias("importance"))
     )
@@ -192,12 +198,13 @@ def style_tree(nodes: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The main text of every page.
 
-    The pages of a host are merged into a style tree of element paths (name, class, id, role; DEPTH
-    levels). Branches whose element or marks (whole names of class, id and role) name a menu, header,
-    footer, sidebar, notice, advert, form or comments are no main text, unless they hold the article (see
-    blocks()). Of the others, those outside an article whose content hardly varies over the host's pages
-    (importance under LOW, nodes of PAGES pages or more) are removed, and those that a part of a name marks
-    ("site-footer") if their importance is under DOUBTED. What is left is joined in page order.
+    The pages of a host are merged into a style tree of element paths (name, class, id, role) of any depth,
+    and each path is judged by its own text. Branches whose element or marks (whole names of class, id and
+    role) name a menu, header, footer, sidebar, notice, advert, form or comments are no main text, unless
+    they hold the article (see blocks()). Of the others, those outside an article whose content hardly varies
+    over the host's pages (importance under LOW, nodes of PAGES pages or more) are removed, and those that a
+    part of a name marks ("site-footer") if their importance is under DOUBTED. What is left is joined in page
+    order.
 
     Returns one row per page: id, url, text, n_chars. Null html is empty; a null or odd url belongs to the
     host ''; repeated rows get equal results; an empty table gives an empty result; other columns are ignored.
@@ -205,26 +212,26 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).withColumn("host", _host("url"))
 
     def survey(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[tuple[str, str, int], int] = defaultdict(int)
+        seen: dict[tuple[str, int, int], int] = defaultdict(int)
         for b in batches:
             for host, page in zip(b["host"], b["html"], strict=True):
-                whole: dict[str, list[str]] = defaultdict(list)
+                whole: dict[int, list[str]] = defaultdict(list)
                 for path, text, state in blocks(page):
                     if state in (OPEN, DOUBT):
                         whole[_node(path, state)].append(text)
                 for path, texts in whole.items():
                     seen[host, path, xxhash.xxh3_64_intdigest("\n".join(texts)) >> 1] += 1
-                seen[host, "", 0] += 1
+                seen[host, PAGE, 0] += 1
             if len(seen) > 100_000:
                 yield pd.DataFrame([(*k, v) for k, v in seen.items()], columns=["host", "path", "content", "pages"])
                 seen.clear()
         yield pd.DataFrame([(*k, v) for k, v in seen.items()], columns=["host", "path", "content", "pages"])
 
-    nodes = rows.select("host", "html").mapInPandas(survey, "host string, path string, content long, pages long")
+    nodes = rows.select("host", "html").mapInPandas(survey, "host string, path long, content long, pages long")
     tree = style_tree(nodes)
-    least = F.when(F.col("path").startswith("?"), DOUBTED).otherwise(LOW)
+    least = F.when(F.col("path") % 2 == 1, DOUBTED).otherwise(LOW)
     low = written(tree.where((F.col("importance") < least) & (F.col("n") >= PAGES)).groupBy("host").agg(F.collect_set("path").alias("low")), "low")
-    size = low.agg(F.sum(F.length("host") + F.length(F.concat_ws("", "low")) + 64)).first()[0] or 0
+    size = low.agg(F.sum(F.length("host") + 8 * F.size("low") + 64)).first()[0] or 0
     joined = rows.join(low.select("host", "low").hint("broadcast" if size <= 32_000_000 else "merge"), "host", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

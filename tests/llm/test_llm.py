@@ -276,6 +276,16 @@ def test_html_confirms_doubtful_marks(spark):
     assert got[3] == "Lead 3 Story 3" and got[50] == "Always the same 0 Lead 50 Story 50 Tell all"
 
 
+def test_html_judges_deep_blocks(spark):
+    from graphloom.llm.html_text import extract
+
+    div = "<body><div id=page><div class=wrap><div class=row><div class=col><div class=box>Join us</div><div class=text><h2>Head {0}</h2><p>Story {0}</p></div><ul><li>Go<li>Up</ul></div></div></div></div>"
+    held = "<body><div id=page><div class=wrap><div class=row><div class=col><div>Join us</div><article><p>Same in all</p></article></div></div></div></div>"
+    pages = [(k, "http://div/", div.format(k)) for k in range(20)] + [(k, "http://held/", held) for k in range(20, 40)] + [(40, "x", "<body>" + "<div>" * 2000 + "deep")]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Head 3 Story 3" and got[25] == "Same in all" and got[40] == "deep"
+
+
 def test_bpe(spark, docs, rows, nothing):
     import public_tokenizers
     from graphloom.llm.bpe import bpe_decode, bpe_digests, bpe_encode
