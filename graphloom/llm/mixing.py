@@ -72,7 +72,7 @@ def _fold(items: Column, seed: int) -> Column:
     )
 
 
-def mix_to_weights(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block: int = BLOCK, seed: int = SEED, size: Column | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix_to_weights(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block: int = BLOCK, seed: int = SEED, size: Column | None = None, id_col: str = "doc_id", source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """How often the mix takes each document so that every source's taken words come near its target.
 
     A document of a source is expected target / source_size times. The whole part is taken as it is; the
@@ -81,23 +81,23 @@ def mix_to_weights(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block: in
     residuals fold again, and so on up a tree; the last one of a source is settled by its own chance.
     What a source takes therefore differs from its target by less than one document.
 
-    Returns one row per input row: id, source, size, source_size, target, copies, taken. Null text has
+    Returns one row per input row: id, source, size, source_size, target, copies, taken, and row_col (a written row number) if given. Null text has
     size 0; documents of size 0 take nothing; null sources form one source, the last; repeated rows count
     each; an empty table gives an empty result; the random numbers depend on ids and `seed` only.
     """
     size = word_count(F.col("text")) if size is None else size
-    sizes = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")), "sizes")
+    sizes = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), (F.lit(0) if row_col is None else F.col(row_col)).cast("long").alias("row")), "sizes")
     targets = written(source_targets(sizes, weights, most), "targets")
     named = targets.select(F.col("source").alias("_source"), "docs", "source_size", "target")
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = (
         sized_join(sizes, named, F.col("source").eqNullSafe(F.col("_source")), "inner", 100_000)
         .withColumn("share", share)
-        .select("id", "source", "size", "docs", F.floor("share").alias("whole"), (F.col("share") - F.floor("share")).alias("x"), F.xxhash64("id", F.lit(seed)).alias("u"))
+        .select("id", "source", "size", "row", "docs", F.floor("share").alias("whole"), (F.col("share") - F.floor("share")).alias("x"), F.xxhash64("id", F.lit(seed)).alias("u"))
     )
     open_ = (F.col("size") > 0) & (F.col("x") > 1e-12)
-    item = F.struct("u", "id", "size", "whole", "x")
-    settled = [rows.where(~open_).select("id", "source", "size", F.when(F.col("size") > 0, F.col("whole")).otherwise(0).alias("copies"))]
+    item = F.struct("u", "id", "size", "whole", "x", "row")
+    settled = [rows.where(~open_).select("id", "source", "size", "row", F.when(F.col("size") > 0, F.col("whole")).otherwise(0).alias("copies"))]
     blocks = F.ceil(F.col("docs") / block)
     level = rows.where(open_).select("source", F.pmod(F.col("u"), blocks).alias("block"), item.alias("item"))
     left = -(-(targets.agg(F.max("docs")).first()[0] or 0) // block)
@@ -106,16 +106,16 @@ def mix_to_weights(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block: in
             level.groupBy("source", "block").agg(F.collect_list("item").alias("items")).select("source", "block", _fold(F.col("items"), seed).alias("f")),
             "folded",
         )
-        settled.append(folded.select("source", F.explode("f.done").alias("d")).select("d.id", "source", "d.size", (F.col("d.whole") + F.col("d.x")).cast("long").alias("copies")))
+        settled.append(folded.select("source", F.explode("f.done").alias("d")).select("d.id", "source", "d.size", "d.row", (F.col("d.whole") + F.col("d.x")).cast("long").alias("copies")))
         if left <= 1:
             break
         left = -(-left // block)
         level = folded.select("source", F.floor(F.col("block") / block).alias("block"), F.col("f.rest").alias("item"))
     last = F.when(uniform(F.col("f.rest.id"), F.lit(seed + 1)) < F.col("f.rest.x"), 1).otherwise(0)
-    settled.append(folded.where("f.rest is not null").select("f.rest.id", "source", "f.rest.size", (F.col("f.rest.whole") + last).cast("long").alias("copies")))
+    settled.append(folded.where("f.rest is not null").select("f.rest.id", "source", "f.rest.size", "f.rest.row", (F.col("f.rest.whole") + last).cast("long").alias("copies")))
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)
     return sized_join(out, named, F.col("source").eqNullSafe(F.col("_source")), "inner", 100_000).select(
-        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *([] if row_col is None else [F.col("row").alias(row_col)])
     )

@@ -74,7 +74,7 @@ def kth_largest(df: DataFrame, col: str, k: int, bins: int = 1024) -> float:
             return low
 
 
-def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Score documents by how much more likely the target's n-grams make them, and draw the best by Gumbel top-k.
 
     The target texts are those with a label of quality 1 and toxic 0; the raw texts are all. A document's
@@ -82,11 +82,12 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, see
     the k largest keys are a sample without replacement by weight. k is `share` of the documents that have
     a word; by default the share of labelled documents with quality 1.
 
-    Returns one row per input row: id, log_weight, key, selected. A text without words has null weight and
+    Returns one row per input row: id, log_weight, key, selected, and the columns of `keep`. A text without words has null weight and
     is not selected; without labels all weights are 0 and all documents with words are selected; ties with
     the k-th key are all selected; repeated rows get equal results; other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"keep_{k}") for k, c in enumerate(keep)])
+    kept = rows.columns[2:]
     labels = labels.select(F.col("doc_id").alias("id"), "quality", "toxic").where("quality is not null")
     target = written(labels.where("quality = 1 and coalesce(toxic, 0) = 0 and id is not null").select("id").distinct(), "target")
     if share is None:
@@ -97,12 +98,12 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, see
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [grams(t) for t in b["text"]]
-            yield pd.DataFrame({"id": b["id"], "log_weight": [float(ratio.value[f].mean(dtype=np.float64)) * WEIGHT if len(f) else None for f in found]})
+            yield pd.DataFrame({"id": b["id"], "log_weight": [float(ratio.value[f].mean(dtype=np.float64)) * WEIGHT if len(f) else None for f in found]} | {c: b[c] for c in kept})
 
     kind = rows.schema["id"].dataType.simpleString()
     noise = -F.log(-F.log(uniform("id", F.lit(seed)) + F.lit(2.0**-54)))
-    scored = written(rows.mapInPandas(run, f"id {kind}, log_weight double").withColumn("key", F.col("log_weight") + noise), "scored")
+    scored = written(rows.mapInPandas(run, ", ".join([f"id {kind}, log_weight double", *[f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept]])).withColumn("key", F.col("log_weight") + noise), "scored")
     n = scored.where("key is not null").count()
     k = round(share * n)
     low = kth_largest(scored.where("key is not null"), "key", k) if 0 < k else float("inf")
-    return scored.select(F.col("id").alias(id_col), "log_weight", "key", F.coalesce(F.col("key") >= F.lit(low), F.lit(False)).alias("selected"))
+    return scored.select(F.col("id").alias(id_col), "log_weight", "key", F.coalesce(F.col("key") >= F.lit(low), F.lit(False)).alias("selected"), *[F.col(c).alias(k) for c, k in zip(kept, keep, strict=True)])

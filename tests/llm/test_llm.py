@@ -361,3 +361,25 @@ def test_pipeline(spark, sf_dir):
     assert sorted(r.doc_id for r in P.near(spark, docs, sf_dir).collect()) == sorted(i for i, (_, c) in comp.items() if c == i)
     out = P.run(spark, sf_dir)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and 0 < out.count() < 3 * len(raw)
+
+
+def test_pipeline_judges_rows_not_ids(spark, sf_dir):
+    import corpus_pipeline as P
+    from graphloom.llm.mixing import mix_to_weights
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    kept = {r.text for r in P.quality(spark, docs, sf_dir).where("text <> ''").limit(40).collect()}
+    clean = docs.where(F.col("text").isin(list(kept))).dropDuplicates(["text"]).limit(20)
+    empty = clean.select("doc_id", F.lit("").alias("text"), "lang", "source", "n_chars")
+    null = clean.withColumn("doc_id", F.lit(None).cast("long"))
+    mixed = clean.unionByName(empty).unionByName(null).unionByName(empty.withColumn("doc_id", F.lit(None).cast("long")))
+    got = P.quality(spark, mixed, sf_dir)
+    assert got.where("text = ''").count() == 0 and got.where("doc_id is null").count() > 0 and got.where("doc_id is not null").count() > 0
+
+    # one id, texts of many sizes: the mix takes each row as often as its own decision says
+    rows = [(None if k % 2 else 7, " ".join(["w"] * (k % 9 + 1)) + f" r{k}", "en", f"s{k % 3}", 1) for k in range(300)]
+    d = spark.createDataFrame(rows, EMPTY).repartition(3)
+    out = P.mix(spark, d, sf_dir)
+    words = {(r.source): r.w for r in out.groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("w")).collect()}
+    for r in mix_to_weights(d).groupBy("source").agg(F.max("target").alias("t"), F.max("size").alias("m")).collect():
+        assert abs(words.get(r.source, 0) - r.t) <= r.m
