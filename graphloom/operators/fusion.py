@@ -16,11 +16,15 @@ def totals(given: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def raw_properties(rows: DataFrame, links: int = 10, chars: int = 500) -> DataFrame:
-    """s, p, o, o_kind from (s, key, raw): linked titles (up to `links`) if any, else text (up to `chars`)."""
+    """s, p, o, o_kind, dt from (s, key, raw): linked titles (up to `links`) if any, else the text unless longer than `chars`; digits are an xsd:integer."""
     found = rows.withColumn("links", X.links(F.col("raw")))
-    linked = found.where(F.size("links") > 0).select("s", F.col("key").alias("p"), F.explode(F.slice("links", 1, links)).alias("o"), F.lit("iri").alias("o_kind"))
-    text = found.where(F.size("links") == 0).select("s", F.col("key").alias("p"), F.substring(X.render(F.col("raw")), 1, chars).alias("o"), F.lit("lit").alias("o_kind"))
-    return linked.unionByName(text.where("o <> ''"))
+    none = F.lit(None).cast("string").alias("dt")
+    linked = found.where(F.size("links") > 0).select("s", F.col("key").alias("p"), F.explode(F.slice("links", 1, links)).alias("o"), F.lit("iri").alias("o_kind"), none)
+    text = found.where(F.size("links") == 0).select("s", F.col("key").alias("p"), X.render(F.col("raw")).alias("o"), F.lit("lit").alias("o_kind"))
+    text = text.where((F.col("o") != "") & (F.length("o") <= chars))
+    digits = F.col("o").rlike(r"^[0-9]+$")
+    number = text.withColumn("dt", F.when(digits, "xsd:integer")).withColumn("o", F.when(digits, F.regexp_replace("o", r"^0+(?=[0-9])", "")).otherwise(F.col("o")))
+    return linked.unionByName(number)
 
 
 def best(statements: DataFrame, keys: list[str], preferred: Column) -> DataFrame:

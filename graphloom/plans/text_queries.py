@@ -225,7 +225,16 @@ def x10(spark, d):
     from graphloom.operators.fusion import raw_properties
 
     rows = _boxes(spark, d).select(F.concat(F.lit("kg:player/"), "c_custkey").alias("s"), F.explode(X.params(X.infobox(F.col("page")))).alias("key", "raw"))
-    return raw_properties(rows.where("key in ('club', 'name', 'height')"))
+    return raw_properties(rows.where("key in ('club', 'name', 'height')")).drop("dt")
+
+
+@query("x10_raw_property_rows_all_keys", "SELECT 'kg:player/' || c_custkey AS s, unnest(['birth_date', 'club', 'height', 'name', 'name2', 'caps', 'edge']) AS p, unnest([(1950 + c_custkey % 50) || '-3-7', 'Club ' || (c_custkey % 10), '1.80', c_name, 'a; b', c_custkey::VARCHAR, repeat('x', 500)]) AS o, unnest(['lit', 'iri', 'lit', 'lit', 'lit', 'lit', 'lit']) AS o_kind, unnest([NULL, NULL, NULL, NULL, NULL, 'xsd:integer', NULL]) AS dt FROM customer")
+def x10_all(spark, d):
+    from graphloom.operators.fusion import raw_properties
+
+    more = F.create_map(F.lit("caps"), F.concat(F.lit("00"), "c_custkey"), F.lit("edge"), F.repeat(F.lit("x"), 500), F.lit("notes"), F.repeat(F.lit("x"), 501))
+    rows = _boxes(spark, d).select(F.concat(F.lit("kg:player/"), "c_custkey").alias("s"), F.explode(F.map_concat(X.params(X.infobox(F.col("page"))), more)).alias("key", "raw"))
+    return raw_properties(rows.where(~F.col("key").rlike(X.SKIP)))
 
 
 @query("x11_property_dictionary", "SELECT 'clickName' AS p, 'click_name' AS label WHERE false UNION ALL SELECT event_type || 'Key' AS p, max(event_type || ' KEY') AS label FROM events GROUP BY event_type")
