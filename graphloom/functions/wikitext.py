@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from graphloom.functions.terms import norm_title
 
-#: Passes over innermost templates; deeper nesting stays as it is.
-PASSES = 4
+#: While templates are worked on, control characters stand for a bar in a link, {{ and }}, [[ and ]], and {{ and }} of templates that are done.
+BAR, OPEN, CLOSE, LINK, UNLINK, DONE, ENDED = "\u0001\u0002\u0003\u0004\u0005\u0006\u0007"
 #: Keys that name images, kits or map styling.
 SKIP = r"(?i)^(?:image|logo|caption|alt|map|pushpin|kit|pattern|leftarm|body|rightarm|shorts|socks)"
 
@@ -24,20 +26,61 @@ def template_name(name: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(t, r"\s+", " ")))
 
 
-def _inner(text: Column) -> Column:
-    """Interpret the innermost templates once."""
-    t = F.regexp_replace(text, r"(?i)\{\{\s*(?:birth date|death date|start date)[^{}|]*\|(?:[^{}|=]*=[^{}|]*\|)*(\d{4})\|(\d{1,2})\|(\d{1,2})[^{}]*\}\}", "$1-$2-$3")
-    t = F.regexp_replace(t, r"(?i)\{\{\s*(?:height|convert|cvt)\s*\|\s*(?:m\s*=\s*)?([0-9.,]+)[^{}]*\}\}", "$1")
-    t = F.regexp_replace(t, r"(?i)\{\{\s*url\s*\|\s*([^{}|]+)[^{}]*\}\}", "$1")
-    t = F.regexp_replace(t, r"(?i)\{\{\s*(?:nowrap|small|lang\|[a-z-]+|flagicon text)\s*\|([^{}|]*)\}\}", "$1")
-    return F.regexp_replace(t, r"(?i)\{\{(?!\s*(?:nowrap|small|lang\||flagicon text|url|height|convert|cvt|birth date|death date|start date))[^{}]*\}\}", "")
+# Fixed names of templates.
+_NOT_DATE = r"(?!\s*(?:updated?\s*[|\x07]|cite|citation|chú thích))"
+DATE = _NOT_DATE + r"\s*(?:[^|\x06\x07]*date[^|\x06\x07]*|(?:ngày|năm)(?![\p{L}\p{N}])[^|\x06\x07]*|bda\s*|dob\s*)"
+SITE = r"\s*(?:url|official website|official url|website|trang web chính thức)\s*"
+LIST = r"\s*(?:ubl|unbulleted list|plainlist|plain list|hlist|flatlist|bulleted list|danh sách)\s*"
+FIRST = r"\s*(?:nowrap|nobr|small|big|nowrap begin|abbr|lang-vi|nobold|ill|sortname|vn|flagicon text)\s*"
+SECOND = r"\s*(?:lang|sort|ngôn ngữ)\s*"
+#: Named parameters, with the bar after each; and one without a name, or with a number for one.
+NAMED, PLAIN = r"(?:\s*[\p{L}][\p{L}\p{N} _-]*=[^|\x06\x07]*\|)*", r"(?:\s*[0-9]+\s*=)?([^|\x06\x07]*)"
+REST = r"[^\x06\x07]*\x07"
+
+
+def _braces(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit("{{"), F.lit(OPEN)), F.lit("}}"), F.lit(CLOSE))
+
+
+def _depth(text: Column) -> Column:
+    """How many levels of open and close marks a text nests, 1 at least."""
+    step = lambda acc, x: F.when(x == OPEN, F.struct((acc["now"] + 1).alias("now"), F.greatest(acc["most"], acc["now"] + 1).alias("most"))).otherwise(F.struct(F.greatest(acc["now"] - 1, F.lit(0)).alias("now"), acc["most"].alias("most")))
+    return F.aggregate(F.regexp_extract_all(text, F.lit("([\x02\x03])"), F.lit(1)), F.struct(F.lit(0).alias("now"), F.lit(1).alias("most")), step, lambda acc: acc["most"])
 
 
-def interpret(text: Column, passes: int = PASSES) -> Column:
-    """Interpret nested templates, innermost first: dates, heights, addresses and wrappers stay, others go."""
-    for _ in range(passes):
-        text = _inner(text)
-    return F.regexp_replace(text, r"\{\{[^{}]*\}\}", "")
+def _each_level(text: Column, step) -> Column:
+    """Apply a step to a text as often as it has levels, so that templates of any depth are reached from the innermost on."""
+    return F.aggregate(F.sequence(F.lit(1), _depth(text)), text, lambda t, _: step(t))
+
+
+def _inner(text: Column) -> Column:
+    """Interpret the innermost templates once."""
+    t = F.regexp_replace(text, r"\x02([^\x02\x03]*)\x03", "\x06$1\x07")  # one level of them
+    t = F.regexp_replace(t, rf"(?iu)\x06{DATE}\|{NAMED}\s*(\d{{4}})\s*\|{NAMED}\s*(\d{{1,2}})\s*\|{NAMED}\s*(\d{{1,2}})\s*(?=[|\x07]){REST}", "$1-$2-$3")
+    t = F.regexp_replace(t, rf"(?iu)\x06{DATE}\|{NAMED}\s*(\d{{4}})\s*\|{NAMED}\s*(\d{{1,2}})\s*(?=[|\x07]){REST}", "$1-$2")
+    t = F.regexp_replace(t, rf"(?iu)\x06{DATE}\|{NAMED}{PLAIN}{REST}", "$1")
+    t = F.regexp_replace(t, rf"(?iu)\x06\s*(?:height|chiều cao|convert|cvt|đổi)\s*\|\s*(?:m(?:eters)?\s*=\s*)?([0-9.,]+){REST}", "$1")
+    t = F.regexp_replace(t, rf"(?iu)\x06\s*(?:height|chiều cao)\s*\|\s*cm\s*=\s*([0-9.,]+){REST}", "$1 cm")
+    t = F.regexp_replace(t, rf"(?iu)\x06{SITE}\|(?:\s*(?:1|url)\s*=)?\s*([^|\x06\x07]*){REST}", "$1")
+    t = F.regexp_replace(t, rf"(?iu)\x06{SECOND}\|{NAMED}[^|\x06\x07]*\|{NAMED}{PLAIN}{REST}", "$1")
+    t = F.regexp_replace(t, rf"(?iu)\x06(?:{FIRST}|{SECOND})\|{NAMED}{PLAIN}{REST}", "$1")
+    t = F.regexp_replace(t, rf"(?iu)\x06{LIST}\|([^\x06\x07]*)\x07", "\x04$1\x05")
+    inside = r"(?=[^\x04-\x07]*\x05)"
+    t = F.regexp_replace(t, rf"(?<=[\x04|])\s*[\p{{L}}][\p{{L}}\p{{N}} _-]*=[^|\x04-\x07]*{inside}", "")
+    t = F.regexp_replace(t, rf"(?<=[\x04|])\s*[0-9]+\s*={inside}", "")
+    t = F.regexp_replace(t, rf"(?:\||(?:^|\n|(?<=[\x04|]))\s*\*+){inside}", "; ")
+    t = F.regexp_replace(t, rf"(?:;\s*)+(?:;\s*){inside}", "; ")
+    t = F.regexp_replace(t, r"\x04[;\s]*|[;\s]*\x05", "")
+    return F.regexp_replace(t, r"\x06[^\x06\x07]*\x07", "")
+
+
+def interpret(text: Column) -> Column:
+    """Interpret nested templates, innermost first and of any depth: dates, heights, addresses, lists and wrappers stay, others go."""
+    t = text
+    for _ in range(3):  # up to three bars in a link are not those of its template
+        t = F.regexp_replace(t, r"\[\[([^\[\]|]*)\|([^\[\]]*)\]\]", f"[[$1{BAR}$2]]")
+    t = _each_level(_braces(t), _inner)
+    return F.replace(F.replace(F.translate(t, BAR, "|"), F.lit(OPEN), F.lit("{{")), F.lit(CLOSE), F.lit("}}"))
 
 
 def render(text: Column) -> Column:
@@ -60,9 +103,11 @@ def links(text: Column) -> Column:
 
 
 def external_links(text: Column) -> Column:
-    """Distinct addresses in the external-links section."""
-    section = F.regexp_extract(text, r"(?is)==\s*(?:external links|liên kết ngoài)\s*==(.*?)(?:\n==[^=]|\z)", 1)
-    return F.array_distinct(F.regexp_extract_all(section, F.lit(r"(https?://[^\s\]|<>\"}]+)"), F.lit(1)))
+    """Distinct addresses in the external-links section, those of official-site templates too (bare domains with http://)."""
+    section = F.regexp_extract(text, r"(?isu)==\s*(?:external links|liên kết ngoài)\s*==(.*?)(?:\n==[^=]|\z)", 1)
+    full = r"https?://[^\s\]|<>\"}]+"
+    found = F.regexp_extract_all(section, F.lit(rf"(?iu)((?<=[{{]{{2}}){SITE}\|\s*+(?:(?:1|url)\s*=\s*)?+(?!https?://)[^\s|{{}}]+\.[^\s|{{}}]+|{full})"), F.lit(1))
+    return F.array_distinct(F.transform(found, lambda x: F.when(x.rlike("^https?://"), x).otherwise(F.concat(F.lit("http://"), F.regexp_replace(x, r"(?iu)^[^|]*\|\s*(?:(?:1|url)\s*=)?\s*", "")))))
 
 
 def first_url(text: Column) -> Column:
@@ -72,18 +117,33 @@ def first_url(text: Column) -> Column:
     return F.when(full != "", full).when(bare != "", F.concat(F.lit("http://"), bare))
 
 
-def infobox(text: Column) -> Column:
-    """The body of the first template whose name begins with infobox, nested templates and all (two levels)."""
-    return F.regexp_extract(text, r"(?is)\{\{\s*((?:infobox|hộp thông tin)(?:[^{}]|\{\{(?:[^{}]|\{\{[^{}]*\}\})*\}\})*)\}\}", 1)
+def _templates(text: Column, name: str) -> Column:
+    """Bodies of the templates whose name begins as the pattern says, nested templates of any depth and all; unclosed ones are left out."""
+    pieces = F.split(F.concat(F.lit(" "), _braces(text)), rf"(?iu)(?=\x02\s*(?:(?:template|bản mẫu)\s*:\s*)?(?:{name}))")
+    rest = F.transform(F.sequence(F.lit(2), F.size(pieces)), lambda k: F.substring(F.array_join(F.slice(pieces, k, F.size(pieces)), ""), 2, 1 << 30))
+    done = lambda t: F.regexp_replace(t, r"\x02([^\x02\x03]*)\x03", "\x06$1\x07")
+    body = lambda t: F.regexp_extract(_each_level(t, done), r"^\s*([^\x02\x03]*)\x03", 1)
+    shown = lambda t: F.replace(F.replace(t, F.lit(DONE), F.lit("{{")), F.lit(ENDED), F.lit("}}"))
+    return F.when(F.size(pieces) > 1, F.filter(F.transform(rest, lambda t: shown(body(t))), lambda t: t != ""))
+
+
+def infobox(text: Column, aliases: tuple[str, ...] = ()) -> Column:
+    """The body of the first template with one of the names `aliases`, else of the first whose name begins with infobox; '' if there is none."""
+    begins = _templates(text, r"(?:infobox|thông tin|hộp thông tin)(?![\p{L}\p{N}])")
+    named = [r"[\s_]+".join(map(re.escape, a.replace("_", " ").split())) for a in aliases]
+    known = [F.get(_templates(text, rf"(?:{'|'.join(named)})\s*[|\x03]"), F.lit(0))] if named else []
+    return F.when(text.isNotNull(), F.coalesce(*known, F.get(begins, F.lit(0)), F.lit("")))
 
 
 def params(body: Column) -> Column:
     """map of key to raw value of a template body; bars in links and nested templates do not split; the last of a key wins."""
-    hidden = body
-    for _ in range(PASSES):  # innermost links and templates first: their bars and brackets become control characters
-        hidden = F.regexp_replace(hidden, r"\|(?=[^{}\[\]]*(?:\}\}|\]\]))", "\u0001")
-        hidden = F.regexp_replace(hidden, r"\{\{([^{}|]*)\}\}", "\u0002\u0002$1\u0003\u0003")
-        hidden = F.regexp_replace(hidden, r"\[\[([^\[\]|]*)\]\]", "\u0004\u0004$1\u0005\u0005")
+    def hide(t: Column) -> Column:  # innermost links and templates first: their bars and brackets become control characters
+        t = F.regexp_replace(t, r"\|(?=[^{}\[\]]*(?:\}\}|\]\]))", "\u0001")
+        t = F.regexp_replace(t, r"\{\{([^{}|]*)\}\}", "\u0002\u0002$1\u0003\u0003")
+        return F.regexp_replace(t, r"\[\[([^\[\]|]*)\]\]", "\u0004\u0004$1\u0005\u0005")
+
+    levels = _depth(F.replace(F.replace(_braces(body), F.lit("[["), F.lit(OPEN)), F.lit("]]"), F.lit(CLOSE)))
+    hidden = F.aggregate(F.sequence(F.lit(1), levels), body, lambda t, _: hide(t))
     shown = lambda c: F.translate(c, "\u0001\u0002\u0003\u0004\u0005", "|{}[]")
     pairs = F.filter(F.slice(F.split(hidden, r"\|"), 2, 1 << 20), lambda p: F.contains(p, F.lit("=")))
     entries = F.transform(pairs, lambda p: F.struct(F.lower(strip(F.element_at(F.split(p, "=", 2), 1))).alias("k"), shown(strip(F.element_at(F.split(p, "=", 2), 2))).alias("v")))

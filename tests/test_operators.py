@@ -95,6 +95,29 @@ def test_params_of_nested_templates(spark):
     assert d.first()[0] == {"g": "[[h|i]]", "a": "last"}
 
 
+DEEP = "{{short|x}} {{Infobox club | name = {{plainlist|{{small|{{nowrap|{{lang|vi|b}}}}}}|class=c|[[A|d]]}} | ill = {{ill|An|fr|Ana}} | n = {{ubl|a|b|c}} | s = {{sort|1|Zed}} | e = {{end date|2001|2|3}} | p = {{plainlist|\n* x\n* y\n}} | q = {{abbr|No|Number}} | z = {{Infobox sub | y = 1}}}} {{Known_name | k = v}} tail"
+
+
+def test_deep_templates(spark):
+    d = spark.createDataFrame([(DEEP,), ("{{Infobox a | b {{x | c }} {{Infobox d | e = f}}",), ("none",), (None,)], "x string")
+    body = X.infobox(F.col("x"))
+    got = d.select(body.alias("b"), X.params(body).alias("p")).collect()
+    assert got[0].b.endswith("| z = {{Infobox sub | y = 1}}") and got[1].b == "Infobox d | e = f" and got[2].b == "" and got[3].b is None
+    p = d.limit(1).select(F.explode(X.params(body)).alias("k", "v")).select("k", X.render(F.col("v")).alias("v"))
+    assert {r.k: r.v for r in p.collect()} == {"name": "b; d", "ill": "An", "n": "a; b; c", "s": "Zed", "e": "2001-2-3", "p": "x; y", "q": "No", "z": ""}
+    assert d.select(X.infobox(F.col("x"), ("known name",))).first()[0] == "Known_name | k = v"
+
+
+def test_official_sites(spark):
+    d = spark.createDataFrame([("a {{url|no.example}}\n== External links ==\n* {{Official website|www.club.example}}\n* [https://b.example/x B]\n* {{url|1=http://c.example}}\n== Notes ==\nhttp://d.example",)], "x string")
+    assert d.select(X.external_links(F.col("x"))).first()[0] == ["http://www.club.example", "https://b.example/x", "http://c.example"]
+
+
+def test_raw_properties(spark):
+    d = spark.createDataFrame([("s", "a", "007"), ("s", "b", "x" * 501), ("s", "c", "x" * 500), ("s", "d", "[[t]]"), ("s", "e", "1a")], "s string, key string, raw string")
+    assert {(r.p, r.o, r.o_kind, r.dt) for r in M.raw_properties(d).collect()} == {("a", "7", "lit", "xsd:integer"), ("c", "x" * 500, "lit", None), ("d", "T", "iri", None), ("e", "1a", "lit", None)}
+
+
 def test_fusion(spark):
     s = spark.createDataFrame([(1, 1, True), (1, 2, False), (2, 3, False), (2, 4, False)], "k int, v int, pref boolean")
     assert pairs(M.best(s, ["k"], F.col("pref")), "k", "v") == [(1, 1), (2, 3), (2, 4)]
