@@ -58,6 +58,14 @@ def z17(spark, d):
     return x.select("name", "club").distinct()
 
 
+@query("z17_club_career_of_every_player", "SELECT DISTINCT 'kg:player/' || c_custkey AS p, c_name AS name, s_name AS club FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE o_orderstatus = 'F'")
+def z17_all(spark, d):
+    t = graph(spark, d)
+    who = G.pattern(t, "?p", LABEL, "?name").where(F.col("p").startswith("kg:player/")).distinct()
+    x = G.natural(who, G.bgp(t, ("?p", "kg:careerStation", "?st"), ("?st", TYPE, "kg:ClubStation"), ("?st", "kg:team", "?c"), ("?c", LABEL, "?club")))
+    return x.select("p", "name", "club").distinct()
+
+
 @query("z22_facts_of_one_entity", "SELECT s_name AS name, n_name AS prov, p_name AS ground FROM supplier JOIN nation ON n_nationkey = s_nationkey LEFT JOIN " + _GROUND + " ON l_suppkey = s_suppkey LEFT JOIN part ON p_partkey = pk WHERE s_suppkey = 3")
 def z22(spark, d):
     t = graph(spark, d)

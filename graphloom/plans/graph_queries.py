@@ -429,6 +429,14 @@ def z31(spark, d):
     return x.select("p", F.col("y").try_cast("long").alias("start"), "team").distinct()
 
 
+@query("z31_teams_by_start_year_of_every_player", "SELECT DISTINCT 'kg:player/' || o_custkey AS p, CAST(year(o_orderdate) AS BIGINT) AS start, 'kg:club/' || l_suppkey AS team FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
+def z31_all(spark, d):
+    t = graph(spark, d)
+    who = G.pattern(t, "?p", TYPE, "kg:FootballPlayer")
+    x = G.natural(who, G.bgp(t, ("?p", "kg:careerStation", "?st"), ("?st", "kg:startYear", "?y"), ("?st", "kg:team", "?team")))
+    return x.select("p", F.col("y").try_cast("long").alias("start"), "team").distinct()
+
+
 @query("z33_grounds_in_known_provinces", f"SELECT count(*) AS n FROM {_GROUND} JOIN part ON p_partkey = pk JOIN nation ON n_nationkey = p_partkey % 25")
 def z33(spark, d):
     t = graph(spark, d)

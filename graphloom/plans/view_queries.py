@@ -71,6 +71,12 @@ def l08(spark, d):
     return x.select(F.col("o").alias("node")).distinct().orderBy("node").limit(60)
 
 
+@query("l08_evidence_nodes_of_every_player", "SELECT DISTINCT 'kg:province/' || c_nationkey AS node FROM customer ORDER BY node LIMIT 60")
+def l08_all(spark, d):
+    x = graph(spark, d).where("p = 'kg:birthProvince'")
+    return x.select(F.col("o").alias("node")).distinct().orderBy("node").limit(60)
+
+
 @query("l09_alternative_names", "SELECT o.n_name AS alternative, n.n_name AS name FROM nation o JOIN nation n ON o.n_nationkey % 3 = 2 AND n.n_nationkey = o.n_nationkey // 2")
 def l09(spark, d):
     t = graph(spark, d)
@@ -329,6 +335,19 @@ def u03(spark, d):
     return x.groupBy("doc_id").agg(F.sum(F.greatest(F.size("w") - F.col("n") + 1, F.lit(0))).alias("spans"))
 
 
+@query(
+    "u03_every_word_ngram",
+    r"""WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS pos FROM d, range(1, 9) t(n))
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(n AS INTEGER) AS n, array_to_string(w[pos:pos + n - 1], ' ') AS gram FROM s""",
+)
+def u03_all(spark, d):
+    w = F.filter(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    x = table(spark, d, "documents").select("doc_id", w.alias("w")).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(8)))).where(F.size("w") >= F.col("n"))
+    spans = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.struct(i.alias("pos"), F.col("n").alias("n"), F.array_join(F.slice("w", i, F.col("n")), " ").alias("gram")))
+    return x.select("doc_id", F.explode(spans).alias("s")).select("doc_id", "s.*")
+
+
 @query("u05_linked_mentions", "SELECT p_partkey AS qid, CAST(pos AS INTEGER) AS pos, CAST(len(string_split(p_name, ' ')) AS INTEGER) AS n, lower(p_name) AS text FROM (SELECT p_partkey, p_name, 3 AS pos FROM part) WHERE p_name IN (SELECT p_name FROM part GROUP BY p_name HAVING count(*) <= 6)")
 def u05(spark, d):
     p = table(spark, d, "part")
