@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.functions.terms import fold, token_key
-from graphloom.operators.closure import closure, final_successor
+from graphloom.operators.closure import closure, final_successor, held
 from graphloom.operators.inference import TYPE
 
 LABEL = "rdfs:label"
@@ -36,11 +36,13 @@ def name_index(triples: DataFrame, main: list[str]) -> DataFrame:
 def search(names: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """qid, entity, name, place: the k best names that contain each query (qid, text): equal, prefix, word start, inside; then shorter, then by name.
 
-    The queries are a checked small table; names and queries meet on a shared three-letter piece.
+    Names and queries meet on a shared piece of three letters, or of one or two for queries that have no more;
+    white space in queries counts as one space, empty queries find nothing.
     """
-    pieces = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))
-    q = queries.select("qid", fold(F.col("text")).alias("q"))
-    q = q.withColumn("piece", F.substring("q", 1, 3)).where(F.length("q") >= 3)
+    of = lambda c, k: F.when(F.length(c) >= k, F.transform(F.sequence(F.lit(1), F.length(c) - (k - 1)), lambda i: F.substring(c, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    pieces = lambda c: F.array_distinct(F.concat(of(c, 1), of(c, 2), of(c, 3)))
+    q = queries.select("qid", F.trim(F.regexp_replace(fold(F.col("text")), r"\s+", " ")).alias("q")).where("q <> ''")
+    q = q.withColumn("piece", F.substring("q", 1, 3))
     n = names.withColumn("piece", F.explode(pieces(F.col("folded"))))
     hit = n.join(q, "piece").where(F.contains("folded", F.col("q"))).drop("piece").distinct()
     rank = F.when(F.col("folded") == F.col("q"), 0).when(F.startswith("folded", F.col("q")), 1).when(F.contains(F.concat(F.lit(" "), "folded"), F.concat(F.lit(" "), "q")), 2).otherwise(3)
@@ -49,6 +51,15 @@ def search(names: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return best.withColumn("place", place.cast("long")).where(F.col("place") <= k).select("qid", "entity", "b.name", "place")
 
 
+def counted(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """Add the 1-based rank by a column: row numbers inside written range partitions plus the counts of those before, so no task sorts all rows."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = held(rows.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()), "counted")
+    before = part.groupBy("_part").count().select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))  # a row per partition
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(order))
+    return part.withColumn("_n", inside).join(F.broadcast(before), "_part").withColumn(name, F.col("_n") + F.col("_before")).drop("_part", "_n", "_before")
+
+
 def property_table(triples: DataFrame, cap: int = 40) -> DataFrame:
     """s, p, o, place, total: values per property, IRIs first, sorted; `cap` shown, all counted."""
     w = Window.partitionBy("s", "p")

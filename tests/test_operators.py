@@ -113,6 +113,12 @@ def test_official_sites(spark):
     assert d.select(X.external_links(F.col("x"))).first()[0] == ["http://www.club.example", "https://b.example/x", "http://c.example"]
 
 
+def test_search_answers_short_queries(spark):
+    names = spark.createDataFrame([("e1", "Abc", "abc"), ("e2", "x", "x"), ("e3", "ca x", "ca x")], "entity string, name string, folded string")
+    queries = spark.createDataFrame([(1, "X"), (2, " c "), (3, "ab"), (4, ""), (5, "ca  x")], "qid int, text string")
+    assert pairs(V.search(names, queries, 3), "qid", "entity", "place") == [(1, "e2", 1), (1, "e3", 2), (2, "e1", 2), (2, "e3", 1), (3, "e1", 1), (5, "e3", 1)]
+
+
 def test_raw_properties(spark):
     d = spark.createDataFrame([("s", "a", "007"), ("s", "b", "x" * 501), ("s", "c", "x" * 500), ("s", "d", "[[t]]"), ("s", "e", "1a")], "s string, key string, raw string")
     assert {(r.p, r.o, r.o_kind, r.dt) for r in M.raw_properties(d).collect()} == {("a", "7", "lit", "xsd:integer"), ("c", "x" * 500, "lit", None), ("d", "T", "iri", None), ("e", "1a", "lit", None)}
