@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import SPACE, fresh, sized_join, written
 
 #: Leaf runs, and runs that one merge of a round takes.
-RUNS, FAN_IN = 64, 8
+RUNS, FAN_IN = 64, 4
 KEY = ["digest", "length", "check"]
 
 
@@ -24,28 +24,28 @@ def _keys(text: Column) -> list[Column]:
 def _merge(runs: DataFrame, key: list[str]) -> DataFrame:
     """One sorted run per run number: each key once, with its smallest (missing id last, id, row) and its rows."""
     merged = runs.groupBy("run", *key).agg(F.min("first").alias("first"), F.sum("rows").alias("rows"))
-    return written(merged.sortWithinPartitions("run", key[0]), "run")
+    return written(merged, "run")
 
 
-def tree_merge(keyed: DataFrame, key: list[str]) -> DataFrame:
+def tree_merge(keyed: DataFrame, key: list[str], fan_in: int = FAN_IN) -> DataFrame:
     """Add `keep` (none, id, row of the smallest id) and `group_size` to each row of (id, *key).
 
-    Rows are dealt to RUNS leaf runs by a hash of their id. In each round, FAN_IN runs are exchanged and
+    Rows are dealt to RUNS leaf runs by a hash of their number. In each round, fan_in runs are exchanged and
     merged into one, keeping the smallest id of a key at every level. The results then go down the same
     tree, so that the rows of a huge group are joined under RUNS separate keys, never in one.
     """
     rows = written(
-        keyed.withColumn("row", F.monotonically_increasing_id()).withColumn("run", F.pmod(F.xxhash64("id"), F.lit(RUNS)).cast("int")), "rows"
+        keyed.withColumn("row", F.monotonically_increasing_id()).withColumn("run", F.pmod(F.xxhash64("row"), F.lit(RUNS)).cast("int")), "rows"
     )
     levels = [_merge(rows.select("run", *key, F.struct(F.col("id").isNull().alias("none"), "id", "row").alias("first"), F.lit(1).cast("long").alias("rows")), key)]
     width = RUNS
     while width > 1:
-        width = -(-width // FAN_IN)
-        levels.append(_merge(levels[-1].withColumn("run", (F.col("run") / FAN_IN).cast("int")), key))
+        width = -(-width // fan_in)
+        levels.append(_merge(levels[-1].withColumn("run", (F.col("run") / fan_in).cast("int")), key))
     found = levels.pop().select("run", *key, F.col("first").alias("keep"), F.col("rows").alias("group_size"))
     for level in reversed(levels):
         found = (
-            level.select(F.col("run").alias("leaf"), (F.col("run") / FAN_IN).cast("int").alias("run"), *key)
+            level.select(F.col("run").alias("leaf"), (F.col("run") / fan_in).cast("int").alias("run"), *key)
             .join(found.hint("merge"), ["run", *key])
             .select(F.col("leaf").alias("run"), *key, "keep", "group_size")
         )

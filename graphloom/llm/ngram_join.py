@@ -1,4 +1,4 @@
-"""N-gram Jaccard join by forests of signature trees."""
+"""N-gram Jaccard join by signature trees."""
 
 from __future__ import annotations
 
@@ -8,296 +8,363 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import components, sized_join, written
+from graphloom.llm.common import components, release, sized_join, small_batches, written
 from graphloom.llm.exact_dedup import tree_merge
-from graphloom.llm.shingles import mix, shingle_set
+from graphloom.llm.shingles import mix, shingle_sets, slices
 
 #: A size band ends at so many times its start.
-BAND = 1.3
-#: Documents of a tree's leaf, about.
-LEAF = 64
-#: Rounds of stars in large groups, and members drawn as centres of each signature.
-ROUNDS, CENTRES = 2, 8
+BAND = 1.6
+#: Documents of a leaf, tokens of a leaf (a document with more has one of its own), and nodes below an inner node.
+LEAF, TOKENS, FAN = 64, 1 << 15, 32
+#: Words of a node's bitmap (64 bits each).
+MAP = 16
 #: Signatures (one long each) up to which those that occur repeatedly are broadcast to drop the others.
-SIGNATURES = 4_000_000
+SIGNATURES = 2_000_000
 
 
 class Bands:
     """Size bands, and how many segments a set is cut into in each.
 
-    Sets of sizes n <= m that link differ in at most (n + m) (den - num) / (den + num) elements, so of
-    more segments than that (cut by hash, alike for both) one at least is equal in both.
+    Sets of sizes n <= m that link differ in at most (n + m) (den - num) / (den + num) elements. Cut into
+    segments by hash, alike for both, at most so many segments differ; so if each set keeps, in one fixed
+    order, one segment more than that, both keep a common one.
     """
 
     def __init__(self, num: int, den: int):
         self.num, self.den, self.edges = num, den, [1]
         while self.edges[-1] < 1 << 40:
             self.edges.append(max(self.edges[-1] + 1, int(self.edges[-1] * BAND)))
-
-    def segments(self, band: int) -> tuple[int, int]:
-        """Most differences in the band; number of segments, with spare ones for segments empty in both sets."""
-        low, high = self.edges[band], self.edges[band + 1] - 1
-        most = 2 * high * (self.den - self.num) // (self.den + self.num)
-        empty = (most + 1) * math.exp(-self.num / self.den * low / (most + 1))
-        return most, most + 1 + int(empty + math.sqrt(empty))
-
-    def of(self, n: int) -> Iterator[int]:
-        """Bands of the sets not smaller that a set of size n can link with."""
+        self.cuts: dict[int, int] = {}
+
+    def differ(self, n: int, m: int) -> int:
+        """Most elements in which linked sets of these sizes differ."""
+        return (n + m) * (self.den - self.num) // (self.den + self.num)
+
+    def segments(self, band: int) -> int:
+        """Segments of a band: as few as hardly ever leave too many empty."""
+        if band not in self.cuts:
+            high = self.edges[band + 1] - 1
+            need, k = self.differ(high, high) + 1, self.differ(high, high) + 1
+            while True:
+                empty = k * math.exp(-high / k)
+                if k - empty - 3 * math.sqrt(empty) >= need or k > 4 * high + 64:
+                    break
+                k += max(1, k // 64)
+            self.cuts[band] = k
+        return self.cuts[band]
+
+    def of(self, n: int) -> Iterator[tuple[int, int]]:
+        """(band, most differences) for each band of sets not smaller that a set of size n can link with."""
         band = int(np.searchsorted(self.edges, n, "right")) - 1
-        while self.edges[band] <= n * self.den // self.num:
-            yield band
+        largest = n * self.den // self.num
+        while self.edges[band] <= largest:
+            yield band, self.differ(n, min(self.edges[band + 1] - 1, largest))
             band += 1
 
 
-def signatures(tokens: np.ndarray, band: int, bands: Bands) -> tuple[int, np.ndarray]:
-    """(segments that are not empty, signatures) of a set in a band; a set with too many empty ones signs those as well."""
-    most, k = bands.segments(band)
-    if not most:
-        return 0, np.empty(0, np.uint64)
-    g = mix(tokens ^ np.uint64(band * 7919 + 1))
-    segment = ((g >> np.uint64(20)) % np.uint64(k)).astype(np.int64)
-    order = np.argsort(segment, kind="stable")
-    at = segment[order]
-    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    with np.errstate(over="ignore"):
-        sums = np.add.reduceat(g[order], starts)
-        full = at[starts]
-        if k - len(full) >= k - most:
-            none = np.setdiff1d(np.arange(k), full)
-            sums, full_ = np.r_[sums, np.zeros(len(none), np.uint64)], np.r_[full, none]
-        else:
-            full_ = full
-        return len(full), mix(sums ^ (full_.astype(np.uint64) * np.uint64(1000003) + np.uint64(band)))
-
-
-def _bits(tokens: np.ndarray) -> np.ndarray:
-    """A 256-bit bitmap of a set as four longs."""
-    return np.packbits(np.isin(np.arange(256), tokens >> np.uint64(56)), bitorder="little").view(np.int64)
+def signatures(tokens: np.ndarray, bands: Bands) -> np.ndarray:
+    """The signatures of a set: in each band the segments that it keeps, each hashed with its place.
+
+    In a band where sets have no more segments than they may differ in, they keep all of them and one
+    common signature besides. Sets that link only if they are equal have none.
+    """
+    out = []
+    for band, most in bands.of(len(tokens)):
+        if not most:
+            continue
+        k = bands.segments(band)
+        at = ((tokens >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
+        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        with np.errstate(over="ignore"):
+            sums = np.add.reduceat(tokens, starts)
+            signed = np.sort(mix(sums ^ (at[starts] * np.uint64(1000003) + np.uint64(band + 1) * np.uint64(0x9E3779B97F4A7C15))))
+        out.append(signed[: most + 1])
+        if len(signed) <= most:
+            out.append(mix(np.array([band], np.uint64)))
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
 def _features(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """id, size, digest (of the set), bits, per band: band, full (segments not empty), sigs."""
-    kind = pa.list_(pa.struct([("band", pa.int32()), ("full", pa.int32()), ("sigs", pa.list_(pa.int64()))]))
+    """id, size, digest (of the set), sigs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
-        for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch = whole.slice(start, 500)
-                size, digest, bits, counts, band_, full_, lens, sigs = [], [], [], [], [], [], [], []
-                for text in batch.column(1).to_pylist():
-                    s = shingle_set(text, n)
-                    size.append(len(s))
-                    digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    bits.append(_bits(s))
-                    mine = list(bands.of(len(s))) if len(s) else []
-                    counts.append(len(mine))
-                    for b in mine:
-                        full, sig = signatures(s, b, bands)
-                        band_.append(b), full_.append(full), lens.append(len(sig)), sigs.append(sig.view(np.int64))
-                inner = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lens)].astype(np.int32)), pa.array(np.concatenate(sigs) if sigs else np.empty(0, np.int64)))
-                rows = pa.StructArray.from_arrays([pa.array(band_, pa.int32()), pa.array(full_, pa.int32()), inner], names=["band", "full", "sigs"])
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), rows).cast(kind)
-                four = np.array(bits, np.int64).reshape(-1, 4)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), *(pa.array(four[:, k]) for k in range(4)), lists],
-                    names=["id", "size", "digest", "b0", "b1", "b2", "b3", "bands"],
-                )
+        for batch, texts in slices(batches, 1):
+            sets = shingle_sets(texts, n)
+            signed = [signatures(s, bands) if len(s) else s for s in sets]
+            flat = np.concatenate(signed).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(s) for s in signed])].astype(np.int32)), pa.array(flat))
+            digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), lists], names=["id", "size", "digest", "sigs"])
 
     id_type = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(
-        run, f"id {id_type}, size long, digest binary, b0 long, b1 long, b2 long, b3 long, bands array<struct<band: int, full: int, sigs: array<long>>>"
-    )
-
+    return docs.mapInArrow(run, f"id {id_type}, size long, digest binary, sigs array<long>")
+
+
+def _bitmap(tokens: np.ndarray) -> np.ndarray:
+    """A set's bitmap of MAP longs."""
+    bits = np.zeros(64 * MAP, bool)
+    bits[(tokens & np.uint64(64 * MAP - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
+def overlaps(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets that x holds one after the other (of sizes nx) with those of y."""
+    values, inverse = np.unique(x, return_inverse=True)
+    at = np.minimum(np.searchsorted(values, y), len(values) - 1)
+    hit = values[at] == y
+    used = np.zeros(len(values), bool)
+    used[at[hit]] = True
+    column = np.cumsum(used) - 1
+    width = int(used.sum())
+    a, b = np.zeros((len(nx), width), np.float32), np.zeros((len(ny), width), np.float32)
+    held = used[inverse]
+    a[np.repeat(np.arange(len(nx)), nx)[held], column[inverse[held]]] = 1
+    b[np.repeat(np.arange(len(ny)), ny)[hit], column[at[hit]]] = 1
+    return (a @ b.T).astype(np.int64)
+
+
+def joined(link: np.ndarray, xs: list, ys: list) -> list[tuple]:
+    """(id, smallest id of its part) for the parts that a matrix of links makes of its rows and columns."""
+    least = sorted({*xs, *ys})
+    place = {i: k for k, i in enumerate(least)}
+    lx, ly = np.array([place[i] for i in xs]), np.array([place[i] for i in ys])
+    none = len(least)
+    while True:
+        new_y = np.minimum(ly, np.where(link, lx[:, None], none).min(axis=0))
+        new_x = np.minimum(lx, np.where(link, new_y[None, :], none).min(axis=1))
+        if (new_x == lx).all() and (new_y == ly).all():
+            break
+        lx, ly = new_x, new_y
+    return sorted({(i, least[k]) for i, k in [*zip(xs, lx.tolist(), strict=True), *zip(ys, ly.tolist(), strict=True)] if i != least[k]})
+
+
+def compared(num: int, den: int, ids_x, part_x, nx, x, ids_y, part_y, ny, y) -> list[tuple]:
+    """Links between the documents of two leaves (or of one with itself) that are not of one part yet, as joined() gives them."""
+    may = (part_x[:, None] != part_y[None, :]) & (nx[:, None] * den >= ny[None, :] * num) & (ny[None, :] * den >= nx[:, None] * num)
+    if not may.any():
+        return []
+    common = overlaps(x, nx, y, ny)
+    link = may & (common * den >= num * (nx[:, None] + ny[None, :] - common))
+    return joined(link, ids_x, ids_y) if link.any() else []
+
+
+NODE = "node long, home long, pure long, ids array<{0}>, parts array<{0}>, sizes array<long>, tokens binary, small long, large long, least long, " + ", ".join(f"b{k} long" for k in range(MAP)) + ", links array<struct<a: {0}, b: {0}>>"
+
+
+def _leaves(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Cut documents, sorted by (home, pure, size, id) in ranges, into leaves; a row per leaf (NODE).
+
+    docs has id, text, home, pure (its component if that is large, else -1), part (its component). A leaf
+    holds documents of one home and one pure. links are those between its own documents.
+    """
+    id_type = docs.schema["id"].dataType.simpleString()
 
-def _linked(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets really link, from the whole texts."""
-    pairs = written(pairs, "pairs")
-    ids = written(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id"), "ids")
-    texts = written(sized_join(docs, ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
-    both = (
-        pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
-        .join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
-        .select("a", "b", "text_a", "text_b")
-    )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, count = TaskContext.get().partitionId() << 32, 0
+        key, ids, parts, sets = None, [], [], []
+        out: list[dict] = []
+
+        def close() -> None:
+            nonlocal count
+            if not ids:
+                return
+            sizes = np.array([len(s) for s in sets], np.int64)
+            tokens = np.concatenate(sets)
+            maps = np.array([_bitmap(s) for s in sets])
+            both = np.bitwise_or.reduce(maps, axis=0)
+            links = []
+            if len(ids) > 1 and key[1] == -1:
+                part = np.array(parts)
+                links = compared(num, den, ids, part, sizes, tokens, ids, part, sizes, tokens)
+            least = min(int(np.unpackbits(m.view(np.uint8)).sum()) for m in maps)
+            row = {"node": task | count, "home": key[0], "pure": key[1], "ids": list(ids), "parts": list(parts), "sizes": sizes.tolist(), "tokens": tokens.tobytes()}
+            row |= {"small": int(sizes.min()), "large": int(sizes.max()), "least": least} | {f"b{k}": int(both[k]) for k in range(MAP)}
+            out.append(row | {"links": [{"a": a, "b": b} for a, b in links]})
+            count += 1
+            ids.clear(), parts.clear(), sets.clear()
+
+        def packed() -> pa.RecordBatch:
+            t = pa.int64() if id_type == "bigint" else pa.int32() if id_type == "int" else pa.string()
+            fields = [("node", pa.int64()), ("home", pa.int64()), ("pure", pa.int64()), ("ids", pa.list_(t)), ("parts", pa.list_(t)), ("sizes", pa.list_(pa.int64())), ("tokens", pa.binary())]
+            fields += [(c, pa.int64()) for c in ("small", "large", "least", *(f"b{k}" for k in range(MAP)))] + [("links", pa.list_(pa.struct([("a", t), ("b", t)])))]
+            return pa.RecordBatch.from_pylist(out, schema=pa.schema(fields))
+
+        for batch, texts in slices(batches, 1):
+            rows = zip(*(batch.column(c).to_pylist() for c in ("id", "home", "pure", "part")), shingle_sets(texts, n), strict=True)
+            for id_, home, pure, part, s in rows:
+                if ids and (key != (home, pure) or len(ids) == LEAF or sum(map(len, sets)) + len(s) > TOKENS):
+                    close()
+                if ids and ids[-1] == id_:  # a repeated row
+                    continue
+                key = home, pure
+                ids.append(id_), parts.append(part), sets.append(s)
+            if len(out) >= 64:
+                yield packed()
+                out.clear()
+        close()
+        if out:
+            yield packed()
+
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["home", "pure", "size", "id"]
+    dealt = docs.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("id", "text", "home", "pure", "part")
+    return dealt.mapInArrow(run, NODE.format(id_type))
+
+
+def _leaf_links(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between the documents of pairs (x, y) of leaves, compared by their whole sets."""
+    kind = nodes.schema["ids"].dataType.elementType.simpleString()
+    load = lambda z: nodes.select(F.col("node").alias(z), *[F.col(c).alias(f"{c}_{z}") for c in ("ids", "parts", "sizes", "tokens")]).hint("merge")
+    both = pairs.join(load("x"), "x").join(load("y"), "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, held, x = [], object(), None
-            for a, text_a, text_b in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
-                if a != held:
-                    held, x = a, shingle_set(text_a, n)
-                y = shingle_set(text_b, n)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(den * common >= num * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    t = pairs.schema["a"].dataType.simpleString()
-    return written(both.mapInArrow(run, f"a {t}, b {t}"), "links")
-
-
-def _bound(x: Column, y: Column, num: int, den: int) -> Column:
-    """Whether two entries' sizes and bitmaps leave room for the overlap that a link needs."""
-    missing = sum((F.bit_count(x[f"b{k}"].bitwiseAND(F.bitwise_not(y[f"b{k}"]))) for k in range(4)), F.lit(0))
-    other = sum((F.bit_count(y[f"b{k}"].bitwiseAND(F.bitwise_not(x[f"b{k}"]))) for k in range(4)), F.lit(0))
-    n, m = x["size"], y["size"]
-    return (
-        (n * den >= m * num) & (m * den >= n * num) & (missing * den <= n * (den - num)) & (other * den <= m * (den - num))
-        & ((missing + other) * (den + num) <= (n + m) * (den - num))
-    )
-
-
-def _need(n: Column, m: Column, full_n: Column, full_m: Column, num: int, den: int) -> Column:
-    """Signatures that linked sets have in common at least: segments not empty in both, less the differences."""
-    return F.greatest(full_n, full_m) - F.floor((n + m) * (den - num) / (den + num))
-
-
-def _mixed(entries: DataFrame, least: int = 2) -> DataFrame:
-    """sig, n of the signatures of `least` or more entries that are not all of one component."""
-    spread = entries.groupBy("sig").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-    return written(spread.where((F.col("low") != F.col("high")) & (F.col("n") >= least)).select("sig", "n"), "mixed")
-
-
-def _stars(entries: DataFrame, round_: int, num: int, den: int) -> DataFrame:
-    """One pair per document of a large mixed signature: with that of some CENTRES drawn members, of another component, with which it shares most."""
-    active = sized_join(entries, _mixed(entries, LEAF // 2), "sig", "inner", SIGNATURES // 2)
-    drawn = F.struct(F.xxhash64("id", F.lit(round_)).alias("h"), "id", "size", "component")
-    centres = active.groupBy("sig", F.pmod(F.xxhash64("id", F.lit(-round_)), F.lit(CENTRES)).alias("slot")).agg(F.min(drawn).alias("c"))
-    centres = written(centres.select("sig", F.col("c.id").alias("a"), F.col("c.size").alias("m"), F.col("c.component").alias("other")), "centres")
-    return (
-        active.join(centres.hint("merge"), "sig")
-        .where((F.col("component") != F.col("other")) & (F.col("size") * den >= F.col("m") * num) & (F.col("m") * den >= F.col("size") * num))
-        .groupBy("id", "a")
-        .agg(F.count("*").alias("shared"))
-        .groupBy("id")
-        .agg(F.max(F.struct("shared", "a")).alias("best"))
-        .select(F.least("best.a", "id").alias("a"), F.greatest("best.a", "id").alias("b"))
-        .distinct()
-    )
-
-
-def _tree_pairs(entries: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of entries of different components that share a signature and may link.
-
-    The entries of a signature form a tree: leaves of about LEAF documents, dealt by the smallest
-    signature so that like documents meet, those of a large component apart, and the root. A leaf holds
-    the OR of its bitmaps, its smallest bitmap's bits and its size range. Pairs of leaves go on only if
-    they are not of one component and the largest overlap possible between any of their documents
-    suffices; then pairs of documents do.
-    """
-    trees = _mixed(entries).select("sig", F.ceil(F.col("n") / LEAF).alias("leaves"))
-    large = F.when(F.col("members") >= LEAF // 2, F.col("component")).otherwise(None)
-    leafed = sized_join(entries, written(trees, "trees"), "sig", "inner", SIGNATURES // 2).select(
-        "*", F.coalesce(large, F.lit(-1).cast("long")).alias("of"), F.pmod("home", "leaves").cast("int").alias("leaf")
-    )
-    bits = [f"b{k}" for k in range(4)]
-    nodes = written(
-        leafed.groupBy("sig", "of", "leaf").agg(
-            F.collect_list(F.struct("id", "size", "component", "band", "own", "full", *bits)).alias("members"),
-            *(F.bit_or(b).alias(b) for b in bits),
-            F.min("size").alias("small"),
-            F.max("size").alias("large"),
-            F.min(sum((F.bit_count(b) for b in bits), F.lit(0))).alias("least"),
-        ),
-        "nodes",
-    )
-    x, y = nodes.alias("x"), nodes.alias("y")
-    common = sum((F.bit_count(F.col(f"x.{b}").bitwiseAND(F.col(f"y.{b}"))) for b in bits), F.lit(0))
+            found = []
+            for k in range(batch.num_rows):
+                side = []
+                for z in ("x", "y"):
+                    ids, parts, sizes, tokens = (batch.column(f"{c}_{z}")[k].as_py() for c in ("ids", "parts", "sizes", "tokens"))
+                    side += [ids, np.array(parts), np.array(sizes, np.int64), np.frombuffer(tokens, np.uint64)]
+                found += compared(num, den, *side)
+            t = batch.column("ids_x").type.value_type
+            yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], t) for j in (0, 1)], names=["a", "b"])
+
+    return written(both.mapInArrow(run, f"a {kind}, b {kind}"), "links")
+
+
+def _homes(entries: DataFrame) -> DataFrame:
+    """id, size, part, pure and home, the signature that a document shares with most others."""
+    return entries.groupBy("id", "size", "part", "pure").agg(F.max(F.struct("n", "sig")).alias("h")).select("id", "size", "part", "pure", F.col("h.sig").alias("home"))
+
+
+def _forest(entries: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(leaves, (sig, node, top) of the signatures under which each leaf hangs; top is its inner node)."""
+    homes = written(_homes(entries), "homes")
+    nodes = written(_leaves(sized_join(docs, homes, "id"), n, num, den), "nodes")
+    place = nodes.select(F.explode("ids").alias("id"), "node")
+    top = F.shiftleft(F.shiftright("node", 32), 32).bitwiseOR(F.shiftright(F.col("node").bitwiseAND(F.lit((1 << 32) - 1)), FAN.bit_length() - 1))
+    hung = written(entries.select("id", "sig").join(place.hint("merge"), "id").select("sig", "node").distinct().withColumn("top", top), "hung")
+    release(homes)
+    return nodes, hung
+
+
+def _summary(nodes: DataFrame, by: str) -> DataFrame:
+    """OR of the bitmaps, the least number of bits, the size range and the pure component (-1 if not one) of nodes by a column."""
+    return nodes.groupBy(by).agg(
+        *(F.bit_or(f"b{k}").alias(f"b{k}") for k in range(MAP)),
+        F.min("small").alias("small"), F.max("large").alias("large"), F.min("least").alias("least"),
+        F.when(F.min("pure") == F.max("pure"), F.min("pure")).otherwise(-1).alias("pure"),
+    )
+
+
+def _met(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (x, y) of nodes that may hold a link, by component, sizes and largest possible overlap."""
+    side = lambda z: nodes.select(F.col(nodes.columns[0]).alias(z), *[F.col(c).alias(f"{c}_{z}") for c in nodes.columns[1:]])
+    few = nodes.count() <= 100_000  # rows of fixed width
+    c = F.col
+    common = sum((F.bit_count(c(f"b{k}_x").bitwiseAND(c(f"b{k}_y"))) for k in range(MAP)), F.lit(0))
     room = (
-        (F.col("x.large") * den >= F.col("y.small") * num) & (F.col("y.large") * den >= F.col("x.small") * num)
-        & ((F.col("x.least") - common) * den <= F.col("x.large") * (den - num))
-        & ((F.col("y.least") - common) * den <= F.col("y.large") * (den - num))
+        ((c("pure_x") != c("pure_y")) | (c("pure_x") == -1))
+        & (c("large_x") * den >= c("small_y") * num) & (c("large_y") * den >= c("small_x") * num)
+        & ((c("least_x") - common) * den <= c("large_x") * (den - num))
+        & ((c("least_y") - common) * den <= c("large_y") * (den - num))
+    )
+    how = "broadcast" if few else "merge"
+    return pairs.join(side("x").hint(how), "x").join(side("y").hint(how), "y").where(room).select(*pairs.columns)
+
+
+def _descend(nodes: DataFrame, hung: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (x, y) of leaves that hang under a common signature and may hold a link: inner nodes first, then their leaves."""
+    tops = hung.select("sig", "top").distinct()
+    inner = written(
+        tops.select("sig", F.col("top").alias("x")).join(tops.select("sig", F.col("top").alias("y")).hint("merge"), "sig").where("x <= y"), "inner"
     )
-    place = lambda n: F.struct(F.col(f"{n}.of"), F.col(f"{n}.leaf"))
-    apart = (F.col("x.of") != F.col("y.of")) | (F.col("x.of") == -1)
-    met = x.join(y.hint("merge"), (F.col("x.sig") == F.col("y.sig")) & (place("x") <= place("y")) & apart & room)
-    p, q = F.col("p"), F.col("q")
-
-    def may_link(q: Column) -> Column:
-        return (
-            (p["component"] != q["component"])
-            & (~F.col("same") | (p["id"] < q["id"]))
-            & (p["band"] == F.greatest(p["own"], q["own"]))
-            & _bound(p, q, num, den)
-        )
-
+    top_of = hung.select("node", "top").distinct()
+    above = written(_summary(nodes.join(top_of.hint("merge"), "node"), "top"), "above")
+    met = written(_met(inner, above, num, den), "met")
+    x = hung.select("sig", F.col("top").alias("x"), F.col("node").alias("leaf_x"))
+    y = hung.select("sig", F.col("top").alias("y"), F.col("node").alias("leaf_y"))
+    below = met.join(x.hint("merge"), ["sig", "x"]).join(y.hint("merge"), ["sig", "y"]).where("leaf_x < leaf_y").select(F.col("leaf_x").alias("x"), F.col("leaf_y").alias("y")).distinct()
+    below = written(below, "below")
+    out = written(_met(below, _summary(nodes, "node"), num, den), "pairs")
+    release(inner, above, met, below)
+    return out
+
+
+def _stars(hung: DataFrame) -> DataFrame:
+    """One pair (x, y) per leaf: with that one, among the first leaves of its signatures, under which it hangs most often."""
+    first = hung.groupBy("sig").agg(F.min("node").alias("x"), F.max("node").alias("last")).where("x < last").select("sig", "x")
     return (
-        met.select((place("x") == place("y")).alias("same"), F.explode("x.members").alias("p"), F.col("y.members").alias("ys"))
-        .select("p", F.explode(F.filter("ys", may_link)).alias("q"))
-        .select(
-            F.least(p["id"], q["id"]).alias("a"),
-            F.greatest(p["id"], q["id"]).alias("b"),
-            _need(p["size"], q["size"], p["full"], q["full"], num, den).alias("need"),
-        )
-        .groupBy("a", "b")
-        .agg(F.count("*").alias("shared"), F.max("need").alias("need"))
-        .where("shared >= need")
-        .select("a", "b")
+        hung.join(first.hint("merge"), "sig")
+        .where("node <> x")
+        .groupBy("node", "x")
+        .agg(F.count("*").alias("shared"))
+        .groupBy("node")
+        .agg(F.max(F.struct("shared", "x")).alias("best"))
+        .select("best.x", F.col("node").alias("y"))
     )
 
 
-def _with_components(entries: DataFrame, links: DataFrame) -> DataFrame:
-    """Entries with their component so far (their own id if none) and its members."""
-    found = components(links)
-    sizes = found.groupBy("component").agg(F.count("*").alias("members"))
-    found = written(found.join(sizes.hint("merge"), "component"), "components")
-    return sized_join(entries, found, "id", "left").withColumns({"component": F.coalesce("component", "id"), "members": F.coalesce("members", F.lit(1))})
-
-
 def ngram_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents linked by Jaccard similarity num/den or more of their n-word shingle sets.
 
     A-Z are lowered; words are runs of characters other than ASCII white space; a text with fewer words
     has one shingle, its whole sequence. Documents with equal sets are one class and compared once.
-    1. Each class cuts its set into segments by hash (see Bands); classes that share a segment's
-       signature are candidates, which loses no link.
-    2. Each class is compared with one partner, the smallest of the signatures they share most of; most
-       large groups are one component after that.
-       In large groups that are not, drawn members are centres of more such rounds.
-    3. The classes that share a signature but no component yet meet in signature trees (_tree_pairs):
-       OR-combined bitmaps, size ranges and the number of signatures in common bound the overlap, and
-       what may still link is compared by its whole sets.
+    1. Each class cuts its set into segments by hash and keeps some of them as signatures (see Bands);
+       linked classes keep a common one.
+    2. Classes with the same most frequent signature are dealt to leaves of bounded size, in order of size;
+       leaves hang under the signatures of their documents. A leaf's documents are compared with each
+       other, and each leaf with the first one of its signatures; most crowds are one component then.
+    3. The classes under signatures that still join several components are dealt anew, large components
+       apart. Inner nodes and leaves hold OR-combined bitmaps, size ranges and their component. Pairs of
+       inner nodes under one signature, then pairs of the leaves below them, are pruned by the largest
+       overlap possible; leaves that are left are compared by their whole sets, with a row per document
+       that gets a new link and none per pair.
 
     Returns one row per input row: id, n_shingles, component_id (smallest id that links reach). Null and
     empty texts have no shingles and no links; a null id belongs to nothing else (component null); ids
     are expected to name one text, and repeated rows give equal results; an empty table gives an empty
     result; other columns are ignored. Exact but for collisions of 64-bit hashes.
     """
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    with small_batches(docs.sparkSession):
+        return _components(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), n, num, den).withColumnRenamed("id", id_col)
+
+
+def _components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     features = written(_features(docs, n, num, den), "features")
     classes = written(
-        tree_merge(features.select("id", "size", "digest"), ["digest", "size"]).select("id", "size", F.when(F.col("size") > 0, F.col("keep.id")).otherwise(F.col("id")).alias("class")),
+        tree_merge(features.select("id", "size", "digest"), ["digest", "size"], fan_in=64).select("id", "size", F.when(F.col("size") > 0, F.col("keep.id")).otherwise(F.col("id")).alias("class")),
         "classes",
     )
     copies = written(classes.where("id <> class").select("id"), "copies")
-    bands = (
-        sized_join(features.where("id is not null and size > 0"), copies, "id", "left_anti")
-        .select("id", "size", "b0", "b1", "b2", "b3", F.explode("bands").alias("e"), F.col("bands")[0]["band"].alias("own"))
-        .where(F.size("e.sigs") > 0)
-        .select("id", "size", "b0", "b1", "b2", "b3", "own", "e.band", "e.full", F.array_min("e.sigs").alias("home"), F.explode("e.sigs").alias("sig"))
-    )
-    often = written(bands.groupBy("sig").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1").drop("n"), "often")
-    entries = written(sized_join(bands, often, "sig", "inner", SIGNATURES // 2), "entries")
-    sizes = entries.select(F.col("id").alias("first"), F.col("size").alias("first_size")).distinct()
-    star = (
-        entries.where("id <> first")
-        .groupBy("id", "first", "size", "full", "band")
-        .agg(F.count("*").alias("shared"))
-        .join(sizes.hint("merge"), "first")
-        .where((F.col("size") * den >= F.col("first_size") * num) & (F.col("first_size") * den >= F.col("size") * num))
-        .groupBy("id")
-        .agg(F.max(F.struct("shared", -F.col("first"))).alias("best"))
-        .select((-F.col("best.col2")).alias("a"), F.col("id").alias("b"))
-    )
-    links = _linked(star, docs, n, num, den)
-    for round_ in range(1, ROUNDS + 1):
-        grouped = _with_components(entries, links)
-        stars = _stars(grouped, round_, num, den)
-        links = links.union(_linked(stars, docs, n, num, den))
-    grouped = _with_components(entries, links)
-    links = links.union(_linked(_tree_pairs(grouped, num, den), docs, n, num, den))
-    last = written(components(links), "components").withColumnRenamed("id", "class")
-    return sized_join(classes, last, "class", "left").select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component", "class").alias("component_id"))
+    signed = sized_join(features.where("id is not null and size > 0").select("id", "size", "sigs"), copies, "id", "left_anti")
+    often = written(signed.select(F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    entries = sized_join(signed.select("id", "size", F.explode("sigs").alias("sig")), often, "sig", "inner", SIGNATURES)
+    entries = written(entries.withColumns({"part": F.col("id"), "pure": F.lit(-1).cast("long")}), "entries")
+    release(features, copies, often)
+
+    nodes, hung = _forest(entries, docs, n, num, den)
+    inside = nodes.select(F.explode("links").alias("l")).select("l.a", "l.b")
+    links = written(inside.union(_leaf_links(_stars(hung), nodes, num, den)), "links")
+    release(nodes, hung)
+
+    found = components(links)
+    sizes = found.groupBy("component").agg(F.count("*").alias("members"))
+    found = written(found.join(sizes.hint("merge"), "component"), "components")
+    large = F.when(F.col("members") >= LEAF, F.xxhash64("component").bitwiseAND(F.lit((1 << 62) - 1))).otherwise(-1)
+    grouped = sized_join(entries.select("id", "size", "sig", "n"), found, "id", "left").withColumns({"part": F.coalesce("component", "id"), "pure": F.coalesce(large, F.lit(-1))})
+    grouped = written(grouped.select("id", "size", "sig", "n", "part", "pure"), "grouped")
+    mixed = written(grouped.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("sig"), "mixed")
+    open_ = written(sized_join(grouped, mixed, "sig", "left_semi", SIGNATURES), "open")
+    release(entries, found, grouped, mixed)
+
+    nodes, hung = _forest(open_, docs, n, num, den)
+    inside = nodes.select(F.explode("links").alias("l")).select("l.a", "l.b")
+    last = links.union(inside).union(_leaf_links(_descend(nodes, hung, num, den), nodes, num, den))
+    last = components(last).withColumnRenamed("id", "class")
+    return sized_join(classes, written(last, "components"), "class", "left").select("id", F.col("size").alias("n_shingles"), F.coalesce("component", "class").alias("component_id"))
