@@ -5,53 +5,67 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import sized_join, uniform, written
-from graphloom.llm.shingles import mix, windows, word_hashes
+from graphloom.llm.shingles import mix, slices, windows, words_of
 
 #: Hash buckets of the word 1- and 2-grams.
-BUCKETS = 1 << 17
-#: Grams that a document's mean log ratio counts for; the larger, the less the Gumbel noise moves.
-WEIGHT = 200.0
+BUCKETS = 1 << 14
+#: The target's model is smoothed by the raw one's, which counts as so many times the target's grams.
+PRIOR = 0.5
 SEED = 7
 
 
-def grams(text: str | None) -> np.ndarray:
-    """Buckets of a text's word 1- and 2-grams."""
-    words = word_hashes(text, lower=True)
-    return (np.r_[mix(words), windows(words, 2)] % np.uint64(BUCKETS)).astype(np.int64)
+def grams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of the 1-grams and of the 2-grams of a batch of texts, and the bounds of each text's among them."""
+    words = words_of(texts, lower=True)
+    a, b = words.bounds[:-1], words.bounds[1:]
+    one = (mix(words.hashes) % np.uint64(BUCKETS)).astype(np.int64)
+    two = (windows(words.hashes, 2) % np.uint64(BUCKETS)).astype(np.int64)
+    return one, two, np.stack([a, b]), np.stack([np.minimum(a, len(two)), np.minimum(np.maximum(b - 1, a), len(two))])
+
+
+def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sum of values[start:end] for the bounds of each text."""
+    total = np.r_[0.0, np.cumsum(values, dtype=np.float64)]
+    return total[bounds[1]] - total[bounds[0]]
 
 
 def gram_models(docs: DataFrame, target: DataFrame) -> np.ndarray:
-    """Log ratio of each bucket's smoothed probability in the target texts to that in all texts.
+    """Log ratio of each bucket's probability in the target texts, smoothed by that in all texts, to the latter.
 
     docs has id and text, target the ids of the target documents. Every text is counted; a task adds up
     its own counts and sends one row per bucket, and the driver holds two numbers per bucket.
     """
     marked = sized_join(docs, target.select("id", F.lit(True).alias("good")), "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        for b in batches:
-            for text, g in zip(b["text"], b["good"], strict=True):
-                f = grams(text)
-                np.add.at(raw, f, 1)
-                if g:
-                    np.add.at(good, f, 1)
+        for batch, texts in slices(batches, 0):
+            is_good = batch.column(1).to_numpy(zero_copy_only=False)
+            one, two, at_one, at_two = grams(texts)
+            for f, (a, b) in ((one, at_one), (two, at_two)):
+                step = np.zeros(len(f) + 1, np.int64)  # +1 where a text's grams begin, -1 where they end
+                np.add.at(step, a, 1), np.add.at(step, b, -1)
+                raw += np.bincount(f[np.cumsum(step)[:-1] > 0], minlength=BUCKETS)
+                step[:] = 0
+                np.add.at(step, a[is_good], 1), np.add.at(step, b[is_good], -1)
+                good += np.bincount(f[np.cumsum(step)[:-1] > 0], minlength=BUCKETS)
         at = np.flatnonzero(raw)
-        yield pd.DataFrame({"bucket": at, "raw": raw[at], "good": good[at]})
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(raw[at]), pa.array(good[at])], names=["bucket", "raw", "good"])
 
     counts = np.zeros((2, BUCKETS))
-    total = marked.mapInPandas(run, "bucket int, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
+    total = marked.mapInArrow(run, "bucket int, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
     for r in total.toPandas().itertuples(index=False):  # BUCKETS rows at most
         counts[:, r.bucket] = r.raw, r.good
     if not counts[1].sum():
         return np.zeros(BUCKETS)
-    share = np.log((counts + 1) / (counts.sum(axis=1, keepdims=True) + BUCKETS))
-    return share[1] - share[0]
+    raw = (counts[0] + 1) / (counts[0].sum() + BUCKETS)
+    prior = PRIOR * counts[1].sum()
+    return np.log((counts[1] + prior * raw) / (counts[1].sum() + prior)) - np.log(raw)
 
 
 def kth_largest(df: DataFrame, col: str, k: int, bins: int = 1024) -> float:
@@ -78,8 +92,8 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, see
     """Score documents by how much more likely the target's n-grams make them, and draw the best by Gumbel top-k.
 
     The target texts are those with a label of quality 1 and toxic 0; the raw texts are all. A document's
-    log weight is WEIGHT times the mean log ratio of its grams; with Gumbel noise (from id and seed) added,
-    the k largest keys are a sample without replacement by weight. k is `share` of the documents that have
+    log weight is the log ratio of its likelihoods under the two models, the sum over its grams; with Gumbel
+    noise (from id and seed) added, the k largest keys are a sample without replacement by weight. k is `share` of the documents that have
     a word; by default the share of labelled documents with quality 1.
 
     Returns one row per input row: id, log_weight, key, selected, and the columns of `keep`. A text without words has null weight and
@@ -95,14 +109,16 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, see
         share = good / n if n else 1.0
     ratio = docs.sparkSession.sparkContext.broadcast(gram_models(rows, target).astype(np.float32))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [grams(t) for t in b["text"]]
-            yield pd.DataFrame({"id": b["id"], "log_weight": [float(ratio.value[f].mean(dtype=np.float64)) * WEIGHT if len(f) else None for f in found]} | {c: b[c] for c in kept})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches, 1):
+            one, two, at_one, at_two = grams(texts)
+            total = _sums(ratio.value[one], at_one) + _sums(ratio.value[two], at_two)
+            weight = pa.array(total, mask=at_one[0] == at_one[1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), weight, *batch.columns[2:]], names=["id", "log_weight", *kept])
 
     kind = rows.schema["id"].dataType.simpleString()
     noise = -F.log(-F.log(uniform("id", F.lit(seed)) + F.lit(2.0**-54)))
-    scored = written(rows.mapInPandas(run, ", ".join([f"id {kind}, log_weight double", *[f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept]])).withColumn("key", F.col("log_weight") + noise), "scored")
+    scored = written(rows.mapInArrow(run, ", ".join([f"id {kind}, log_weight double", *[f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept]])).withColumn("key", F.col("log_weight") + noise), "scored")
     n = scored.where("key is not null").count()
     k = round(share * n)
     low = kth_largest(scored.where("key is not null"), "key", k) if 0 < k else float("inf")
