@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import sized_join, written
-from graphloom.llm.shingles import mix, windows, word_hashes
+from graphloom.llm.common import release, sized_join, written
+from graphloom.llm.shingles import Words, sequence_hashes, slices, windows, words_of
 
 WINDOW = 20
 #: Words of the grams that stand for windows in the first count.
@@ -21,65 +21,49 @@ GRAMS = 4_000_000
 BYTES = 64_000_000
 
 
-def anchors(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gram hash, first window start, windows) for each run of windows that share their smallest gram.
+def _least(values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest of every n consecutive values and its place, the leftmost of equal ones; spans double in length."""
+    size, v, at = 1, values, np.arange(len(values))
+    while size < n:
+        step = min(size, n - size)
+        a, b = v[: len(v) - step], v[step:]
+        right = b < a
+        v, at = np.where(right, b, a), np.where(right, at[step:], at[: len(at) - step])
+        size += step
+    return v, at
+
+
+def anchors(words: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(gram hash, text, first window start among all words, windows) for each run of windows that share their smallest gram.
 
     The choice depends on a window's words only, so equal windows have equal grams wherever they stand.
     """
-    starts = len(hashes) - window + 1
+    starts = len(words.hashes) - window + 1
     if starts <= 0:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    grams = windows(hashes, gram)
-    at = np.lib.stride_tricks.sliding_window_view(grams, window - gram + 1).argmin(axis=1) + np.arange(starts)
-    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return grams[at[first]], first, np.diff(np.r_[first, starts])
-
-
-def _batches(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
-
-
-_BASE = 0xD6E8FEB86659FD93
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    """The first n powers of the base and of its inverse, modulo 2**64."""
-    if len(_POWERS[0]) < n:
-        with np.errstate(over="ignore"):
-            for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-                _POWERS[k] = np.r_[np.uint64(1), np.cumprod(np.full(2 * n, base, np.uint64))]
-    return _POWERS
-
-
-def sequence_hashes(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Polynomial hash of hashes[start:end] for arrays of bounds."""
-    up, down = _powers(len(hashes) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.r_[np.uint64(0), np.cumsum(hashes * up[: len(hashes)], dtype=np.uint64)]
-        return mix((sums[end] - sums[start]) * down[start] ^ (end - start).astype(np.uint64))
+        return np.empty(0, np.uint64), *(np.empty(0, np.int64),) * 3
+    least, at = _least(windows(words.hashes, gram), window - gram + 1)
+    text = np.repeat(np.arange(len(words.bounds) - 1), np.diff(words.bounds))
+    inside = text[:starts] == text[window - 1 :]  # windows of one text
+    new = np.r_[True, (at[1:starts] != at[: starts - 1]) | ~inside[: starts - 1]] & inside
+    first = np.flatnonzero(new)
+    run = np.cumsum(new)[inside] - 1
+    return least[first], text[first], first, np.bincount(run, minlength=len(first))
 
 
 def _run_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """gram, key, row, start, n of each run of windows with one smallest gram; key hashes all its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _batches(batches):
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = word_hashes(text, lower=False)
-                g, start, n = anchors(words, window, gram)
-                if len(g):
-                    for part, x in zip(out, (g, sequence_hashes(words, start, start + n + window - 1), np.full(len(g), row, np.int64), start, n), strict=True):
-                        part.append(x)
-            if out[0]:
-                g, key, rows, start, n = (np.concatenate(x) for x in out)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(g.view(np.int64)), pa.array(key.view(np.int64)), pa.array(rows), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))],
-                    names=["gram", "key", "row", "start", "n"],
-                )
+        for batch, texts in slices(batches, 1):
+            words = words_of(texts, lower=False)
+            g, text, first, n = anchors(words, window, gram)
+            key = sequence_hashes(words.hashes, first, first + n + window - 1)
+            row = batch.column(0).to_numpy(zero_copy_only=False)[text]
+            start = (first - words.bounds[text]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(g.view(np.int64)), pa.array(key.view(np.int64)), pa.array(row), pa.array(start), pa.array(n.astype(np.int32))],
+                names=["gram", "key", "row", "start", "n"],
+            )
 
     return docs.select("row", "text").mapInArrow(run, "gram long, key long, row long, start int, n int")
 
@@ -105,19 +89,20 @@ def _window_rows(docs: DataFrame, window: int) -> DataFrame:
     """h, g (hashes), row, start of the windows in `runs` of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _batches(batches):
-            rows, hs, gs, starts = [], [], [], []
-            for row, text, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = word_hashes(text, lower=False)
-                at = np.concatenate([np.arange(s, s + n) for s, n in np.frombuffer(runs, np.int32).reshape(-1, 2)])
-                rows.append(np.full(len(at), row, np.int64)), starts.append(at)
-                hs.append(windows(words, window)[at]), gs.append(sequence_hashes(words, at, at + window))
-            if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(hs).view(np.int64)), pa.array((np.concatenate(gs) >> np.uint64(32)).astype(np.uint32).view(np.int32)),
-                     pa.array(np.concatenate(rows)), pa.array(np.concatenate(starts).astype(np.int32))],
-                    names=["h", "g", "row", "start"],
-                )
+        for batch, texts in slices(batches, 1):
+            words = words_of(texts, lower=False)
+            runs = [np.frombuffer(r, np.int32).reshape(-1, 2).astype(np.int64) for r in batch.column(2).to_pylist()]
+            text = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
+            start, n = np.concatenate(runs).T
+            of = np.repeat(text, n)
+            at = np.repeat(start - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            place = at + words.bounds[of]
+            h, g = windows(words.hashes, window)[place], sequence_hashes(words.hashes, place, place + window)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h.view(np.int64)), pa.array((g >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+                 pa.array(batch.column(0).to_numpy(zero_copy_only=False)[of]), pa.array(at.astype(np.int32))],
+                names=["h", "g", "row", "start"],
+            )
 
     return docs.select("row", "text", "runs").mapInArrow(run, "h long, g int, row long, start int")
 
@@ -158,7 +143,9 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
     places = written(_window_rows(_bytes_join(docs, partly, "inner"), window), "windows")
     seen = places.groupBy("h", "g").agg(F.count("*").alias("c"), F.min(F.struct("row", "start")).alias("first")).where("c > 1").select("h", "g", "first")
     later = places.join(seen.hint("merge"), ["h", "g"]).where(F.struct("row", "start") > F.col("first")).select("row", "start", F.lit(1).alias("n"))
-    return written(_per_row(copies.union(later)), "repeated")
+    out = written(_per_row(copies.union(later)), "repeated")
+    release(often, runs, firsts, mixed, partly, places)
+    return out
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,20 +168,23 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
     kind_ = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _batches(batches):
+        for batch, texts in slices(batches, 1):
             total, gone, kept, cuts = [], [], [], []
-            for text, cut in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                words = text.encode("utf-8", "surrogatepass").split()
+            for text, cut in zip(texts, batch.column(2).to_pylist(), strict=True):
+                words = text.split()
+                if not cut:
+                    cuts.append([]), total.append(len(words)), gone.append(0), kept.append(b" ".join(words))
+                    continue
                 stay, at = [], 0
-                spans = cover(cut or b"", window)
+                spans = cover(cut, window)
                 for start, end in spans:
                     stay += words[at:start]
                     at = end
                 stay += words[at:]
                 cuts.append([{"start": a, "end": b} for a, b in spans])
-                total.append(len(words)), gone.append(len(words) - len(stay)), kept.append(b" ".join(stay).decode("utf-8", "surrogatepass"))
+                total.append(len(words)), gone.append(len(words) - len(stay)), kept.append(b" ".join(stay))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(cuts, kind_), pa.array(kept, pa.string())],
+                [batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(cuts, kind_), pa.array(kept, pa.binary()).cast(pa.string())],
                 names=["id", "n_words", "n_removed", "spans", "kept"],
             )
 
