@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +54,8 @@ class Codec:
                 self.automaton.add_word(t.decode("latin-1"), (len(t), i))
         self.automaton.make_automaton()
         self.split = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+        # the same pattern where all characters are ASCII
+        self.ascii = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+""", re.ASCII)
         self.special = special
         self.marks = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(special, key=len, reverse=True)) + ")") if special else None
         self.known: dict[str, tuple[str, int, bytes]] = {}
@@ -101,16 +105,19 @@ class Codec:
             self.known[piece] = out
         return out
 
-    def pieces(self, text: str) -> Iterator[tuple[str, int, bytes]]:
+    def pieces(self, text: str) -> list[tuple[str, int, bytes]]:
         """(ids joined by commas, their number, bytes they decode to) of each piece of a text."""
-        known = self.known
-        for part in self.marks.split(text) if self.marks and any(t in text for t in self.special) else (text,):
-            if part in self.special:
-                i = self.special[part]
-                yield str(i), 1, self.bytes_of[i]
-                continue
-            for piece in self.split.findall(part):
-                yield known.get(piece) or self._piece(piece)
+        get, made = self.known.get, self._piece
+        if self.marks and any(t in text for t in self.special):
+            out = []
+            for part in self.marks.split(text):
+                if part in self.special:
+                    i = self.special[part]
+                    out.append((str(i), 1, self.bytes_of[i]))
+                else:
+                    out += [get(p) or made(p) for p in self.split.findall(part)]
+            return out
+        return [get(p) or made(p) for p in (self.ascii if text.isascii() else self.split).findall(text)]
 
     def encode(self, text: str) -> list[int]:
         """The ids of a text."""
@@ -138,21 +145,23 @@ def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     and the digests of the empty string. Repeated rows give repeated results; other columns are ignored.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for batch in batches:
-            out = []
-            for text in batch["text"]:
-                got = list(c.pieces(text))
-                ids = ",".join([g[0] for g in got])
-                back = b"".join([g[2] for g in got]).decode("utf-8", "replace")
-                out.append((sum([g[1] for g in got]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
-            yield pd.DataFrame({"id": batch["id"], **{n: [o[k] for o in out] for k, n in enumerate(("n_tokens", "ids_sha256", "decoded_sha256"))}})
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
+                n, ids_, texts = [], [], []
+                for text in batch.column(1).to_pylist():
+                    ids, count, back = zip(*got) if (got := c.pieces(text)) else ((), (), ())
+                    n.append(sum(count))
+                    ids_.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
+                    texts.append(hashlib.sha256(b"".join(back).decode("utf-8", "replace").encode()).hexdigest())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_, pa.string()), pa.array(texts, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return (
         docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        .mapInPandas(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        .mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
         .withColumnRenamed("id", id_col)
     )
 

@@ -7,13 +7,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Hash buckets of the n-grams (1 to 3 characters).
 DIMS = 4096
-#: Centroids per language; about so many documents per language, drawn by a hash of the id, fit them (the bound of the sample).
+#: Centroids per language; about so many documents per language, drawn by a hash of the text, fit them (the bound of the sample).
 CENTROIDS = 4
 SAMPLE = 2000
 #: A prediction is marked as rejected if its cosine is below this share of what the training documents reach.
@@ -78,7 +79,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
     Document frequencies cover all of them; the centroids are fitted on `sample` documents per language.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
-        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.lit(5)).alias("h")
+        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col), F.lit(5)).alias("h")
     )
 
     def frequency(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -105,7 +106,8 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
 
     spread = known.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("low")).collect()  # a row per language
     share = F.create_map(*[x for r in spread for x in (F.lit(r["lang"]), F.lit(min(1.0, 1.2 * sample / r["n"])))])
-    drawn = known.where(F.pmod(F.col("h"), F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.element_at(share, F.col("lang")))
+    # equal texts have equal hashes: one row of each, so that a text of very many copies is one row of a group
+    drawn = known.where(F.pmod(F.col("h"), F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.element_at(share, F.col("lang"))).dropDuplicates(["lang", "h"])
     got = drawn.groupBy("lang").applyInPandas(one, "lang string, j int, usual double, centre array<float>").collect()
     got = sorted(got, key=lambda r: (r["lang"], r["j"]))
     names = sorted({r["lang"] for r in got})
@@ -121,20 +123,21 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for whole in batches:
-            for start in range(0, len(whole), 256):
-                b = whole.iloc[start : start + 256]
-                ok = np.array([m is not None and t is not None and _LETTER.search(t) is not None for t in b["text"]], bool)
-                lang, score, far = np.full(len(b), "und", object), np.zeros(len(b)), np.ones(len(b), bool)
+            for start in range(0, whole.num_rows, 256):
+                b = whole.slice(start, 256)
+                texts = b.column(1).to_pylist()
+                ok = np.array([m is not None and t is not None and _LETTER.search(t) is not None for t in texts], bool)
+                lang, score, far = np.full(len(texts), "und", object), np.zeros(len(texts)), np.ones(len(texts), bool)
                 if ok.any():
-                    of, s = m.predict([t for t, o in zip(b["text"], ok, strict=True) if o])
+                    of, s = m.predict([t for t, o in zip(texts, ok, strict=True) if o])
                     lang[ok], score[ok], far[ok] = np.array(m.languages, object)[of], np.clip(s, 0, 1), s < REJECT * m.usual[of]
-                yield pd.DataFrame({"id": b["id"], "lang_pred": lang, "score": score, "rejected": far})
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array(far)], names=["id", "lang_pred", "score", "rejected"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"id {kind}, lang_pred string, score double, rejected boolean").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double, rejected boolean").withColumnRenamed("id", id_col)
 
 
 def held_out(id_col: str = "doc_id"):
