@@ -83,17 +83,21 @@ def mix_to_weights(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block: in
 
     Returns one row per input row: id, source, size, source_size, target, copies, taken, and row_col (a written row number) if given. Null text has
     size 0; documents of size 0 take nothing; null sources form one source, the last; repeated rows count
-    each; an empty table gives an empty result; the random numbers depend on ids and `seed` only.
+    each; an empty table gives an empty result; the random numbers depend on ids, texts and `seed`, those of
+    rows without an id on their place in the table.
     """
     size = word_count(F.col("text")) if size is None else size
-    sizes = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), (F.lit(0) if row_col is None else F.col(row_col)).cast("long").alias("row")), "sizes")
+    # a document's own number: of its id and text, so that reruns agree; rows without an id have their row's instead, lest they meet in one block
+    row = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
+    own = F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col), F.col("text") if "text" in docs.columns else F.lit(0), F.lit(seed))).otherwise(F.xxhash64(row, F.lit(seed)))
+    sizes = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), row.cast("long").alias("row"), own.alias("u")), "sizes")
     targets = written(source_targets(sizes, weights, most), "targets")
     named = targets.select(F.col("source").alias("_source"), "docs", "source_size", "target")
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = (
         sized_join(sizes, named, F.col("source").eqNullSafe(F.col("_source")), "inner", 100_000)
         .withColumn("share", share)
-        .select("id", "source", "size", "row", "docs", F.floor("share").alias("whole"), (F.col("share") - F.floor("share")).alias("x"), F.xxhash64("id", F.lit(seed)).alias("u"))
+        .select("id", "source", "size", "row", "docs", F.floor("share").alias("whole"), (F.col("share") - F.floor("share")).alias("x"), "u")
     )
     open_ = (F.col("size") > 0) & (F.col("x") > 1e-12)
     item = F.struct("u", "id", "size", "whole", "x", "row")
@@ -111,7 +115,7 @@ def mix_to_weights(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block: in
             break
         left = -(-left // block)
         level = folded.select("source", F.floor(F.col("block") / block).alias("block"), F.col("f.rest").alias("item"))
-    last = F.when(uniform(F.col("f.rest.id"), F.lit(seed + 1)) < F.col("f.rest.x"), 1).otherwise(0)
+    last = F.when(uniform(F.col("f.rest.u"), F.lit(seed + 1)) < F.col("f.rest.x"), 1).otherwise(0)
     settled.append(folded.where("f.rest is not null").select("f.rest.id", "source", "f.rest.size", "f.rest.row", (F.col("f.rest.whole") + last).cast("long").alias("copies")))
     out = settled[0]
     for more in settled[1:]:
