@@ -55,38 +55,101 @@ def by_id(df):
     return {r.doc_id: r for r in df.collect()}
 
 
-def test_fingerprints(docs, rows, nothing):
-    from graphloom.llm.fingerprint import Fingerprint, fingerprints
+def paragraph_set(text):
+    """Paragraphs with the number of their repeat, by plain rules: line breaks, sentence ends, words whose own hash cuts."""
+    from graphloom.llm.fingerprint import CUT
+    from graphloom.llm.shingles import words_of
+
+    out, held, seen = set(), [], defaultdict(int)
+    for line in re.split("\n", text):
+        for w in [*WORD.findall(line), None]:
+            if w is not None:
+                held.append(w)
+            if held and (w is None or w[-1] in ".!?" or int(words_of([w.encode()], False).hashes[0]) % CUT == 0):
+                p, held = tuple(held), []
+                out.add((p, seen[p]))
+                seen[p] += 1
+    return out
+
+
+def alike(x, y):
+    a, b = paragraph_set(x), paragraph_set(y)
+    return 1 - len(a ^ b) / (len(a) + len(b)) if a or b else 1.0
+
+
+def test_fingerprints(spark, docs, rows, nothing):
+    from graphloom.llm.fingerprint import fingerprints
 
     got = by_id(fingerprints(docs))
     order = sorted(((i, t or "") for i, t, *_ in rows), reverse=True)
     assert len(got) == len(rows)
+    prints = defaultdict(set)
     for k, (i, text) in enumerate(order):
         other = order[(k + 1) % len(order)][1]
         n = len(text) // 3
         new = text[: len(text) - n] + other[:n]
         assert (got[i].n_chars, got[i].edited_sha256) == (len(text), sha(new))
-        assert got[i].fingerprint == Fingerprint(text).text() and got[i].edited_fingerprint == Fingerprint(new).text()
-        a, b = set(Fingerprint(text).keys.tolist()), set(Fingerprint(new).keys.tolist())
-        assert got[i].near_edited == pytest.approx(1 - len(a ^ b) / (len(a) + len(b)) if a or b else 1.0)
+        assert got[i].near_edited == pytest.approx(alike(text, new)) and got[i].near_next == pytest.approx(alike(text, other))
+        assert int(got[i].fingerprint.split(":")[0]) == len(paragraph_set(text))
+        prints[text].add(got[i].fingerprint), prints[new].add(got[i].edited_fingerprint)
+    assert all(len(x) == 1 for x in prints.values()) and len({min(x) for x in prints.values()}) > 100
     assert fingerprints(nothing).count() == 0
+    strings = fingerprints(docs.withColumn("doc_id", F.format_string("d%05d", "doc_id"))).collect()
+    assert {(int(r.doc_id[1:]), *r[1:]) for r in strings} == {tuple(r) for r in got.values()}
+
+
+BIG = (1 << 60) + 1
+
+
+def test_ids_are_exact_beside_nulls(spark, sf_dir):
+    import public_tokenizers
+    from graphloom.llm.bpe import bpe_digests
+    from graphloom.llm.fingerprint import fingerprints
+    from graphloom.llm.html_text import extract
+    from graphloom.llm.language import identify
+    from graphloom.llm.ngram_join import ngram_components
+    from graphloom.llm.quality import resample
+    from graphloom.llm.substring_dedup import substring_dedup
+
+    rows = [(BIG, "a. b. c."), (BIG + 2, "a. b. c."), (None, "x"), (None, "z"), (2, None), (BIG, "a. b. c.")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "url": F.lit(None).cast("string")}).coalesce(1)
+    want = sorted(str(r[0]) for r in rows)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    for out in (fingerprints(d), identify(d), resample(d, labels), bpe_digests(d, public_tokenizers.path("byte_bpe_50k.json")), extract(d, "doc_id", "url", "text"), substring_dedup(d), ngram_components(d)):
+        got = out.collect()
+        assert sorted(str(r.doc_id) for r in got) == want
+        assert len({tuple(r) for r in got if r.doc_id == BIG}) == 1 or "fingerprint" in out.columns
+    got = {r.doc_id: r for r in ngram_components(d).where("doc_id is not null").collect()}
+    assert got[BIG + 2].component_id == BIG and got[2].component_id == 2 and got[2].n_shingles == 0
 
 
-def test_repeated_rows_have_fingerprints(spark):
+def test_fingerprints_of_odd_rows(spark):
     from graphloom.llm.fingerprint import fingerprints
 
-    d = spark.createDataFrame([(1, "a. b. c."), (1, "a. b. c."), (None, "x"), (2, "y")], "doc_id long, text string")
+    d = spark.createDataFrame([(1, "a. b. c."), (1, "a. b. c."), (None, "x"), (2, "y"), (None, None)], "doc_id long, text string")
     got = fingerprints(d).collect()
-    assert sorted(str(r.doc_id) for r in got) == ["1", "1", "2", "None"]
+    assert sorted((str(r.doc_id), r.n_chars) for r in got) == [("1", 8), ("1", 8), ("2", 1), ("None", 0), ("None", 1)]
+    assert sorted(r.near_next for r in got if r.doc_id == 1) == [0.0, 1.0]  # the next of 2 is 1, of 1 is 1, then a null id
+    one = fingerprints(d.where("doc_id = 2")).collect()
+    assert len(one) == 1 and (one[0].near_next, one[0].near_edited) == (1.0, 1.0)
 
 
 def test_peeling_recovers_differences():
-    from graphloom.llm.fingerprint import Fingerprint
-
-    a, b = (Fingerprint(" ".join(f"Sentence number {k}." for k in r)) for r in (range(300), range(5, 420)))
-    x, y = a.difference(b)
-    assert set(x.tolist()) == set(a.keys.tolist()) - set(b.keys.tolist())
-    assert set(y.tolist()) == set(b.keys.tolist()) - set(a.keys.tolist())
+    import numpy as np
+    from graphloom.llm.fingerprint import Batch, Sketches
+
+    texts = [" ".join(f"Sentence number {k}." for k in r).encode() for r in (range(300), range(5, 420), range(0), range(298))]
+    b = Batch(texts)
+    assert b.sizes[2] == 0 and b.sizes[0] >= 300
+    only, lacks = b.differences(np.array([0, 0, 1, 2]), b, np.array([1, 3, 1, 0]))
+    sets = [set(b.keys[b.bounds[k] : b.bounds[k + 1]].tolist()) for k in range(4)]
+    assert only.tolist() == [len(sets[0] - sets[1]), len(sets[0] - sets[3]), 0, 0]
+    assert lacks.tolist() == [len(sets[1] - sets[0]), 0, 0, len(sets[0])]
+    rest = b.sketches(np.array([0]), np.array([512])).minus(b.sketches(np.array([3]), np.array([512])))
+    keys, _, signs, empty = rest.peel()
+    assert empty.all() and set(keys.tolist()) == sets[0] - sets[3] and (signs == 1).all()
+    small = b.small.pick(np.array([0]), 16)
+    assert not small.peel()[3].any() and isinstance(small, Sketches)  # too small: the caller retries larger
 
 
 def brute_substring(rows, w):
@@ -205,6 +268,26 @@ def test_exact_dedup(spark, docs, rows, nothing):
     assert exact_dedup(nothing).count() == 0
 
 
+def brute_weights(rows, target):
+    """Log ratio of the two gram models, gram by gram, in plain Python."""
+    import math
+
+    from graphloom.llm.quality import BUCKETS, PRIOR, grams
+
+    raw, good, per = defaultdict(int), defaultdict(int), {}
+    for r in rows:
+        one, two, _, _ = grams([(r.text or "").encode()])
+        per[r.doc_id] = [*one.tolist(), *two.tolist()]
+        assert len(one) == len(WORD.findall(r.text or "")) and len(two) == max(0, len(one) - 1)
+        for b in per[r.doc_id]:
+            raw[b] += 1
+            good[b] += r.doc_id in target
+    n, m = sum(raw.values()), sum(good.values())
+    p = {b: (raw[b] + 1) / (n + BUCKETS) for b in raw}
+    ratio = {b: math.log((good[b] + PRIOR * m * p[b]) / (m + PRIOR * m)) - math.log(p[b]) for b in raw}
+    return {i: sum(ratio[b] for b in bs) if bs else None for i, bs in per.items()}
+
+
 def test_quality(spark, sf_dir, docs, nothing):
     from graphloom.llm.quality import kth_largest, resample
 
@@ -212,8 +295,23 @@ def test_quality(spark, sf_dir, docs, nothing):
     got = by_id(resample(d, labels))
     truth = labels.collect()
     good = [got[r.doc_id].selected for r in truth if r.quality == 1 and r.toxic == 0]
-    bad = [got[r.doc_id].selected for r in truth if r.quality == 0]
+    assert sum(good) / len(good) > 0.97
+    big = sf_dir.replace("0.001", "0.1")  # held-out labels: fitted on the even ids, judged on the odd ones
+    d_big, l_big = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    chosen = {r.doc_id: r.selected for r in resample(d_big, l_big.where("doc_id % 2 = 0")).collect()}
+    held = l_big.where("doc_id % 2 = 1").collect()
+    good = [chosen[r.doc_id] for r in held if r.quality == 1 and r.toxic == 0]
+    bad = [chosen[r.doc_id] for r in held if r.quality == 0]
     assert sum(good) / len(good) > 0.97 and sum(bad) / len(bad) < 0.2
+    weights = brute_weights(d.collect(), {r.doc_id for r in truth if r.quality == 1 and r.toxic == 0})
+    for i, w in weights.items():
+        assert (got[i].log_weight is None) == (w is None) and (w is None or got[i].log_weight == pytest.approx(w, abs=1e-3, rel=1e-4))
+    keys = sorted((r.key for r in got.values() if r.key is not None), reverse=True)
+    share = sum(r.quality == 1 for r in truth if r.quality is not None) / sum(r.quality is not None for r in truth)
+    low = keys[round(share * len(keys)) - 1]
+    assert all(r.selected == (r.key is not None and r.key >= low) for r in got.values())
+    twice = resample(d.union(d), labels).collect()  # ties at the k-th key: equal rows go the same way
+    assert len({(r.doc_id, r.selected) for r in twice}) == len(got)
     no_labels = by_id(resample(docs, labels.where("false")))
     assert not no_labels[200].selected and no_labels[203].selected
     assert resample(nothing, labels).count() == 0
