@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import components, release, sized_join, small_batches, written
 from graphloom.llm.exact_dedup import tree_merge
-from graphloom.llm.shingles import mix, shingle_sets, slices
+from graphloom.llm.shingles import distinct, mix, shingle_sets, slices
 
 #: A size band ends at so many times its start.
 BAND = 1.6
 #: Documents of a leaf, tokens of a leaf (a document with more has one of its own), and nodes below an inner node.
-LEAF, TOKENS, FAN = 64, 1 << 15, 32
+LEAF, TOKENS, FAN = 128, 1 << 15, 32
+#: Documents from which on a signature is a home before rarer ones, so that crowds fill whole leaves.
+CROWD = 16
 #: Words of a node's bitmap (64 bits each).
 MAP = 16
 #: Signatures (one long each) up to which those that occur repeatedly are broadcast to drop the others.
@@ -105,27 +107,38 @@ def _features(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {id_type}, size long, digest binary, sigs array<long>")
 
 
-def _bitmap(tokens: np.ndarray) -> np.ndarray:
-    """A set's bitmap of MAP longs."""
-    bits = np.zeros(64 * MAP, bool)
-    bits[(tokens & np.uint64(64 * MAP - 1)).astype(np.int64)] = True
-    return np.packbits(bits, bitorder="little").view(np.int64)
+def table(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct tokens of some sets, and a matrix of which set has which: near copies take little room."""
+    values = distinct(np.concatenate(sets))
+    has = np.zeros((len(sets), len(values)), bool)
+    for k, s in enumerate(sets):
+        has[k, np.searchsorted(values, s)] = True
+    return values, has
 
 
-def overlaps(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of the sets that x holds one after the other (of sizes nx) with those of y."""
-    values, inverse = np.unique(x, return_inverse=True)
-    at = np.minimum(np.searchsorted(values, y), len(values) - 1)
-    hit = values[at] == y
-    used = np.zeros(len(values), bool)
-    used[at[hit]] = True
-    column = np.cumsum(used) - 1
-    width = int(used.sum())
-    a, b = np.zeros((len(nx), width), np.float32), np.zeros((len(ny), width), np.float32)
-    held = used[inverse]
-    a[np.repeat(np.arange(len(nx)), nx)[held], column[inverse[held]]] = 1
-    b[np.repeat(np.arange(len(ny)), ny)[hit], column[at[hit]]] = 1
-    return (a @ b.T).astype(np.int64)
+def bitmaps(values: np.ndarray, has: np.ndarray, width: int) -> np.ndarray:
+    """A bitmap (a power of two of bits) of each set of a table."""
+    bits = np.zeros((len(has), width), bool)
+    row, column = np.nonzero(has)
+    bits[row, (values & np.uint64(width - 1)).astype(np.int64)[column]] = True
+    return bits
+
+
+def plausible(num: int, den: int, nx: np.ndarray, bits_x: np.ndarray, ny: np.ndarray, bits_y: np.ndarray) -> np.ndarray:
+    """Which pairs of sets may link by their sizes and the largest overlap that their bitmaps leave room for."""
+    width = min(bits_x.shape[1], bits_y.shape[1])
+    bits_x, bits_y = (b.reshape(len(b), -1, width).any(axis=1) for b in (bits_x, bits_y))
+    common = (bits_x.astype(np.float32) @ bits_y.T.astype(np.float32)).astype(np.int64)
+    n, m = nx[:, None], ny[None, :]
+    most = np.minimum(n - bits_x.sum(axis=1)[:, None], m - bits_y.sum(axis=1)[None, :]) + common
+    return most * (den + num) >= num * (n + m)
+
+
+def overlaps(x: np.ndarray, has_x: np.ndarray, y: np.ndarray, has_y: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets of one table with those of another."""
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    hit = x[at] == y
+    return (has_x[:, at[hit]].astype(np.float32) @ has_y[:, hit].T.astype(np.float32)).astype(np.int64)
 
 
 def joined(link: np.ndarray, xs: list, ys: list) -> list[tuple]:
@@ -143,17 +156,19 @@ def joined(link: np.ndarray, xs: list, ys: list) -> list[tuple]:
     return sorted({(i, least[k]) for i, k in [*zip(xs, lx.tolist(), strict=True), *zip(ys, ly.tolist(), strict=True)] if i != least[k]})
 
 
-def compared(num: int, den: int, ids_x, part_x, nx, x, ids_y, part_y, ny, y) -> list[tuple]:
+def compared(num: int, den: int, ids_x, part_x, nx, x, has_x, ids_y, part_y, ny, y, has_y) -> list[tuple]:
     """Links between the documents of two leaves (or of one with itself) that are not of one part yet, as joined() gives them."""
     may = (part_x[:, None] != part_y[None, :]) & (nx[:, None] * den >= ny[None, :] * num) & (ny[None, :] * den >= nx[:, None] * num)
     if not may.any():
         return []
-    common = overlaps(x, nx, y, ny)
+    common = overlaps(x, has_x, y, has_y)
     link = may & (common * den >= num * (nx[:, None] + ny[None, :] - common))
     return joined(link, ids_x, ids_y) if link.any() else []
 
 
-NODE = "node long, home long, pure long, ids array<{0}>, parts array<{0}>, sizes array<long>, tokens binary, small long, large long, least long, " + ", ".join(f"b{k} long" for k in range(MAP)) + ", links array<struct<a: {0}, b: {0}>>"
+#: Columns of a leaf that its comparison with another one takes.
+LOAD = ("ids", "parts", "sizes", "tokens", "has")
+NODE = "node long, home long, pure long, ids array<{0}>, parts array<{0}>, sizes array<long>, tokens binary, has binary, maps binary, small long, large long, least long, " + ", ".join(f"b{k} long" for k in range(MAP)) + ", links array<struct<a: {0}, b: {0}>>"
 
 
 def _leaves(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -174,15 +189,16 @@ def _leaves(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
             if not ids:
                 return
             sizes = np.array([len(s) for s in sets], np.int64)
-            tokens = np.concatenate(sets)
-            maps = np.array([_bitmap(s) for s in sets])
-            both = np.bitwise_or.reduce(maps, axis=0)
+            tokens, has = table(sets)
+            maps = bitmaps(tokens, has, 1 << max(8, (2 * int(sizes.max()) - 1).bit_length()))
+            both = np.packbits(maps.any(axis=0).reshape(-1, min(maps.shape[1], 64 * MAP)).any(axis=0), bitorder="little")
+            both = np.tile(both, 8 * MAP // len(both)).view(np.int64)
             links = []
             if len(ids) > 1 and key[1] == -1:
                 part = np.array(parts)
-                links = compared(num, den, ids, part, sizes, tokens, ids, part, sizes, tokens)
-            least = min(int(np.unpackbits(m.view(np.uint8)).sum()) for m in maps)
-            row = {"node": task | count, "home": key[0], "pure": key[1], "ids": list(ids), "parts": list(parts), "sizes": sizes.tolist(), "tokens": tokens.tobytes()}
+                links = compared(num, den, ids, part, sizes, tokens, has, ids, part, sizes, tokens, has)
+            least = int(maps.reshape(len(maps), -1, min(maps.shape[1], 64 * MAP)).any(axis=1).sum(axis=1).min())
+            row = {"node": task | count, "home": key[0], "pure": key[1], "ids": list(ids), "parts": list(parts), "sizes": sizes.tolist(), "tokens": tokens.tobytes(), "has": np.packbits(has, axis=1).tobytes(), "maps": np.packbits(maps, axis=1).tobytes()}
             row |= {"small": int(sizes.min()), "large": int(sizes.max()), "least": least} | {f"b{k}": int(both[k]) for k in range(MAP)}
             out.append(row | {"links": [{"a": a, "b": b} for a, b in links]})
             count += 1
@@ -190,7 +206,7 @@ def _leaves(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
         def packed() -> pa.RecordBatch:
             t = pa.int64() if id_type == "bigint" else pa.int32() if id_type == "int" else pa.string()
-            fields = [("node", pa.int64()), ("home", pa.int64()), ("pure", pa.int64()), ("ids", pa.list_(t)), ("parts", pa.list_(t)), ("sizes", pa.list_(pa.int64())), ("tokens", pa.binary())]
+            fields = [("node", pa.int64()), ("home", pa.int64()), ("pure", pa.int64()), ("ids", pa.list_(t)), ("parts", pa.list_(t)), ("sizes", pa.list_(pa.int64())), ("tokens", pa.binary()), ("has", pa.binary()), ("maps", pa.binary())]
             fields += [(c, pa.int64()) for c in ("small", "large", "least", *(f"b{k}" for k in range(MAP)))] + [("links", pa.list_(pa.struct([("a", t), ("b", t)])))]
             return pa.RecordBatch.from_pylist(out, schema=pa.schema(fields))
 
@@ -216,11 +232,37 @@ def _leaves(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return dealt.mapInArrow(run, NODE.format(id_type))
 
 
+def _loaded(pairs: DataFrame, nodes: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Pairs (x, y) of leaves with some columns of both, each named after its side."""
+    load = lambda z: nodes.select(F.col("node").alias(z), *[F.col(c).alias(f"{c}_{z}") for c in columns]).hint("merge")
+    return pairs.join(load("x"), "x").join(load("y"), "y")
+
+
+def _room(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (x, y) of leaves with two documents, not of one component yet, whose own bitmaps leave room for a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for k in range(batch.num_rows):
+                side = []
+                for z in ("x", "y"):
+                    parts, sizes, maps = (batch.column(f"{c}_{z}")[k].as_py() for c in ("parts", "sizes", "maps"))
+                    bits = np.unpackbits(np.frombuffer(maps, np.uint8).reshape(len(parts), -1), axis=1)
+                    side.append((np.array(parts), np.array(sizes, np.int64), bits.astype(bool)))
+                (px, nx, bx), (py, ny, by) = side
+                keep.append(bool((plausible(num, den, nx, bx, ny, by) & (px[:, None] != py[None, :])).any()))
+            yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
+
+    return written(_loaded(pairs, nodes, ("parts", "sizes", "maps")).select("x", "y", *[f"{c}_{z}" for z in "xy" for c in ("parts", "sizes", "maps")]).mapInArrow(run, "x long, y long"), "room")
+
+
 def _leaf_links(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between the documents of pairs (x, y) of leaves, compared by their whole sets."""
+    """Links between the documents of pairs (x, y) of leaves, compared by their whole sets where their bitmaps leave room."""
     kind = nodes.schema["ids"].dataType.elementType.simpleString()
-    load = lambda z: nodes.select(F.col("node").alias(z), *[F.col(c).alias(f"{c}_{z}") for c in ("ids", "parts", "sizes", "tokens")]).hint("merge")
-    both = pairs.join(load("x"), "x").join(load("y"), "y")
+    pairs = _room(pairs, nodes, num, den)
+    needed = written(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct(), "needed")
+    both = _loaded(pairs, sized_join(nodes, needed, "node", "left_semi"), LOAD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,18 +270,23 @@ def _leaf_links(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataF
             for k in range(batch.num_rows):
                 side = []
                 for z in ("x", "y"):
-                    ids, parts, sizes, tokens = (batch.column(f"{c}_{z}")[k].as_py() for c in ("ids", "parts", "sizes", "tokens"))
-                    side += [ids, np.array(parts), np.array(sizes, np.int64), np.frombuffer(tokens, np.uint64)]
+                    ids, parts, sizes, tokens, has = (batch.column(f"{c}_{z}")[k].as_py() for c in LOAD)
+                    values = np.frombuffer(tokens, np.uint64)
+                    bits = np.unpackbits(np.frombuffer(has, np.uint8).reshape(len(ids), -1), axis=1)[:, : len(values)]
+                    side += [ids, np.array(parts), np.array(sizes, np.int64), values, bits.astype(bool)]
                 found += compared(num, den, *side)
             t = batch.column("ids_x").type.value_type
             yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], t) for j in (0, 1)], names=["a", "b"])
 
-    return written(both.mapInArrow(run, f"a {kind}, b {kind}"), "links")
+    links = written(both.mapInArrow(run, f"a {kind}, b {kind}"), "links")
+    release(pairs, needed)
+    return links
 
 
 def _homes(entries: DataFrame) -> DataFrame:
-    """id, size, part, pure and home, the signature that a document shares with most others."""
-    return entries.groupBy("id", "size", "part", "pure").agg(F.max(F.struct("n", "sig")).alias("h")).select("id", "size", "part", "pure", F.col("h.sig").alias("home"))
+    """id, size, part, pure and home, the smallest of the signatures that a document shares with a crowd, or else with any: near copies mostly agree on it."""
+    least = F.min(F.struct(F.col("n") < CROWD, "sig"))
+    return entries.groupBy("id", "size", "part", "pure").agg(least.alias("h")).select("id", "size", "part", "pure", F.col("h.sig").alias("home"))
 
 
 def _forest(entries: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -317,13 +364,13 @@ def ngram_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100,
     has one shingle, its whole sequence. Documents with equal sets are one class and compared once.
     1. Each class cuts its set into segments by hash and keeps some of them as signatures (see Bands);
        linked classes keep a common one.
-    2. Classes with the same most frequent signature are dealt to leaves of bounded size, in order of size;
+    2. Classes with the same smallest signature (of those that crowds share, if any) are dealt to leaves of bounded size, in order of size;
        leaves hang under the signatures of their documents. A leaf's documents are compared with each
        other, and each leaf with the first one of its signatures; most crowds are one component then.
     3. The classes under signatures that still join several components are dealt anew, large components
        apart. Inner nodes and leaves hold OR-combined bitmaps, size ranges and their component. Pairs of
        inner nodes under one signature, then pairs of the leaves below them, are pruned by the largest
-       overlap possible; leaves that are left are compared by their whole sets, with a row per document
+       overlap possible, then by the bitmaps of their documents; leaves that are left are compared by their whole sets, with a row per document
        that gets a new link and none per pair.
 
     Returns one row per input row: id, n_shingles, component_id (smallest id that links reach). Null and
