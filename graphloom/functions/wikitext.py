@@ -11,8 +11,24 @@ from graphloom.functions.terms import norm_title
 
 #: While templates are worked on, control characters stand for a bar in a link, {{ and }}, [[ and ]], and {{ and }} of templates that are done.
 BAR, OPEN, CLOSE, LINK, UNLINK, DONE, ENDED = "\u0001\u0002\u0003\u0004\u0005\u0006\u0007"
-#: Keys that name images, kits or map styling.
-SKIP = r"(?i)^(?:image|logo|caption|alt|map|pushpin|kit|pattern|leftarm|body|rightarm|shorts|socks)"
+# Keys that name images, kits or map styling; some also with a number, some whatever follows.
+SKIPPED_KEYS = (
+    "image", "logo", "hình", "ảnh", "caption", "chú thích", "image_size", "imagesize", "logo_size", "alt", "signature", "module", "medaltemplates", "pcupdate",
+    "ntupdate", "club-update", "nhiều hình", "border", "total_width", "image_style", "caption_align", "perrow", "embedded",
+)
+SKIPPED_NUMBERED = ("image", "caption", "body", "shorts", "socks", "leftarm", "rightarm")
+SKIPPED_STEMS = ("bản đồ", "map", "pushpin", "kit", "pattern")
+#: Endings of domains that count as an address without http.
+DOMAINS = ("vn", "com", "org", "edu", "net", "gov")
+
+
+def skipped(key: Column, keys=SKIPPED_KEYS, numbered=SKIPPED_NUMBERED, stems=SKIPPED_STEMS) -> Column:
+    """Whether a raw key is one of `keys`, one of `numbered` with or without digits, or begins with one of `stems`."""
+    low = F.lower(F.trim(key))
+    out = low.isin(list(keys)) | F.regexp_replace(low, r"\d+$", "").isin(list(numbered))
+    for stem in stems:
+        out = out | low.startswith(stem)
+    return out
 
 
 def strip(text: Column) -> Column:
@@ -56,11 +72,15 @@ def _each_level(text: Column, step) -> Column:
 def _inner(text: Column) -> Column:
     """Interpret the innermost templates once."""
     t = F.regexp_replace(text, r"\x02([^\x02\x03]*)\x03", "\x06$1\x07")  # one level of them
-    t = F.regexp_replace(t, rf"(?iu)\x06{DATE}\|{NAMED}\s*(\d{{4}})\s*\|{NAMED}\s*(\d{{1,2}})\s*\|{NAMED}\s*(\d{{1,2}})\s*(?=[|\x07]){REST}", "$1-$2-$3")
-    t = F.regexp_replace(t, rf"(?iu)\x06{DATE}\|{NAMED}\s*(\d{{4}})\s*\|{NAMED}\s*(\d{{1,2}})\s*(?=[|\x07]){REST}", "$1-$2")
+    t = F.regexp_replace(t, rf"(?iu)\x06{DATE}\|{NAMED}\s*(\d{{4}})\s*\|{NAMED}\s*(\d{{1,2}})\s*\|{NAMED}\s*(\d{{1,2}})\s*(?=[|\x07]){REST}", "$1-\x080$2-\x080$3\x08")
+    t = F.regexp_replace(t, rf"(?iu)\x06{DATE}\|{NAMED}\s*(\d{{4}})\s*\|{NAMED}\s*(\d{{1,2}})\s*(?=[|\x07]){REST}", "$1-\x080$2\x08")
+    t = F.regexp_replace(t, r"\x080?(\d\d)(?=[-\x08])", "$1")  # months and days of two digits
+    t = F.regexp_replace(t, r"\x08", "")
     t = F.regexp_replace(t, rf"(?iu)\x06{DATE}\|{NAMED}{PLAIN}{REST}", "$1")
-    t = F.regexp_replace(t, rf"(?iu)\x06\s*(?:height|chiều cao|convert|cvt|đổi)\s*\|\s*(?:m(?:eters)?\s*=\s*)?([0-9.,]+){REST}", "$1")
-    t = F.regexp_replace(t, rf"(?iu)\x06\s*(?:height|chiều cao)\s*\|\s*cm\s*=\s*([0-9.,]+){REST}", "$1 cm")
+    t = F.regexp_replace(t, rf"(?iu)\x06\s*(?:convert|cvt|đổi)\s*\|\s*([^|\x06\x07]*?)\s*\|\s*([^|\x06\x07=]*?)\s*(?=[|\x07]){REST}", "$1 $2")
+    t = F.regexp_replace(t, rf"(?iu)\x06\s*(?:convert|cvt|đổi)\s*\|\s*([^|\x06\x07]*?)\s*(?=[|\x07]){REST}", "$1")
+    t = F.regexp_replace(t, rf"(?iu)\x06\s*(?:height|chiều cao)\s*\|{NAMED}\s*m(?:eters)?\s*=\s*([0-9.,]+){REST}", "$1 m")
+    t = F.regexp_replace(t, rf"(?iu)\x06\s*(?:height|chiều cao)\s*\|{NAMED}\s*cm\s*=\s*([0-9.,]+){REST}", "$1 cm")
     t = F.regexp_replace(t, rf"(?iu)\x06{SITE}\|(?:\s*(?:1|url)\s*=)?\s*([^|\x06\x07]*){REST}", "$1")
     t = F.regexp_replace(t, rf"(?iu)\x06{SECOND}\|{NAMED}[^|\x06\x07]*\|{NAMED}{PLAIN}{REST}", "$1")
     t = F.regexp_replace(t, rf"(?iu)\x06(?:{FIRST}|{SECOND})\|{NAMED}{PLAIN}{REST}", "$1")
@@ -110,17 +130,19 @@ def external_links(text: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda x: F.when(x.rlike("^https?://"), x).otherwise(F.concat(F.lit("http://"), F.regexp_replace(x, r"(?iu)^[^|]*\|\s*(?:(?:1|url)\s*=)?\s*", "")))))
 
 
-def first_url(text: Column) -> Column:
-    """The first address of a text, else a bare domain with http://."""
-    full = F.regexp_extract(text, r"(https?://[^\s\]|<>\"}]+)", 1)
-    bare = F.regexp_extract(text, r"(?i)(?<![@\w])((?:[a-z0-9-]+\.)+[a-z]{2,}(?:/\S*)?)", 1)
-    return F.when(full != "", full).when(bare != "", F.concat(F.lit("http://"), bare))
+def first_url(text: Column, endings: tuple[str, ...] = DOMAINS) -> Column:
+    """The first address of a text without the punctuation after it, else the first bare domain with one of the endings, with http://."""
+    full = F.regexp_replace(F.regexp_extract(text, r"(https?://[^\s\]|<>\"]+)", 1), r"[.,;)]+$", "")
+    words = F.filter(F.split(text, r"[\s\[\]|<>()\",;]+"), lambda w: w != "")
+    host = lambda w: F.lower(F.regexp_extract(w, r"^((?:[A-Za-z0-9-]+\.)+[A-Za-z]+)(?:/|[.:]?$)", 1))
+    bare = F.get(F.filter(words, lambda w: F.element_at(F.split(host(w), r"\."), -1).isin(list(endings))), F.lit(0))
+    return F.when(full != "", full).when(bare.isNotNull(), F.concat(F.lit("http://"), F.regexp_replace(bare, r"[.:]+$", "")))
 
 
 def _templates(text: Column, name: str) -> Column:
     """Bodies of the templates whose name begins as the pattern says, nested templates of any depth and all; unclosed ones are left out."""
     pieces = F.split(F.concat(F.lit(" "), _braces(text)), rf"(?iu)(?=\x02\s*(?:(?:template|bản mẫu)\s*:\s*)?(?:{name}))")
-    rest = F.transform(F.sequence(F.lit(2), F.size(pieces)), lambda k: F.substring(F.array_join(F.slice(pieces, k, F.size(pieces)), ""), 2, 1 << 30))
+    rest = F.transform(F.sequence(F.lit(2), F.size(pieces)), lambda k: F.substring(F.array_join(F.slice(pieces, k, F.size(pieces)), ""), F.lit(2), F.length(text)))
     done = lambda t: F.regexp_replace(t, r"\x02([^\x02\x03]*)\x03", "\x06$1\x07")
     body = lambda t: F.regexp_extract(_each_level(t, done), r"^\s*([^\x02\x03]*)\x03", 1)
     shown = lambda t: F.replace(F.replace(t, F.lit(DONE), F.lit("{{")), F.lit(ENDED), F.lit("}}"))
@@ -145,8 +167,9 @@ def params(body: Column) -> Column:
     levels = _depth(F.replace(F.replace(_braces(body), F.lit("[["), F.lit(OPEN)), F.lit("]]"), F.lit(CLOSE)))
     hidden = F.aggregate(F.sequence(F.lit(1), levels), body, lambda t, _: hide(t))
     shown = lambda c: F.translate(c, "\u0001\u0002\u0003\u0004\u0005", "|{}[]")
-    pairs = F.filter(F.slice(F.split(hidden, r"\|"), 2, 1 << 20), lambda p: F.contains(p, F.lit("=")))
+    pairs = F.filter(F.filter(F.split(hidden, r"\|"), lambda _, i: i > 0), lambda p: F.contains(p, F.lit("=")))
     entries = F.transform(pairs, lambda p: F.struct(F.lower(strip(F.element_at(F.split(p, "=", 2), 1))).alias("k"), shown(strip(F.element_at(F.split(p, "=", 2), 2))).alias("v")))
     kept = F.filter(entries, lambda e: (e["k"] != "") & (e["v"] != ""))
-    last = F.filter(kept, lambda e, i: ~F.exists(F.slice(kept, i + 2, F.size(kept)), lambda f: f["k"] == e["k"]))
-    return F.map_from_entries(last)
+    none = F.create_map().cast("map<string, string>")
+    put = lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["k"]), F.map_from_entries(F.array(e)))
+    return F.aggregate(kept, none, put)

@@ -104,7 +104,7 @@ def test_deep_templates(spark):
     got = d.select(body.alias("b"), X.params(body).alias("p")).collect()
     assert got[0].b.endswith("| z = {{Infobox sub | y = 1}}") and got[1].b == "Infobox d | e = f" and got[2].b == "" and got[3].b is None
     p = d.limit(1).select(F.explode(X.params(body)).alias("k", "v")).select("k", X.render(F.col("v")).alias("v"))
-    assert {r.k: r.v for r in p.collect()} == {"name": "b; d", "ill": "An", "n": "a; b; c", "s": "Zed", "e": "2001-2-3", "p": "x; y", "q": "No", "z": ""}
+    assert {r.k: r.v for r in p.collect()} == {"name": "b; d", "ill": "An", "n": "a; b; c", "s": "Zed", "e": "2001-02-03", "p": "x; y", "q": "No", "z": ""}
     assert d.select(X.infobox(F.col("x"), ("known name",))).first()[0] == "Known_name | k = v"
 
 
@@ -157,3 +157,51 @@ def test_conflicts_none_for_a_fitting_triple(spark):
     p = spark.createDataFrame([(1, "kg:p", "kg:playedFor", "kg:c"), (2, "kg:c", "kg:playedFor", "kg:p")], "id int, s string, p string, o string")
     got = V.conflicts(p, types, o.prop, o.sub_class, o.disjoint)
     assert {r.id for r in got.collect()} == {2}
+
+
+def one(spark, text, *exprs):
+    df = spark.createDataFrame([(text,)], "t string")
+    return tuple(df.select(*[e(F.col("t")).alias(f"c{k}") for k, e in enumerate(exprs)]).first())
+
+
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [("2010 150 caps", 2010), ("39.220", 39220), ("40,192 seats", 40192), ("39 220", 39220), ("about 5.000 people", 5000), ("none", None), ("1234.567", 1234)],
+)
+def test_integers(spark, text, value):
+    assert one(spark, text, N.integer) == (value,)
+
+
+@pytest.mark.parametrize(
+    ("text", "value", "precision"),
+    [
+        ("ngày 12 tháng 4 năm 1997", "1997-04-12", "date"), ("March 5, 1990", "1990-03-05", "date"), ("5 March 1990", "1990-03-05", "date"), ("1997-04", "1997-04", "gYearMonth"),
+        ("12-4-1997", "1997-04-12", "date"), ("12/04/1997 (age 20)", "1997-04-12", "date"), ("tháng 4 năm 1997", "1997-04", "gYearMonth"), ("May 2001", "2001-05", "gYearMonth"),
+        ("season 2001", "2001", "gYear"), ("1990-02-31", "1990", "gYear"), ("x", None, None),
+    ],
+)
+def test_dates(spark, text, value, precision):
+    assert tuple(one(spark, text, N.date)[0]) == (value, precision)
+
+
+def test_other_values(spark):
+    ranges = {"2015–2019": (2015, 2019), "2015—": (2015, None), "2015 − nay": (2015, None), "2015": (2015, 2015), "2015-present": (2015, None), "x": (None, None)}
+    assert {k: tuple(one(spark, k, N.year_range)[0]) for k in ranges} == ranges
+    assert [one(spark, t, N.height)[0] for t in ("172 cm", "1,72 m", "1.72", "17 cm", "180")] == [1.72, 1.72, 1.72, None, 1.8]
+    assert [one(spark, t, N.on_loan)[0] for t in ("A (loan)", "A (cho mượn)", "→ A", "A mượn", "Loaner", "A (on loan)")] == [True, True, True, True, False, False]
+    names = {"imageSize": "imageSize", "ngày thành lập": "ngàyThànhLập", "a/b c": "aBC", "1 x": "_1X", "Full_name": "fullName"}
+    assert {k: one(spark, k, N.property_name)[0] for k in names} == names
+    urls = {"see https://a.vn/x.": "https://a.vn/x", "at www.b.com.vn/p, or": "http://www.b.com.vn/p", "e.g. this or that.": None, "mail a@b.com": None}
+    assert {k: one(spark, k, X.first_url)[0] for k in urls} == urls
+    keys = {"altitude": False, "alt": True, "bodyweight": False, "body2": True, "Image": True, "pattern_la1": True, "name": False, "caption3": True, "kit_alt": True}
+    assert {k: one(spark, k, X.skipped)[0] for k in keys} == keys
+
+
+def test_rendered_templates(spark):
+    cases = {
+        "{{birth date|1950|3|7}}": "1950-03-07", "{{ngày sinh và tuổi|1997|12|1}}": "1997-12-01", "{{start date|1999|5}}": "1999-05", "{{height|m=1.80}}": "1.80 m",
+        "{{height|cm=180}}": "180 cm", "{{convert|12|km2}}": "12 km2", "{{nowrap|{{small|x}}}}": "x", "{{plainlist|a|b}}": "a; b", "{{url|a.vn}}": "a.vn", "{{unknown|x}}": "",
+    }
+    assert {k: one(spark, k, X.render)[0] for k in cases} == cases
+    got = one(spark, "{{Infobox x|a = 1 |b=[[c|d]]| a=2|e=|f={{g|h=i}}}}", lambda t: X.params(X.infobox(t)))[0]
+    assert got == {"a": "2", "b": "[[c|d]]", "f": "{{g|h=i}}"}

@@ -4,6 +4,7 @@ import math
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 from graphloom.plans import ORACLES, QUERIES
@@ -22,7 +23,7 @@ def duck(sf_dir):
 
 def rows(frame):
     def cell(v):
-        if v is None or isinstance(v, float) and math.isnan(v) or v is not v:
+        if v is None or v is pd.NA or v is pd.NaT or isinstance(v, float) and math.isnan(v):
             return "null"
         return f"{v:.6g}" if isinstance(v, float) else str(v)
 
