@@ -284,8 +284,8 @@ def _leaf_links(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataF
 
 
 def _homes(entries: DataFrame) -> DataFrame:
-    """id, size, part, pure and home, the smallest of the signatures that a document shares with a crowd, or else with any: near copies mostly agree on it."""
-    least = F.min(F.struct(F.col("n") < CROWD, "sig"))
+    """id, size, part, pure and home, the signature that a document shares with the largest crowd, or else the smallest that it shares: near copies mostly agree on it."""
+    least = F.min(F.struct(F.when(F.col("n") >= CROWD, -F.col("n")).otherwise(0).alias("crowd"), "sig"))
     return entries.groupBy("id", "size", "part", "pure").agg(least.alias("h")).select("id", "size", "part", "pure", F.col("h.sig").alias("home"))
 
 
@@ -364,7 +364,7 @@ def ngram_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100,
     has one shingle, its whole sequence. Documents with equal sets are one class and compared once.
     1. Each class cuts its set into segments by hash and keeps some of them as signatures (see Bands);
        linked classes keep a common one.
-    2. Classes with the same smallest signature (of those that crowds share, if any) are dealt to leaves of bounded size, in order of size;
+    2. Classes with the same home (the signature of the largest crowd, else the smallest one) are dealt to leaves of bounded size, in order of size;
        leaves hang under the signatures of their documents. A leaf's documents are compared with each
        other, and each leaf with the first one of its signatures; most crowds are one component then.
     3. The classes under signatures that still join several components are dealt anew, large components
