@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,6 +93,7 @@ def _parsed(page: str | None) -> Iterator[tuple[int, str, bool, bool, tuple]]:
     """
     stack: list[tuple[str, int, bool, bool, tuple]] = [("html", BODY, False, False, ())]
     parts: list[str] = []
+    held: dict[str, int] = defaultdict(int)  # open elements by name, so that an end tag without its start costs no walk
     text, at = page or "", 0
     begun = False
 
@@ -110,11 +112,14 @@ def _parsed(page: str | None) -> Iterator[tuple[int, str, bool, bool, tuple]]:
             continue
         name = name.lower()
         if m[1]:
-            if any(s[0] == name for s in stack[1:]):
+            if held[name]:
                 if name in BLOCK and (b := flush()):
                     yield b
-                while stack.pop()[0] != name:
-                    pass
+                while True:
+                    last = stack.pop()[0]
+                    held[last] -= 1
+                    if last == name:
+                        break
             elif name == "p" and (b := flush()):
                 yield b
             continue
@@ -129,6 +134,8 @@ def _parsed(page: str | None) -> Iterator[tuple[int, str, bool, bool, tuple]]:
         if name in BLOCK and name != "br":
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == "p" or stack[k][0] in CLOSES.get(name, ()):
+                    for s in stack[k:]:
+                        held[s[0]] -= 1
                     del stack[k:]
                     break
                 if stack[k][0] in STOPS:
@@ -153,6 +160,7 @@ def _parsed(page: str | None) -> Iterator[tuple[int, str, bool, bool, tuple]]:
         if name not in ("html", "body") and name in BLOCK:
             path = _below(path, label)
         stack.append((name, path, out, inside, above))
+        held[name] += 1
     if b := flush():
         yield b
 
@@ -234,13 +242,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     size = low.agg(F.sum(F.length("host") + 8 * F.size("low") + 64)).first()[0] or 0
     joined = rows.join(low.select("host", "low").hint("broadcast" if size <= 32_000_000 else "merge"), "host", "left")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts = []
-            for page, low in zip(b["html"], b["low"], strict=True):
-                drop = set(low) if low is not None else ()
-                texts.append(" ".join([t for path, t, state in blocks(page) if state == HELD or state != OUT and _node(path, state) not in drop]))
-            yield pd.DataFrame({"id": b["id"], "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):
+                b = whole.slice(start, 500)
+                texts = []
+                for page, low in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                    drop = set(low or ())
+                    texts.append(" ".join([t for path, t, state in blocks(page) if state == HELD or state != OUT and _node(path, state) not in drop]))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return joined.select("id", "url", "html", "low").mapInPandas(run, f"id {kind}, url string, text string, n_chars long").withColumnsRenamed({"id": id_col, "url": url_col})
+    return joined.select("id", "url", "html", "low").mapInArrow(run, f"id {kind}, url string, text string, n_chars long").withColumnsRenamed({"id": id_col, "url": url_col})
