@@ -21,7 +21,7 @@ NEEDS = {"email": "@", "phone": "+"}
 CANDIDATE = r"(?<!\S)(?=[^\s0-9@]*+[0-9@])[^\s]{6,}+"
 #: Code points of context on either side.
 CONTEXT = 48
-#: Rounds of scoring; distinct seed entities that a pattern needs; confidence from which a pattern or an instance counts as found.
+#: Rounds of scoring between two additions of seeds; distinct seed entities that a pattern needs; confidence from which a pattern or an instance counts as found.
 ROUNDS, SUPPORT, FOUND = 3, 3, 0.6
 
 
@@ -115,22 +115,16 @@ def _lexical(text: Column, start: Column, end: Column) -> Column:
     )
 
 
-def discover(mentions: DataFrame) -> DataFrame:
-    """Mentions that high-confidence patterns find: row, start, end, kind.
-
-    mentions has row, start, end, kind (null if no base pattern matches), instance, patterns. In each
-    round a pattern's confidence for a kind is the sum of its instances' scores over their number plus
-    one, and an unseen instance's score the noisy-or of its patterns' confidences, for its best kind; seeds
-    stay at 1. Patterns with fewer than SUPPORT distinct seeds of the kind do not count.
-    """
-    edges = written(mentions.select(F.explode("patterns").alias("pattern"), "instance", "kind").groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "edges")
-    width = edges.groupBy("pattern").agg(F.count("*").alias("n"))
-    seeds = edges.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= SUPPORT)
-    usable = written(seeds.join(width.hint("merge"), "pattern"), "usable")
+def _scored(edges: DataFrame, width: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """Patterns (pattern, kind, confidence) and unseen instances (instance, kind, score) after ROUNDS of scoring each other; None without a pattern of enough seeds."""
+    seeds = edges.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("seeds"), F.sum("weight").alias("mass"))
+    usable = written(seeds.where(F.col("seeds") >= SUPPORT).join(width.hint("merge"), "pattern"), "usable")
+    if usable.isEmpty():
+        return None
     open_ = written(edges.where("kind is null").select("pattern", "instance").join(usable.select("pattern").distinct().hint("merge"), "pattern", "left_semi"), "open")
     patterns = usable.withColumn("gained", F.lit(0.0))
     for _ in range(ROUNDS):
-        confident = written(patterns.select("pattern", "kind", ((F.col("seeds") + F.col("gained")) / (F.col("n") + 1)).alias("confidence")), "patterns")
+        confident = written(patterns.select("pattern", "kind", ((F.col("mass") + F.col("gained")) / (F.col("n") + 1)).alias("confidence")), "patterns")
         scores = (
             open_.join(confident.hint("merge"), "pattern")
             .groupBy("instance", "kind")
@@ -142,13 +136,42 @@ def discover(mentions: DataFrame) -> DataFrame:
         scores = written(scores, "scores")
         gained = open_.join(scores.hint("merge"), "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("gained"))
         patterns = usable.join(gained.hint("merge"), ["pattern", "kind"], "left").withColumn("gained", F.coalesce("gained", F.lit(0.0)))
-    sure = confident.where(F.col("confidence") >= FOUND)
-    good = scores.where(F.col("score") >= FOUND)
+    return confident, scores
+
+
+def discover(mentions: DataFrame) -> DataFrame:
+    """Mentions that high-confidence patterns find: row, start, end, kind.
+
+    mentions has row, start, end, kind (null if no base pattern matches), instance, patterns. In each
+    round a pattern's confidence for a kind is the sum of its instances' scores over their number plus
+    one, and an unseen instance's score the noisy-or of its patterns' confidences, for its best kind; seeds
+    stay at 1. Patterns with fewer than SUPPORT distinct seeds of the kind do not count. Instances of high
+    score that patterns of high confidence meet become seeds, with their scores for weights, and induce
+    patterns of their own: scoring starts anew until no instance is added.
+    """
+    edges = written(mentions.select(F.explode("patterns").alias("pattern"), "instance", "kind").groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "edges")
+    edges = edges.withColumn("weight", F.lit(1.0))
+    width = written(edges.groupBy("pattern").agg(F.count("*").alias("n")), "width")
+    sure = found = None
+    now = edges
+    while scored := _scored(now, width):
+        confident, scores = scored
+        confident = confident.where(F.col("confidence") >= FOUND).select("pattern", "kind")
+        sure = confident if sure is None else written(sure.union(confident).distinct(), "sure")
+        met = now.where("kind is null").select("pattern", "instance").join(confident.hint("merge"), "pattern").select("instance", "kind").distinct()
+        fresh = written(scores.where(F.col("score") >= FOUND).join(met.hint("merge"), ["instance", "kind"], "left_semi").select("instance", "kind", "score"), "fresh")
+        if fresh.isEmpty():
+            break
+        found = fresh if found is None else written(found.union(fresh), "found")
+        made = found.select("instance", F.col("kind").alias("made"), "score")
+        weight = F.when(F.col("kind").isNull() & F.col("made").isNotNull(), F.col("score")).otherwise(F.col("weight"))
+        now = written(edges.join(made.hint("merge"), "instance", "left").select("pattern", "instance", F.coalesce("kind", "made").alias("kind"), weight.alias("weight")), "grown")
+    plain = mentions.where("kind is null").select("row", "start", "end", "instance", F.explode("patterns").alias("pattern"))
+    if found is None:
+        return plain.where("false").select("row", "start", "end", F.lit(0).alias("kind"))
     return (
-        mentions.where("kind is null")
-        .select("row", "start", "end", "instance", F.explode("patterns").alias("pattern"))
-        .join(sure.hint("merge"), "pattern")
-        .join(good.select("instance", "kind").hint("merge"), ["instance", "kind"], "left_semi")
+        plain.join(sure.hint("merge"), "pattern")
+        .join(found.select("instance", "kind").hint("merge"), ["instance", "kind"], "left_semi")
         .select("row", "start", "end", "kind")
         .distinct()
     )

@@ -239,6 +239,18 @@ def test_pii(spark, docs, nothing):
     assert find_pii(docs).count() == 127 and find_pii(nothing).count() == 0
 
 
+def test_pii_found_entities_induce_patterns(spark):
+    from graphloom.llm.pii import find_pii
+
+    texts = [f"please write to u{k}@mail.org soon" for k in range(20)]
+    texts += [f"please write to acct#{k:05d}x soon" for k in range(6)]  # the context of the base matches
+    texts += [f"signed off by acct#{k:05d}x yesterday" for k in range(6)] + ["signed off by acct#99999y yesterday"]  # a context of found ones only
+    texts += [f"page numbered {k}00000 ends" for k in range(20)]
+    got = {r.doc_id: r for r in find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[k].n_found for k in range(53)] == [0] * 20 + [1] * 13 + [0] * 20
+    assert got[32].spans == "email:14:25" and got[32].n_email == 0
+
+
 def test_language(spark, sf_dir, docs, nothing):
     from graphloom.llm.language import identify
 
