@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.closure import closure, held
-from graphloom.operators.inference import SKIPPED, Ontology
+from graphloom.operators.inference import SKIPPED, Ontology, disjointness, materialise
 
 
 def axioms(tbox: Ontology) -> DataFrame:
@@ -88,3 +88,40 @@ def neighbourhood(proposals: DataFrame, triples: DataFrame, via: str) -> DataFra
     further = ends.join(triples.where(F.col("p") == via).select("s", F.col("o").alias("next")).hint("merge"), "s").select("id", F.col("next").alias("s"))
     nodes = held(ends.union(further).distinct(), "nodes")
     return nodes.join(triples.select("s", "p", "o").hint("merge"), "s").select("id", "s", "p", "o").distinct()
+
+
+def axiom_counts(all_axioms: DataFrame, inferred: DataFrame) -> DataFrame:
+    """kind, term, other, n: chains, inverses and value restrictions, with the inferred triples of what each gives.
+
+    That is the property of a chain, the other property of an inverse (both ways round), the class of a
+    some-values axiom, the filler of an all-values one. inferred has p, o; the others of `kind` are left out.
+    """
+    rows = all_axioms.where(F.col("kind").isin("chain", "inverse", "some_values", "all_values"))
+    back = rows.where("kind = 'inverse'").select("kind", F.col("other").alias("term"), F.col("term").alias("other"))
+    rows = rows.unionByName(back)
+    filler = F.element_at(F.split("other", " "), -1)
+    gives = F.when(F.col("kind") == "inverse", F.col("other")).when(F.col("kind") == "all_values", filler).otherwise(F.col("term"))
+    is_type = F.col("p") == "rdf:type"
+    counts = inferred.groupBy(is_type.alias("typed"), F.when(is_type, F.col("o")).otherwise(F.col("p")).alias("gives")).agg(F.count("*").alias("n"))
+    rows = rows.withColumns({"gives": gives, "typed": F.col("kind").isin("some_values", "all_values")})
+    return rows.join(counts, ["typed", "gives"], "left").select("kind", "term", "other", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def described(all_axioms: DataFrame, terms: DataFrame) -> DataFrame:
+    """about, kind, term, other: every axiom that a term (column `term`) stands in, on either side or as a part of a chain or restriction."""
+    parts = F.array_distinct(F.concat(F.array("term"), F.split(F.coalesce("other", F.lit("")), " ")))
+    every = all_axioms.select("kind", "term", "other", F.explode(parts).alias("about"))
+    return every.join(terms.select(F.col("term").alias("about")).distinct(), "about", "left_semi").select("about", "kind", "term", "other").distinct()
+
+
+def clashes(facts: DataFrame, tbox: Ontology) -> DataFrame:
+    """id, s, a, b: subjects that the rules put into two disjoint classes, for each proposal by itself.
+
+    facts has id, s, p, o, o_kind: each proposal with what surrounds it. Entities carry the id of their
+    proposal while the rules run, so all proposals run at once and none sees another's facts.
+    """
+    own = lambda c: F.concat(F.col("id").cast("string"), F.lit("\n"), F.col(c))
+    entity = (F.col("o_kind") == "iri") & (F.col("p") != "rdf:type")
+    tagged = facts.select(own("s").alias("s"), "p", F.when(entity, own("o")).otherwise(F.col("o")).alias("o"), "o_kind")
+    found = disjointness(materialise(tagged, tbox), tbox.disjoint)
+    return found.select(F.substring_index("s", "\n", 1).cast("long").alias("id"), F.substring_index("s", "\n", -1).alias("s"), "a", "b")

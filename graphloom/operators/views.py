@@ -190,3 +190,41 @@ def conflicts(proposals: DataFrame, types: DataFrame, prop: DataFrame, sub_class
     new = grow(gained).join(group, "cls").select("id", "side", "s", "grp", F.col("cls").alias("new"))
     known = grow(types).join(group, "cls").select("s", "grp", F.col("cls").alias("known"))
     return new.join(known, ["s", "grp"]).where("new <> known").select("id", "side", "known", "new").distinct()
+
+
+def cards(triples: DataFrame, spaces: dict[str, str], page: str, derived: str, lat: tuple[str, ...], lon: tuple[str, ...]) -> DataFrame:
+    """entity, a column per name of `spaces`, page, derived, revision, lat, lon of every subject that has one of them.
+
+    A column of `spaces` has the same-as IRIs with its prefix, sorted and comma-joined. The first property of
+    `lat` and `lon` with a value counts; of several values the smallest. revision is the number after oldid=.
+    """
+    used = ["owl:sameAs", page, derived, *lat, *lon]
+    one = lambda p: F.min(F.when(F.col("p") == p, F.col("o")))
+    same = [F.array_join(F.array_sort(F.collect_set(F.when((F.col("p") == "owl:sameAs") & F.startswith("o", F.lit(start)), F.col("o")))), ",").alias(name) for name, start in spaces.items()]
+    first = lambda props: F.coalesce(*[one(p).try_cast("double") for p in props])
+    per = triples.where(F.col("p").isin(used)).groupBy(F.col("s").alias("entity")).agg(*same, one(page).alias("page"), one(derived).alias("derived"), first(lat).alias("lat"), first(lon).alias("lon"))
+    return per.withColumn("revision", F.regexp_extract("derived", r"oldid=([0-9]+)", 1).try_cast("long"))
+
+
+def asserted_neighbours(triples: DataFrame) -> DataFrame:
+    """node, side, other, props: links to other entities both ways, asserted ones only; neighbours without one are gone. triples has part."""
+    links = triples.where("part = 'asserted' and o_kind = 'iri' and s <> o")
+    both = links.select(F.col("s").alias("node"), F.lit("out").alias("side"), F.col("o").alias("other"), "p").union(links.select("o", F.lit("in"), "s", "p"))
+    return both.groupBy("node", "side", "other").agg(F.array_join(F.array_sort(F.collect_set("p")), ",").alias("props"))
+
+
+def relation_groups(triples: DataFrame, nodes: DataFrame, out: list[str], into: list[str], also_inferred: tuple[str, ...] = (), province: str = "kg:province", located: str = "kg:locatedIn") -> DataFrame:
+    """node, place, p, side, other: the relations of the nodes as groups in the order of `out`, then of `into`.
+
+    Asserted links only, but for incoming ones of `also_inferred`; a place that is already the province of a
+    node is not among its `located`. triples has part, nodes a column node.
+    """
+    places = [(p, "out", k) for k, p in enumerate(out)] + [(p, "in", len(out) + k) for k, p in enumerate(into)]
+    order = F.broadcast(triples.sparkSession.createDataFrame(places, "p string, side string, place int"))
+    links = triples.where((F.col("o_kind") == "iri") & F.col("p").isin([*out, *into]) & ((F.col("part") == "asserted") | F.col("p").isin(list(also_inferred))))
+    ends = F.explode(F.array(F.struct(F.col("s").alias("node"), F.lit("out").alias("side"), F.col("o").alias("other")), F.struct(F.col("o").alias("node"), F.lit("in").alias("side"), F.col("s").alias("other"))))
+    rows = links.select("part", "p", ends.alias("e")).select("part", "p", "e.*").where((F.col("side") == "in") | (F.col("part") == "asserted"))
+    rows = rows.join(order, ["p", "side"]).join(nodes.select("node").distinct().hint("merge"), "node", "left_semi")
+    held_in = (F.col("side") == "out") & (F.col("p") == province)
+    doubled = F.max(held_in).over(Window.partitionBy("node", "side", "other")) & (F.col("p") == located)
+    return rows.withColumn("_doubled", doubled).where("not _doubled").select("node", "place", "p", "side", "other").distinct()

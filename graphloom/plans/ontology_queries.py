@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.operators import ontology as O
-from graphloom.operators.inference import example_ontology
+from graphloom.operators import views as V
+from graphloom.operators.inference import example_ontology, inferred
+from graphloom.plans.record_queries import m10
 from graphloom.plans.registry import query
 from graphloom.sources.tables import TYPE, graph, iri, table
 
@@ -68,3 +70,92 @@ def w02(spark, d):
     p = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), iri("player", "c_custkey").alias("s"), iri("club", "c_custkey").alias("o"))
     t = graph(spark, d).where(F.col("p").isin("kg:careerStation", "kg:startYear", "kg:team", "kg:birthProvince", "kg:province"))
     return O.neighbourhood(p, t, "kg:careerStation")
+
+
+@query("w03_proposal_clashes", "SELECT s_suppkey AS id, 'kg:club/' || s_suppkey AS s, 'kg:Person' AS a, 'kg:Team' AS b FROM supplier WHERE s_suppkey % 2 = 1")
+def w03(spark, d):
+    odd = F.expr("s_suppkey % 2 = 1")
+    given = table(spark, d, "supplier").select(
+        F.col("s_suppkey").alias("id"), iri("club", "s_suppkey").alias("s"), F.when(odd, "kg:careerStation").otherwise("kg:ground").alias("p"),
+        F.when(odd, iri("station", "s_suppkey")).otherwise(iri("stadium", "s_suppkey")).alias("o"),
+    )
+    types = graph(spark, d).where((F.col("p") == TYPE) & ~F.col("o").endswith("Station"))
+    around = O.neighbourhood(given, types, "kg:careerStation")
+    return O.clashes(given.unionByName(around).withColumn("o_kind", F.lit("iri")), example_ontology(spark))
+
+
+_PLAYED = "(SELECT count(DISTINCT (o_custkey, l_suppkey)) FROM orders JOIN lineitem ON l_orderkey = o_orderkey)"
+
+
+@query(
+    "h09_axiom_counts",
+    f"""SELECT 'chain' AS kind, 'kg:playedFor' AS term, 'kg:careerStation kg:team' AS other, {_PLAYED} AS n UNION ALL SELECT 'inverse', 'kg:playedFor', 'kg:hasPlayer', {_PLAYED}
+    UNION ALL SELECT 'inverse', 'kg:hasPlayer', 'kg:playedFor', {_PLAYED} UNION ALL SELECT 'inverse', 'kg:successor', 'kg:predecessor', count(*) FROM nation WHERE n_nationkey % 3 = 2
+    UNION ALL SELECT 'inverse', 'kg:predecessor', 'kg:successor', 0 UNION ALL SELECT 'some_values', 'kg:NationalTeamPlayer', 'kg:careerStation kg:NationalTeamStation', count(DISTINCT o_custkey) FROM orders WHERE o_orderstatus = 'P'
+    UNION ALL SELECT 'all_values', 'kg:ClubStation', 'kg:team kg:FootballClub', count(DISTINCT l_suppkey) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier)
+    UNION ALL SELECT 'all_values', 'kg:NationalTeamStation', 'kg:team kg:NationalTeam', count(DISTINCT l_suppkey) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P'""",
+)
+def h09(spark, d):
+    o = example_ontology(spark)
+    facts = graph(spark, d).where(F.col("p").isin(TYPE, "kg:careerStation", "kg:team", "kg:successor"))
+    return O.axiom_counts(O.axioms(o), inferred(facts, o))
+
+
+@query(
+    "g23_described_terms",
+    """WITH u AS (SELECT 'kg:careerStation' AS about, count(*) AS n FROM orders UNION ALL SELECT 'kg:team', count(DISTINCT (l_orderkey, l_suppkey)) FROM lineitem UNION ALL SELECT 'kg:successor', count(*) FROM nation WHERE n_nationkey % 3 = 2
+    UNION ALL SELECT 'kg:NationalTeamStation', count(*) FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT 'kg:ClubStation', count(*) FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'kg:FootballClub', count(*) FROM supplier)
+    SELECT v.about, v.kind, v.term, v.other, u.n FROM (VALUES ('kg:careerStation', 'chain', 'kg:playedFor', 'kg:careerStation kg:team'), ('kg:team', 'chain', 'kg:playedFor', 'kg:careerStation kg:team'), ('kg:successor', 'inverse', 'kg:successor', 'kg:predecessor'),
+    ('kg:careerStation', 'some_values', 'kg:NationalTeamPlayer', 'kg:careerStation kg:NationalTeamStation'), ('kg:NationalTeamStation', 'some_values', 'kg:NationalTeamPlayer', 'kg:careerStation kg:NationalTeamStation'),
+    ('kg:ClubStation', 'all_values', 'kg:ClubStation', 'kg:team kg:FootballClub'), ('kg:team', 'all_values', 'kg:ClubStation', 'kg:team kg:FootballClub'), ('kg:FootballClub', 'all_values', 'kg:ClubStation', 'kg:team kg:FootballClub'),
+    ('kg:NationalTeamStation', 'all_values', 'kg:NationalTeamStation', 'kg:team kg:NationalTeam'), ('kg:team', 'all_values', 'kg:NationalTeamStation', 'kg:team kg:NationalTeam')) v(about, kind, term, other) JOIN u ON u.about = v.about""",
+)
+def g23(spark, d):
+    used = graph(spark, d).groupBy(F.when(F.col("p") == TYPE, F.col("o")).otherwise(F.col("p")).alias("term")).agg(F.count("*").alias("n"))
+    axioms = O.axioms(example_ontology(spark)).where(F.col("kind").isin("chain", "inverse", "some_values", "all_values"))
+    return O.described(axioms, used).join(used.withColumnRenamed("term", "about"), "about").select("about", "kind", "term", "other", "n")
+
+
+_PAGE = "'https://wiki.example/' || upper(p_name[1]) || replace(p_name[2:], ' ', '_')"
+
+
+@query("b07_linked_data_cards", f"SELECT 'kg:part/' || p_partkey AS entity, 'ext:Q' || p_partkey AS outer_ids, '' AS own_ids, {_PAGE} AS page, CASE WHEN p_size > 10 THEN {_PAGE} || '?oldid=' || p_size END AS derived, CASE WHEN p_size > 10 THEN CAST(p_size AS BIGINT) END AS revision, CAST(p_partkey % 90 AS DOUBLE) AS lat, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS DOUBLE) END AS lon FROM part")
+def b07(spark, d):
+    part, s = table(spark, d, "part"), F.concat(F.lit("kg:part/"), "p_partkey")
+    at = lambda p, v: part.select(s.alias("s"), p.alias("p"), v.cast("string").alias("o"))
+    even = F.expr("p_partkey % 2 = 0")
+    t = m10(spark, d).select("s", "p", "o").where(F.col("p") != "kg:topic")
+    t = t.unionByName(at(F.when(even, "kg:lat").otherwise("geo:lat"), F.expr("p_partkey % 90"))).unionByName(at(F.lit("geo:long"), F.col("p_size")).where("s is not null").where(F.expr("cast(substring_index(s, '/', -1) as int) % 2 = 0")))
+    return V.cards(t, {"outer_ids": "ext:", "own_ids": "kg:"}, "kg:page", "kg:derivedFrom", ("kg:lat", "geo:lat"), ("kg:long", "geo:long"))
+
+
+_NEAR = "SELECT 'kg:club/' || s_suppkey AS s, 'kg:province/' || s_nationkey AS o FROM supplier UNION ALL SELECT 'kg:stadium/' || p_partkey, 'kg:province/' || (p_partkey % 25) FROM part"
+
+
+def _places(t):
+    """Inferred: what has a province lies in it."""
+    return t.where("p = 'kg:province'").withColumn("p", F.lit("kg:locatedIn")).withColumn("part", F.lit("inferred"))
+
+
+@query("b12_asserted_neighbours", f"WITH e AS ({_NEAR}) SELECT s AS node, 'out' AS side, o AS other, 'kg:province' AS props FROM e UNION ALL SELECT o, 'in', s, 'kg:province' FROM e")
+def b12(spark, d):
+    t = graph(spark, d).where("p = 'kg:province'")
+    return V.asserted_neighbours(t.unionByName(_places(t)))
+
+
+@query(
+    "b13_relation_groups",
+    """SELECT 'kg:club/' || s_suppkey AS node, 1 AS place, 'kg:province' AS p, 'out' AS side, 'kg:province/' || s_nationkey AS other FROM supplier
+    UNION ALL SELECT 'kg:club/' || s_suppkey, 2, 'kg:locatedIn', 'out', 'kg:country/0' FROM supplier UNION ALL SELECT 'kg:club/' || l_suppkey, 0, 'kg:ground', 'out', 'kg:stadium/' || min(l_partkey) FROM lineitem GROUP BY l_suppkey
+    UNION ALL SELECT DISTINCT 'kg:club/' || l_suppkey, 4, 'kg:team', 'in', 'kg:station/' || l_orderkey FROM lineitem
+    UNION ALL SELECT 'kg:club/' || c_custkey, 3, 'kg:playedFor', 'in', 'kg:player/' || c_custkey FROM customer WHERE c_custkey IN (SELECT s_suppkey FROM supplier)""",
+)
+def b13(spark, d):
+    t = graph(spark, d).where(F.col("p").isin("kg:province", "kg:ground", "kg:team"))
+    clubs = table(spark, d, "supplier").select(iri("club", "s_suppkey").alias("node"))
+    doubled = _places(t).withColumn("part", F.lit("asserted"))
+    far = clubs.select("node").withColumns({"p": F.lit("kg:locatedIn"), "o": F.lit("kg:country/0"), "o_kind": F.lit("iri"), "part": F.lit("asserted")}).withColumnRenamed("node", "s")
+    played = table(spark, d, "customer").select(F.lit("inferred").alias("part"), iri("player", "c_custkey").alias("s"), F.lit("kg:playedFor").alias("p"), iri("club", "c_custkey").alias("o"), F.lit("iri").alias("o_kind"))
+    cols = ["part", "s", "p", "o", "o_kind"]
+    every = t.select(cols).unionByName(doubled.select(cols)).unionByName(far.select(cols)).unionByName(played)
+    return V.relation_groups(every, clubs, ["kg:ground", "kg:province", "kg:locatedIn"], ["kg:playedFor", "kg:team"], ("kg:playedFor",))
