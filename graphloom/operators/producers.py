@@ -40,7 +40,7 @@ class Rule:
     split: str | None = None  # property in place of `out` where the linked entity is a province
     dt: str | None = None
     lang: str | None = None
-    scale: float = 1.0  # of structured numbers
+    per: float = 1.0  # structured numbers are divided by it
     digits: int | None = None
     low: float | None = None  # bounds of numbers in `bound`, before one is picked
     high: float | None = None
@@ -60,7 +60,7 @@ def _looked_up(df: DataFrame, other: DataFrame, key: str, applies: Column) -> Da
 
 
 def _number(v: Column, digits: Column, dt: Column) -> Column:
-    """A number as literal: whole numbers rounded half to even and not negative, others to their digits."""
+    """A number as literal: whole numbers rounded half to even and not negative, others to their digits, by their shortest decimal form."""
     whole = F.bround(v, 0).cast("long")
     return F.when(dt.isin(*_INTEGER), F.when(whole >= 0, whole.cast("string"))).otherwise(F.when(digits == 2, F.bround(v, 2)).otherwise(v).cast("string"))
 
@@ -86,7 +86,7 @@ def produce(values: DataFrame, classes: DataFrame, within: DataFrame, rules: lis
     v = v.where(~(F.col("best") & structured & F.col("_any")) | good)
     fits = F.col("allow").isNull() | F.when(F.col("target").isNull(), ~F.col("known")).otherwise(F.array_contains("allow", F.col("target")))
     bad = linked & (~structured | F.col("both")) & ~fits
-    read = F.col("value").try_cast("double") * F.when(structured, F.col("scale")).otherwise(1.0)
+    read = F.col("value").try_cast("double") / F.when(structured, F.col("per")).otherwise(1.0)
     v = v.withColumns({"_bad": bad, "_x": F.when(F.col("dt").isNotNull() & (F.col("kind") == "lit"), read)}).where("late or not _bad")
     outside = (F.col("source") == F.col("bound")) & ((F.col("_x") < F.col("low")) | (F.col("_x") > F.col("high")))
     v = v.where(~F.coalesce(outside, F.lit(False)) & ~(F.col("other") & linked & (F.col("value") == F.col("entity"))))

@@ -49,13 +49,13 @@ RULES = [
     Rule(SCHOOL, "otherName", "skos:altLabel", how="pick", lang="en", chars=200),
     Rule(SCHOOL, "parent", "kg:affiliation", best=False, allow=(SCHOOL,), other=True),
     Rule(AREA, "population", "kg:population", year="kg:populationYear", how="latest", dt=COUNT),
-    Rule(AREA, "area", "kg:area", how="pick", dt="xsd:double", scale=1e-6, digits=2),
+    Rule(AREA, "area", "kg:area", how="pick", dt="xsd:double", per=1e6, digits=2),
     Rule(AREA, "dissolved", year="kg:dissolutionYear", year_too=True, how="pick"),
     Rule(AREA, "successor", "kg:successor", best=False), Rule(AREA, "predecessor", "kg:predecessor", best=False),
     Rule(AREA, "capital", "kg:capital", allow=()), Rule(AREA, "region", "kg:region", allow=()),
     Rule(AREA, "code", "kg:administrativeCode", how="pick", chars=20), _HOME(AREA),
     Rule(LAND, "population", "kg:population", year="kg:populationYear", how="latest", dt=COUNT),
-    Rule(LAND, "area", "kg:area", how="pick", dt="xsd:double", scale=1e-6, digits=2),
+    Rule(LAND, "area", "kg:area", how="pick", dt="xsd:double", per=1e6, digits=2),
     Rule(LAND, "capital", "kg:capital"),
 ]
 #: Class -> table, IRI and, for each value, source, property, kind, order, value (null: none), and, where given, preferred and time.
@@ -236,7 +236,7 @@ SQL = {
     ),
     LAND: _sql(
         LAND,
-        _l("kg:population", _SK, COUNT), _l("kg:populationYear", "'2020'", "xsd:gYear"), _l("kg:area", f"round_even({_SK} * 1005000 * 1e-6, 2)", "xsd:double"),
+        _l("kg:population", _SK, COUNT), _l("kg:populationYear", "'2020'", "xsd:gYear"), _l("kg:area", f"round_even({_SK} * 100.5, 0) / 100", "xsd:double"),
         _i("kg:capital", "'kg:town/1'"), _i("kg:capital", "'kg:town/2'", f"{_SK} % 2 = 1"),
     ),
 }
