@@ -83,6 +83,28 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_docs(spark, sf_dir), 3, 90, 100)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of every embedding on the first four components."""
+    from graphloom.llm.whitening import whiten
+
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 4, 256)
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, number and checksum of each document's token ids, read from the files they were written to."""
+    import public_tokenizers
+    from graphloom.llm.token_files import token_digests, write_tokens
+
+    return token_digests(write_tokens(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 1))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    from graphloom.llm.conversation_trie import conversation_trie
+
+    return conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"), 20, 4)
+
+
 OP6_SQL = r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
 g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
@@ -127,11 +149,46 @@ FROM documents t LEFT JOIN n ON n.doc_id = t.doc_id
 """
 
 
+#: crc32 is written out: eight shifts a byte.
+OP13_SQL = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+      sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, xor(list_reduce(
+    list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda s, z: xor(s >> 1, (s & 1) * 3988292384))), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (
+  SELECT c.conv_id, t.k - 4 AS o, t.role, t.text FROM c JOIN t ON t.conv_id = c.base AND t.k <= c.h
+  UNION ALL SELECT c.conv_id, t.k, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.k > c.h),
+p AS (SELECT c.conv_id, list({'role': r.role, 'text': r.text} ORDER BY r.o) FILTER (WHERE r.o IS NOT NULL) AS p FROM c LEFT JOIN r ON r.conv_id = c.conv_id GROUP BY c.conv_id),
+q AS (SELECT conv_id, coalesce(p, []) AS p, coalesce(len(p), 0) AS n FROM p),
+m AS (SELECT conv_id, n, d, p[1:d] AS key, coalesce(p[d].text, '') AS last FROM (SELECT *, unnest(range(0, n + 1)) AS d FROM q)),
+w AS (SELECT conv_id, d, n, last, min(conv_id) OVER (PARTITION BY d, key) AS node FROM m),
+g AS (
+  SELECT node, d, count(*) AS n_convs, string_agg(CASE WHEN n = d THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id) AS ends,
+    any_value(len(list_filter(string_split_regex(last, '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS words
+  FROM w GROUP BY node, d),
+a AS (SELECT g.node, g.d, g.n_convs, g.words, x.d AS up, x.node AS top FROM g JOIN w x ON x.conv_id = g.node AND x.d <= g.d),
+f AS (SELECT top, up, count(*) FILTER (WHERE d = up + 1) AS n_children FROM a GROUP BY top, up),
+s AS (
+  SELECT a.top, a.up, sum((a.n_convs - 1) * a.words) AS saved, count(*) FILTER (WHERE f.n_children = 0) AS leaves
+  FROM a JOIN f ON f.top = a.node AND f.up = a.d GROUP BY a.top, a.up)
+SELECT g.node AS conv_id, CAST(g.d AS BIGINT) AS depth, y.node AS parent_conv_id, g.n_convs, f.n_children, s.leaves AS n_leaves,
+  CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(g.ends, '')) AS ends_sha256
+FROM g JOIN f ON f.top = g.node AND f.up = g.d JOIN s ON s.top = g.node AND s.up = g.d
+LEFT JOIN w y ON y.conv_id = g.node AND y.d = g.d - 1
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name -> function of (spark, sf_dir)."""
-    return {f.__name__: f for f in (op1_fingerprint, op2_substring_dedup, op3_mixing, op4_pii, op5_language, op6_exact_dedup, op7_quality, op8_html_text, op9_bpe, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_fingerprint, op2_substring_dedup, op3_mixing, op4_pii, op5_language, op6_exact_dedup, op7_quality, op8_html_text, op9_bpe, op10_ngram_join, op11_whitening, op12_token_files, op13_conversation_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {"op2_substring_dedup": OP2_SQL, "op6_exact_dedup": OP6_SQL, "op10_ngram_join": OP10_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op6_exact_dedup": OP6_SQL, "op10_ngram_join": OP10_SQL, "op13_conversation_trie": OP13_SQL}
