@@ -345,10 +345,13 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc
 
         for batch, texts in slices(batches, 1):
             ids, counts = encoder.encode(texts)
-            held.append((batch.column(0), counts, ids))
-            size += len(ids)
-            if size >= shard:
-                yield close()
+            ends, at = np.r_[0, np.cumsum(counts)], 0
+            while at < len(counts):
+                to = min(at + int(np.searchsorted(ends[at + 1 :], ends[at] + shard - size)) + 1, len(counts))
+                held.append((batch.column(0).slice(at, to - at), counts[at:to], ids[ends[at] : ends[to]]))
+                size, at = size + int(ends[to] - ends[at]), to
+                if size >= shard:
+                    yield close()
         if held:
             yield close()
 
