@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 
 def held(df: DataFrame, name: str) -> DataFrame:
     """Write df to the folder that driver and executors share, and read it back, to cut its lineage."""
-    spark = df.sparkSession
-    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _folder(spark: SparkSession) -> str:

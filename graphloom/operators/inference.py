@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators.closure import closure, held
+from graphloom.operators.closure import shared_path
 
 TYPE = "rdf:type"
 FACT = ["s", "p", "o", "o_kind"]
@@ -30,9 +34,17 @@ class Ontology:
     disjoint: DataFrame
 
 
+def small(spark: SparkSession, rows: list[tuple], fields: str) -> DataFrame:
+    """A schema-sized table as a local relation: reading it takes no job. fields: name and string, int or boolean, comma-separated."""
+    names, kinds = zip(*(f.strip().split(" ") for f in fields.split(",")), strict=True)
+    types = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+    columns = [pa.array([r[k] for r in rows], types[kind]) for k, kind in enumerate(kinds)]
+    return spark.createDataFrame(pa.table(dict(zip(names, columns, strict=True))))
+
+
 def example_ontology(spark: SparkSession) -> Ontology:
     """An ontology of one axiom of each kind for the derived graph."""
-    make = spark.createDataFrame
+    make = lambda rows, fields: small(spark, rows, fields)
     return Ontology(
         make([("kg:FootballPlayer", "kg:Athlete"), ("kg:Athlete", "kg:Person"), ("kg:Person", "up:Agent"), ("kg:NationalTeamPlayer", "kg:FootballPlayer"),
               ("kg:FootballClub", "kg:Team"), ("kg:NationalTeam", "kg:Team"), ("kg:Team", "up:Agent"), ("kg:FormerProvince", "kg:Province"), ("kg:Province", "kg:Place"),
@@ -55,13 +67,19 @@ def example_ontology(spark: SparkSession) -> Ontology:
     )
 
 
-def skeleton(triples: DataFrame, own: str) -> DataFrame:
-    """What enters reasoning: types and own properties of own subjects."""
-    return triples.where(F.col("s").startswith(own) & ((F.col("p") == TYPE) | F.col("p").startswith(own))).select(*FACT).distinct()
+def skeleton(triples: DataFrame, own: str, once: bool = True) -> DataFrame:
+    """What enters reasoning: types and own properties of own subjects; each once, unless fixpoint() does that."""
+    rows = triples.where(F.col("s").startswith(own) & ((F.col("p") == TYPE) | F.col("p").startswith(own))).select(*FACT)
+    return rows.distinct() if once else rows
+
+
+def _tag(*frames: DataFrame) -> list[str]:
+    """The column id if all frames have it: facts of different proposals are kept apart."""
+    return ["id"] if all("id" in df.columns for df in frames) else []
 
 
 def _types(df: DataFrame, s: str, cls: str) -> DataFrame:
-    return df.select(F.col(s).alias("s"), F.lit(TYPE).alias("p"), F.col(cls).alias("o"), F.lit("iri").alias("o_kind"))
+    return df.select(*_tag(df), F.col(s).alias("s"), F.lit(TYPE).alias("p"), F.col(cls).alias("o"), F.lit("iri").alias("o_kind"))
 
 
 def rule_sub_class(facts: DataFrame, classes: DataFrame) -> DataFrame:
@@ -71,7 +89,7 @@ def rule_sub_class(facts: DataFrame, classes: DataFrame) -> DataFrame:
 
 def rule_sub_property(facts: DataFrame, props: DataFrame) -> DataFrame:
     """x p y, p below q: x q y, literals too. props is the closure (sub, sup)."""
-    return facts.join(F.broadcast(props), F.col("p") == F.col("sub")).select("s", F.col("sup").alias("p"), "o", "o_kind")
+    return facts.join(F.broadcast(props), F.col("p") == F.col("sub")).select(*_tag(facts), "s", F.col("sup").alias("p"), "o", "o_kind")
 
 
 def rule_domain(facts: DataFrame, prop: DataFrame) -> DataFrame:
@@ -87,64 +105,131 @@ def rule_range(facts: DataFrame, prop: DataFrame) -> DataFrame:
 def rule_inverse(facts: DataFrame, inverse: DataFrame) -> DataFrame:
     """x p y: y q x, both ways."""
     both = inverse.select("p", "q").union(inverse.select("q", "p"))
-    return facts.where("o_kind = 'iri'").join(F.broadcast(both), "p").select(F.col("o").alias("s"), F.col("q").alias("p"), F.col("s").alias("o"), "o_kind")
+    return facts.where("o_kind = 'iri'").join(F.broadcast(both), "p").select(*_tag(facts), F.col("o").alias("s"), F.col("q").alias("p"), F.col("s").alias("o"), "o_kind")
 
 
 def rule_chain(left: DataFrame, right: DataFrame, chain: DataFrame) -> DataFrame:
-    """x p1 y, y p2 z: x p z."""
+    """x p1 y, y p2 z: x p z. In this rule and the next two, an id of either side stays; where both have one, they must agree."""
     axioms = chain.select(F.col("p").alias("q"), F.col("p1"), "p2")
-    a = left.where("o_kind = 'iri'").join(F.broadcast(axioms), F.col("p") == F.col("p1")).select("s", F.col("o").alias("y"), "p2", "q")
-    b = right.select(F.col("s").alias("y"), F.col("p").alias("p2"), "o", "o_kind")
-    return a.join(b, ["y", "p2"]).select("s", F.col("q").alias("p"), "o", "o_kind")
+    a = left.where("o_kind = 'iri'").join(F.broadcast(axioms), F.col("p") == F.col("p1")).select(*_tag(left), "s", F.col("o").alias("y"), "p2", "q")
+    b = right.select(*_tag(right), F.col("s").alias("y"), F.col("p").alias("p2"), "o", "o_kind")
+    return a.join(b, [*_tag(left, right), "y", "p2"]).select(*(_tag(left) or _tag(right)), "s", F.col("q").alias("p"), "o", "o_kind")
 
 
 def rule_some_values(edges: DataFrame, types: DataFrame, some: DataFrame) -> DataFrame:
     """x p y, y a filler: x a class."""
-    a = edges.join(F.broadcast(some), "p").select("s", F.col("o").alias("y"), "filler", "cls")
-    return _types(a.join(types.where(F.col("p") == TYPE).select(F.col("s").alias("y"), F.col("o").alias("filler")), ["y", "filler"]), "s", "cls")
+    a = edges.join(F.broadcast(some), "p").select(*_tag(edges), "s", F.col("o").alias("y"), "filler", "cls")
+    b = types.where(F.col("p") == TYPE).select(*_tag(types), F.col("s").alias("y"), F.col("o").alias("filler"))
+    return _types(a.join(b, [*_tag(edges, types), "y", "filler"]), "s", "cls")
 
 
 def rule_all_values(types: DataFrame, edges: DataFrame, every: DataFrame) -> DataFrame:
     """x a class, x p y: y a filler."""
-    a = edges.where("o_kind = 'iri'").join(F.broadcast(every), "p").select("s", "o", "cls", "filler")
-    return _types(a.join(types.where(F.col("p") == TYPE).select("s", F.col("o").alias("cls")), ["s", "cls"]), "o", "filler")
-
-
-def materialise(facts: DataFrame, tbox: Ontology, semantics: str = "owl") -> DataFrame:
-    """All facts that follow (with the given ones), s, p, o, o_kind.
+    a = edges.where("o_kind = 'iri'").join(F.broadcast(every), "p").select(*_tag(edges), "s", "o", "cls", "filler")
+    b = types.where(F.col("p") == TYPE).select(*_tag(types), "s", F.col("o").alias("cls"))
+    return _types(a.join(b, [*_tag(types, edges), "s", "cls"]), "o", "filler")
+
+
+def schema_closure(edges: DataFrame) -> DataFrame:
+    """sub, sup of every pair that the edges (sub, sup) of an ontology connect, but for a term with itself. The axioms are schema-sized: they come to the driver as they are broadcast to every task anyway."""
+    up: dict[str, set[str]] = {}
+    for r in edges.select("sub", "sup").distinct().collect():
+        up.setdefault(r.sub, set()).add(r.sup)
+    pairs = []
+    for start in up:
+        seen, todo = set(), [start]
+        while todo:
+            fresh = up.get(todo.pop(), set()) - seen
+            seen |= fresh
+            todo += fresh
+        pairs += [(start, x) for x in sorted(seen - {start})]
+    return small(edges.sparkSession, pairs, "sub string, sup string")
+
+
+class Known:
+    """The facts found so far: files by round and predicate, and their digests in a table that is bucketed by digest.
+
+    What a round finds is shuffled once, by digest, and meets the buckets without shuffling them; a rule reads the
+    predicates that it needs only.
+    """
 
-    Rounds apply the rules to what the last round found and keep what is new; class and property
-    closures are computed once. semantics: owl, rdfs (no inverse, chain or restriction) or none.
+    def __init__(self, spark: SparkSession):
+        self.spark, self.parts = spark, int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.folder, self.table, self.rounds = shared_path(spark, "facts"), f"seen_{uuid.uuid4().hex}", 0
+        self.predicates: set[str] = set()
+
+    def add(self, found: DataFrame) -> set[str]:
+        """Keep what is new of found, as one more round; the predicates of the new facts."""
+        keyed = found.withColumn("k", F.unhex(F.md5(F.concat_ws("\x01", *FACT)))).groupBy("k").agg(*(F.first(c).alias(c) for c in FACT))
+        if self.rounds:
+            keyed = keyed.join(self.spark.table(self.table).select("k").hint("merge"), "k", "left_anti")
+        path = f"{self.folder}/round={self.rounds}"
+        keyed.write.partitionBy("p").parquet(path)
+        new = self.spark.read.schema(keyed.schema).parquet(path)
+        self.rounds += 1
+        here = {unquote(unquote(f).split("/p=")[1].split("/")[0]) for f in new.inputFiles()}  # as URI, then as folder name
+        if here:
+            new.select("k").repartition(self.parts, "k").write.mode("append").format("parquet").bucketBy(self.parts, "k").option("path", f"{self.folder}-seen").saveAsTable(self.table)
+        self.predicates |= here
+        return here
+
+    def facts(self, first: int = 0, last: int | None = None, predicates: Iterable[str] | None = None) -> DataFrame:
+        """FACT of the rounds from first to last, of some predicates only if given."""
+        schema = "k binary, s string, o string, o_kind string, round int, p string"
+        df = self.spark.read.schema(schema).option("basePath", self.folder).parquet(*[f"{self.folder}/round={k}" for k in range(first, self.rounds if last is None else last + 1)])
+        return (df if predicates is None else df.where(F.col("p").isin(sorted(predicates)))).select(*FACT)
+
+
+def fixpoint(facts: DataFrame, tbox: Ontology, semantics: str = "owl") -> Known:
+    """Apply the rules to what the last round found, until nothing is new; round 0 holds the given facts.
+
+    A rule runs only if the last round has a predicate that it starts from, and reads no other predicates. semantics:
+    owl, rdfs (no inverse, chain or restriction) or none.
     """
-    facts = held(facts.select(*FACT).distinct(), "facts")
+    known = Known(facts.sparkSession)
+    new = known.add(facts.select(*FACT))
     if semantics == "none":
-        return facts
-    classes = held(closure(tbox.sub_class).select("sub", "sup"), "classes")
-    props = held(closure(tbox.sub_prop).select("sub", "sup"), "props")
-    known, delta = facts, facts
-    while True:
-        found = [rule_sub_class(delta, classes), rule_sub_property(delta, props), rule_domain(delta, tbox.prop), rule_range(delta, tbox.prop)]
+        return known
+    classes, props = schema_closure(tbox.sub_class), schema_closure(tbox.sub_prop)
+    of = lambda df, *cols: {r[c] for r in df.collect() for c in cols}  # noqa: E731  predicates of axioms
+    subs, domains = of(props, "sub"), of(tbox.prop.where("domain is not null"), "p")
+    ranges, inverses = of(tbox.prop.where("range is not null and kind = 'object'"), "p"), of(tbox.inverse, "p", "q")
+    lefts, rights, some, every = of(tbox.chain, "p1"), of(tbox.chain, "p2"), of(tbox.some_values, "p"), of(tbox.all_values, "p")
+    while new:
+        last, first = known.rounds - 1, known.rounds == 1
+        delta = lambda want: known.facts(last, last, want)  # noqa: E731,B023
+        whole = lambda want: known.facts(0, None, want)  # noqa: E731,B023
+        found = []
+        if TYPE in new:
+            found.append(rule_sub_class(delta([TYPE]), classes))
+        for rule, want, axioms in ((rule_sub_property, subs, props), (rule_domain, domains, tbox.prop), (rule_range, ranges, tbox.prop)):
+            if new & want:
+                found.append(rule(delta(want), axioms))
         if semantics == "owl":
-            found += [
-                rule_inverse(delta, tbox.inverse),
-                rule_chain(delta, known, tbox.chain),
-                rule_chain(known, delta, tbox.chain),
-                rule_some_values(delta, known, tbox.some_values),
-                rule_some_values(known, delta, tbox.some_values),
-                rule_all_values(delta, known, tbox.all_values),
-                rule_all_values(known, delta, tbox.all_values),
-            ]
-        new = reduce(DataFrame.unionByName, found).distinct().join(known, FACT, "left_anti")
-        delta = held(new, "delta")
-        if delta.isEmpty():
-            return known
-        known = known.unionByName(delta)
+            if new & inverses:
+                found.append(rule_inverse(delta(inverses), tbox.inverse))
+            for rule, a, b, axioms in ((rule_chain, lefts, rights, tbox.chain), (rule_some_values, some, {TYPE}, tbox.some_values), (rule_all_values, {TYPE}, every, tbox.all_values)):
+                if a and b and new & a and known.predicates & b:
+                    found.append(rule(delta(a), whole(b), axioms))
+                if a and b and not first and new & b and known.predicates & a:  # in the first round both are the same
+                    found.append(rule(whole(a), delta(b), axioms))
+        if not found:
+            break
+        new = known.add(reduce(DataFrame.unionByName, found))
+    return known
+
+
+def materialise(facts: DataFrame, tbox: Ontology, semantics: str = "owl") -> DataFrame:
+    """All facts that follow (with the given ones), s, p, o, o_kind; see fixpoint()."""
+    return fixpoint(facts, tbox, semantics).facts()
 
 
 def inferred(facts: DataFrame, tbox: Ontology, terms: DataFrame | None = None, keep: tuple[str, ...] = ("kg:", "up:", "geo:"), semantics: str = "owl") -> DataFrame:
     """New and useful facts only: not asserted, subject no ontology term or blank node, no same-as, properties of the kept namespaces."""
-    new = materialise(facts, tbox, semantics).join(facts.select(*FACT), FACT, "left_anti")
-    prop = F.col("p")
+    known = fixpoint(facts, tbox, semantics)
+    if known.rounds < 2:
+        return known.facts().limit(0)
+    new, prop = known.facts(1), F.col("p")
     ok = (prop == TYPE) | reduce(lambda a, b: a | b, [prop.startswith(k) for k in keep])
     new = new.where(ok & (prop != "owl:sameAs") & ~F.col("s").startswith("_:") & ~((prop == TYPE) & F.col("o").isin("owl:Thing", "rdfs:Resource")))
     return new if terms is None else new.join(terms.select(F.col("term").alias("s")), "s", "left_anti")

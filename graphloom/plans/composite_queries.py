@@ -235,20 +235,6 @@ def a03(spark, d):
     return t.join(on_map, "b", "left_semi").crossJoin(F.broadcast(t.agg(F.count("*").alias("total")))).select("a", "b", "total")  # one row
 
 
-@query("c03_asserted_members", "SELECT 'kg:Province' AS cls, count(*) AS asserted, 0::BIGINT AS inferred FROM nation UNION ALL SELECT 'kg:FormerProvince', count(*), 0 FROM nation WHERE n_nationkey % 3 = 2 UNION ALL SELECT 'kg:Place', 0, count(*) FROM nation")
-def c03(spark, d):
-    t = graph(spark, d).where("p = 'rdf:type' and s like 'kg:province/%'").select("s", F.col("o").alias("cls"), F.lit(False).alias("i"))
-    more = t.select("s", F.lit("kg:Place").alias("cls"), F.lit(True).alias("i")).distinct()
-    return t.union(more).groupBy("cls").agg(F.count_if(~F.col("i")).alias("asserted"), F.count_if("i").alias("inferred"))
-
-
-@query("b06_class_tree_of_an_entity", "SELECT 'kg:province/' || n_nationkey AS s, 'kg:FormerProvince' AS sub, 'kg:Province' AS sup FROM nation WHERE n_nationkey % 3 = 2")
-def b06(spark, d):
-    t = graph(spark, d).where("p = 'rdf:type' and s like 'kg:province/%'").select("s", F.col("o").alias("sub"))
-    x = t.join(F.broadcast(example_ontology(spark).sub_class), "sub")
-    return x.join(t.select("s", F.col("sub").alias("sup")), ["s", "sup"]).select("s", "sub", "sup")
-
-
 @query("b10_side_quota", "SELECT o_custkey AS node, least(o, greatest(6 - i, 3)) AS shown_out, least(i, greatest(6 - o, 3)) AS shown_in, o + i - least(o, greatest(6 - i, 3)) - least(i, greatest(6 - o, 3)) AS hidden FROM (SELECT o_custkey, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS o, count(CASE WHEN o_orderstatus <> 'F' THEN 1 END) AS i FROM orders GROUP BY o_custkey)")
 def b10(spark, d):
     per = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("node")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("o"), F.count_if(F.col("o_orderstatus") != "F").alias("i"))
@@ -281,16 +267,6 @@ def u14(spark, d):
     return x.groupBy("p_partkey").agg(F.count("*").alias("words"))
 
 
-@query("w05_classes_gained", "SELECT 'kg:club/' || s_suppkey AS s, c AS cls FROM supplier, (VALUES ('kg:Athlete'), ('kg:Person')) t(c)")
-def w05(spark, d):
-    o = example_ontology(spark)
-    up = closure(o.sub_class, reflexive=True).select(F.col("sub").alias("cls"), F.col("sup"))
-    given = table(spark, d, "supplier").select(iri("club", "s_suppkey").alias("s"), F.lit("kg:playedFor").alias("p")).join(F.broadcast(o.prop.select("p", F.col("domain").alias("cls"))), "p")
-    gained = given.join(F.broadcast(up), "cls").select("s", F.col("sup").alias("cls")).distinct()
-    real = graph(spark, d).where("p = 'rdf:type' and s like 'kg:club/%'").select("s", F.col("o").alias("cls")).join(F.broadcast(up), "cls").select("s", F.col("sup").alias("cls"))
-    return gained.join(real, ["s", "cls"], "left_anti")
-
-
 @query("n07_resolved_names", "SELECT p_partkey, 'kg:stadium/' || p_partkey AS iri FROM part WHERE p_partkey % 2 = 0")
 def n07(spark, d):
     names = table(spark, d, "part").select("p_partkey", F.explode(F.array(F.struct(F.lit(0).alias("r"), F.concat(F.when(F.expr("p_partkey % 2 = 0"), "kg:stadium/").otherwise("kg:none/"), "p_partkey").alias("c")), F.struct(F.lit(1).alias("r"), F.concat(F.lit("x:"), "p_partkey").alias("c")))).alias("k")).select("p_partkey", "k.*")

@@ -56,20 +56,6 @@ def s04(spark, d):
     return ntriples.union_parts(t, again).agg(F.count("*").alias("n"), F.countDistinct("s").alias("subjects"))
 
 
-@query("s05_inferred_mark", f"SELECT s, p, o, s LIKE 'kg:country/%' AS inferred FROM ({_PLACES})")
-def s05(spark, d):
-    t = _places(spark, d).select("s", "p", "o")
-    mark = t.where("s like 'kg:country/%'").withColumn("hit", F.lit(True))
-    return t.join(mark, ["s", "p", "o"], "left").select("s", "p", "o", F.col("hit").isNotNull().alias("inferred"))
-
-
-@query("s06_asserted_view", f"SELECT count(*) AS n FROM ({_PLACES})")
-def s06(spark, d):
-    t = _places(spark, d)
-    every = t.unionByName(t.withColumn("part", F.lit("inferred")))
-    return every.where(F.col("part").isin("asserted", "ontology")).agg(F.count("*").alias("n"))
-
-
 @query("s07_newest_response", "SELECT event_type, user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
 def s07(spark, d):
     return landed.newest(table(spark, d, "events"), ["event_type", "user_id"], F.desc("ts"), F.desc("event_id")).select("event_type", "user_id", "event_id", "value")

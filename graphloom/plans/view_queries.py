@@ -121,18 +121,6 @@ def b02(spark, d):
     return graph(spark, d).where("s like 'kg:stadium/%'").groupBy(grp.alias("grp")).agg(F.count("*").alias("n"))
 
 
-@query("b03_referenced_by", "SELECT o, p, s, place, total FROM (SELECT o, p, s, row_number() OVER (PARTITION BY o, p ORDER BY s) AS place, count(*) OVER (PARTITION BY o, p) AS total FROM (SELECT 'kg:province/' || c_nationkey AS o, 'kg:birthProvince' AS p, 'kg:player/' || c_custkey AS s FROM customer)) WHERE place <= 40")
-def b03(spark, d):
-    return V.referenced_by(graph(spark, d).where("p = 'kg:birthProvince'"))
-
-
-@query("b04_triple_counts", f"SELECT s, count(*) AS asserted, 1::BIGINT AS inferred FROM ({_ALL_STADIUM}) GROUP BY s")
-def b04(spark, d):
-    t = graph(spark, d).where("s like 'kg:stadium/%'").select("part", "s")
-    more = t.select(F.lit("inferred").alias("part"), "s").distinct()
-    return t.unionByName(more).groupBy("s").agg(F.count_if(F.col("part") == "asserted").alias("asserted"), F.count_if(F.col("part") == "inferred").alias("inferred"))
-
-
 @query("b05_asserted_classes", "SELECT 'kg:province/' || n_nationkey AS s, CASE WHEN n_nationkey % 3 = 2 THEN 'kg:FormerProvince,kg:Province' ELSE 'kg:Province' END AS classes FROM nation")
 def b05(spark, d):
     t = graph(spark, d).where("p = 'rdf:type' and s like 'kg:province/%'")
@@ -219,15 +207,6 @@ def b22(spark, d):
     return x.groupBy("source").agg(F.min(F.when(F.col("lang") == "fr", F.col("doc_id"))).alias("abstract"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("languages"))
 
 
-@query("b23_labelled_edges", "SELECT c_name AS subject, 'birthProvince' AS property, n_name AS object FROM customer JOIN nation ON n_nationkey = c_nationkey")
-def b23(spark, d):
-    t = graph(spark, d)
-    label = t.where("p = 'rdfs:label'").select("s", F.col("o").alias("l"))
-    e = t.where("p = 'kg:birthProvince'").select("s", "p", F.col("o").alias("to"))
-    e = e.join(label, "s").withColumnRenamed("l", "subject")
-    return e.join(label.select(F.col("s").alias("to"), F.col("l").alias("object")), "to").select("subject", F.split_part("p", F.lit(":"), F.lit(2)).alias("property"), "object")
-
-
 @query("c01_members", "SELECT 'kg:Province' AS cls, count(*) AS n FROM nation UNION ALL SELECT 'kg:FormerProvince', count(*) FROM nation WHERE n_nationkey % 3 = 2 UNION ALL SELECT 'kg:Country', count(*) FROM region")
 def c01(spark, d):
     t = graph(spark, d).where("p = 'rdf:type' and (s like 'kg:province/%' or s like 'kg:country/%')")
@@ -429,9 +408,3 @@ def w04(spark, d):
     p = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), iri("player", "c_custkey").alias("s"), F.lit("kg:birthPlace").alias("p"), F.when(F.expr("c_custkey % 2 = 0"), iri("province", "c_nationkey")).otherwise("kg:club/1").alias("o"))
     types = graph(spark, d).where(F.col("p") == TYPE).select("s", F.col("o").alias("cls"))
     return V.conflicts(p, types, o.prop, o.sub_class, o.disjoint)
-
-
-@query("w06_domain_and_range", "SELECT c_custkey AS id, 'kg:Person' AS domain, 'kg:Place' AS range FROM customer")
-def w06(spark, d):
-    p = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit("kg:birthPlace").alias("p"))
-    return p.join(F.broadcast(example_ontology(spark).prop), "p", "left").select("id", "domain", "range")

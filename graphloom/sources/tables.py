@@ -19,6 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def version(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of the files of a table, by Spark's own file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(at)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+
+
 def iri(kind: str, key: str | Column) -> Column:
     """IRI of an entity: kg:<kind>/<key>."""
     return F.concat(F.lit(f"kg:{kind}/"), (F.col(key) if isinstance(key, str) else key).cast("string"))
