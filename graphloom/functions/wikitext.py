@@ -18,6 +18,12 @@ SKIPPED_KEYS = (
 )
 SKIPPED_NUMBERED = ("image", "caption", "body", "shorts", "socks", "leftarm", "rightarm")
 SKIPPED_STEMS = ("bản đồ", "map", "pushpin", "kit", "pattern")
+# What stands before the colon of a link that leads to no article; other two- and three-letter prefixes (other languages) lead to none either.
+OTHER_NAMESPACES = (
+    "tập tin", "file", "hình", "image", "thể loại", "category", "bản mẫu", "template", "wikipedia", "wp", "wikt", "commons", "d", "en",
+)
+#: Named character references that texts of values have; others with a number are read as such.
+ENTITIES = {"nbsp": "\u00a0", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "ndash": "–", "mdash": "—", "hellip": "…", "middot": "·", "amp": "&"}
 #: Endings of domains that count as an address without http.
 DOMAINS = ("vn", "com", "org", "edu", "net", "gov")
 
@@ -96,30 +102,49 @@ def _inner(text: Column) -> Column:
 
 def interpret(text: Column) -> Column:
     """Interpret nested templates, innermost first and of any depth: dates, heights, addresses, lists and wrappers stay, others go."""
-    t = text
-    for _ in range(3):  # up to three bars in a link are not those of its template
-        t = F.regexp_replace(t, r"\[\[([^\[\]|]*)\|([^\[\]]*)\]\]", f"[[$1{BAR}$2]]")
+    t = F.regexp_replace(text, r"\|(?=[^\[\]]*\]\])", BAR)  # bars in a link are not those of its template
     t = _each_level(_braces(t), _inner)
     return F.replace(F.replace(F.translate(t, BAR, "|"), F.lit(OPEN), F.lit("{{")), F.lit(CLOSE), F.lit("}}"))
 
 
-def render(text: Column) -> Column:
-    """Text of a value: no comments, references or files; links as their labels, line breaks as '; '."""
+def outside(title: Column, namespaces: tuple[str, ...] = OTHER_NAMESPACES) -> Column:
+    """Whether a link's target is no article: its prefix is one of the namespaces, or one of two or three letters."""
+    prefix = F.lower(F.trim(F.split_part(title, F.lit(":"), F.lit(1))))
+    return F.contains(title, F.lit(":")) & (prefix.isin(list(namespaces)) | F.lower(F.trim(title)).rlike("^:?[a-z]{2,3}:"))
+
+
+def unescape(text: Column) -> Column:
+    """Character references as characters: decimal, hexadecimal, and those of ENTITIES; others stay."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(?:\d{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(0)))
+    digits = lambda e: F.regexp_extract(e, r"([0-9a-fA-F]+);$", 1)
+    number = lambda e: F.when(e.rlike("^&#[xX]"), F.conv(digits(e), 16, 10)).otherwise(digits(e)).cast("long")
+    valid = lambda n: ((n > 0) & (n < 0xD800)) | ((n > 0xDFFF) & (n <= 0x10FFFF))
+    put = lambda t, e: F.when(valid(number(e)), F.replace(t, e, F.decode(F.unhex(F.lpad(F.hex(number(e)), 8, "0")), "UTF-32"))).otherwise(t)
+    t = F.when(F.contains(text, F.lit("&#")), F.aggregate(found, text, put)).otherwise(text)
+    for name, char in ENTITIES.items():
+        t = F.replace(t, F.lit(f"&{name};"), F.lit(char))
+    return t
+
+
+def render(text: Column, namespaces: tuple[str, ...] = OTHER_NAMESPACES) -> Column:
+    """Text of a value: no comments, references, galleries or links outside of articles; links as their labels, line breaks as '; '."""
     t = F.regexp_replace(text, r"(?s)<!--.*?-->", "")
-    t = F.regexp_replace(t, r"(?is)<ref[^>/]*/>|<ref.*?</ref>", "")
+    t = F.regexp_replace(t, r"(?is)<(?:ref|references|gallery)\b[^>]*/>|<(ref|references|gallery)\b.*?</\1\s*>", "")
     t = interpret(t)
-    t = F.regexp_replace(t, r"(?i)\[\[(?:file|image|category|tập tin|hình|thể loại):[^\]]*\]\]", "")
-    t = F.regexp_replace(t, r"\[\[(?:[^\]|]*\|)?([^\]|]*)\]\]", "$1")
+    t = F.regexp_replace(t, rf"(?iu)\[\[\s*(?:{'|'.join(namespaces)}|:?[a-z]{{2,3}})\s*:[^\]]*\]\]", "")
+    t = F.regexp_replace(t, r"\[\[[^\]|]*\|([^\]]*)\]\]", "$1")  # all after the first bar
+    t = F.regexp_replace(t, r"\[\[([^\]|]*)\]\]", "$1")
     t = F.regexp_replace(t, r"\[https?://\S+\s+([^\]]*)\]", "$1")
     t = F.regexp_replace(t, r"(?i)<br\s*/?>", "; ")
-    t = F.regexp_replace(t, r"<[^>]+>|'{2,}", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"\(\s*\)", ""), r"\s+", " "))
+    t = unescape(F.regexp_replace(t, r"<[^>]+>|'{2,}", ""))
+    t = F.regexp_replace(F.regexp_replace(t, r"\(\s*[,;]?\s*\)", ""), r"[\s\u00a0]+", " ")
+    return F.regexp_replace(F.replace(t, F.lit(" ;"), F.lit(";")), r"^[ ;,]+|[ ;,]+$", "")
 
 
-def links(text: Column) -> Column:
+def links(text: Column, namespaces: tuple[str, ...] = OTHER_NAMESPACES) -> Column:
     """Distinct article titles that a value links to, in order: no files, categories or other sites, no anchors."""
     found = F.regexp_extract_all(text, F.lit(r"\[\[([^\]|#]+)"), F.lit(1))
-    return F.array_distinct(F.transform(F.filter(found, lambda x: ~x.rlike(r"(?i)^\s*:?(?:file|image|category|tập tin|hình|thể loại|[a-z]{2,3})\s*:") & (F.trim(x) != "")), norm_title))
+    return F.array_distinct(F.transform(F.filter(found, lambda x: ~outside(x, namespaces) & (F.trim(x) != "")), norm_title))
 
 
 def external_links(text: Column) -> Column:

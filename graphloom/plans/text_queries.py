@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import terms as N
 from graphloom.functions import wikitext as X
+from graphloom.operators import markup as M
 from graphloom.plans.registry import query
 from graphloom.sources.tables import table
 
@@ -180,6 +181,45 @@ def x01(spark, d):
     return _boxes(spark, d).select("c_custkey", (box != "").alias("found"), X.strip(F.element_at(F.split(box, r"\|"), 1)).alias("name"))
 
 
+def _shapes(spark, d):
+    """A page per customer in four shapes: nested values, a brace that is never closed, a known family after another infobox, a file link of many bars."""
+    c, shape = table(spark, d, "customer"), F.expr("c_custkey % 4")
+    lead = F.when(shape == 1, "{{never closed | a = ").when(shape == 2, "{{Infobox other|k=1}} ").otherwise("{{short|x}} ")
+    name = F.when(shape == 2, "Known_family").otherwise("Infobox person")
+    image = F.when(shape == 3, "[[File:a.jpg|thumb|left|x=1|alt|link|{{small|b|c=d}}]]").otherwise("")
+    club = F.concat(F.lit("[[Club "), F.expr("c_custkey % 10"), F.lit("|one|two|three|four|five|six]]"))
+    text = F.concat(
+        lead, F.lit("text {{"), name, F.lit("\n| name = "), "c_name", F.lit("<!-- | no = x -->\n| club = "), club, F.lit("\n| image = "), image,
+        F.lit("\n| born = {{birth date|1990|{{mo|1=2}}}}\n| name = "), "c_mktsegment", F.lit(" &amp; ( , ) [[wikipedia:w]]\n| plain\n}} end ]]"), F.when(shape == 1, "").otherwise(" }}"),
+    )
+    return c.select(F.col("c_custkey").alias("page"), text.alias("text"))
+
+
+_NAMES = "CASE c_custkey % 4 WHEN 2 THEN 'Known_family' ELSE 'Infobox person' END"
+_CLUB = "'[[Club ' || (c_custkey % 10) || '|one|two|three|four|five|six]]'"
+
+
+@query("x01_infobox_of_every_shape", f"SELECT c_custkey AS page, {_NAMES} AS name FROM customer")
+def x01_shapes(spark, d):
+    return M.infobox_parameters(_shapes(spark, d), ("Known family",)).select("page", "name").distinct()
+
+
+@query("x03_params_of_every_shape", f"SELECT c_custkey AS page, unnest(['name', 'club', 'born'] || CASE WHEN c_custkey % 4 = 3 THEN ['image'] ELSE [] END) AS key, unnest([c_mktsegment || ' &amp; ( , ) [[wikipedia:w]]', {_CLUB}, '{{{{birth date|1990|{{{{mo|1=2}}}}}}}}'] || CASE WHEN c_custkey % 4 = 3 THEN ['[[File:a.jpg|thumb|left|x=1|alt|link|{{{{small|b|c=d}}}}]]'] ELSE [] END) AS value FROM customer")
+def x03_shapes(spark, d):
+    return M.infobox_parameters(_shapes(spark, d), ("Known family",)).select("page", "key", "value")
+
+
+@query("x04_render_of_every_shape", "SELECT c_custkey AS page, c_mktsegment || ' &' AS name, 'one|two|three|four|five|six' AS club FROM customer")
+def x04_shapes(spark, d):
+    p = M.infobox_parameters(_shapes(spark, d), ("Known family",)).groupBy("page").agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in ("name", "club")])
+    return p.select("page", *[X.render(F.col(k)).alias(k) for k in ("name", "club")])
+
+
+@query("x06_page_links", f"SELECT c_custkey AS page, unnest(['Club ' || (c_custkey % 10), 'wikipedia:w'] || CASE WHEN c_custkey % 4 = 3 THEN ['File:a.jpg'] ELSE [] END) AS target, unnest(['one|two|three|four|five|six', 'wikipedia:w'] || CASE WHEN c_custkey % 4 = 3 THEN ['thumb|left|x=1|alt|link|{{{{small|b|c=d}}}}'] ELSE [] END) AS label FROM customer")
+def x06_pages(spark, d):
+    return M.page_links(_shapes(spark, d)).select("page", "target", "label")
+
+
 @query("x02_template_name", "SELECT p_partkey, 'infobox ' || lower(p_name) AS name FROM part")
 def x02(spark, d):
     raw = F.concat(F.lit(" Template: Infobox_"), F.replace("p_name", F.lit(" "), F.lit("  ")))
