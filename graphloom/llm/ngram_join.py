@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from graphloom.llm.common import components, release, sized_join, small_batches, written
 from graphloom.llm.exact_dedup import tree_merge
@@ -177,7 +178,7 @@ def _leaves(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     docs has id, text, home, pure (its component if that is large, else -1), part (its component). A leaf
     holds documents of one home and one pure. links are those between its own documents.
     """
-    id_type = docs.schema["id"].dataType.simpleString()
+    id_type, id_kind = docs.schema["id"].dataType.simpleString(), to_arrow_type(docs.schema["id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, count = TaskContext.get().partitionId() << 32, 0
@@ -205,9 +206,8 @@ def _leaves(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
             ids.clear(), parts.clear(), sets.clear()
 
         def packed() -> pa.RecordBatch:
-            t = pa.int64() if id_type == "bigint" else pa.int32() if id_type == "int" else pa.string()
-            fields = [("node", pa.int64()), ("home", pa.int64()), ("pure", pa.int64()), ("ids", pa.list_(t)), ("parts", pa.list_(t)), ("sizes", pa.list_(pa.int64())), ("tokens", pa.binary()), ("has", pa.binary()), ("maps", pa.binary())]
-            fields += [(c, pa.int64()) for c in ("small", "large", "least", *(f"b{k}" for k in range(MAP)))] + [("links", pa.list_(pa.struct([("a", t), ("b", t)])))]
+            fields = [("node", pa.int64()), ("home", pa.int64()), ("pure", pa.int64()), ("ids", pa.list_(id_kind)), ("parts", pa.list_(id_kind)), ("sizes", pa.list_(pa.int64())), ("tokens", pa.binary()), ("has", pa.binary()), ("maps", pa.binary())]
+            fields += [(c, pa.int64()) for c in ("small", "large", "least", *(f"b{k}" for k in range(MAP)))] + [("links", pa.list_(pa.struct([("a", id_kind), ("b", id_kind)])))]
             return pa.RecordBatch.from_pylist(out, schema=pa.schema(fields))
 
         for batch, texts in slices(batches, 1):
@@ -375,7 +375,7 @@ def ngram_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100,
 
     Returns one row per input row: id, n_shingles, component_id (smallest id that links reach). Null and
     empty texts have no shingles and no links; a null id belongs to nothing else (component null); ids
-    are expected to name one text, and repeated rows give equal results; an empty table gives an empty
+    may be of any type that can be ordered, are expected to name one text, and repeated rows give equal results; an empty table gives an empty
     result; other columns are ignored. Exact but for collisions of 64-bit hashes.
     """
     with small_batches(docs.sparkSession):

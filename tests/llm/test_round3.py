@@ -258,3 +258,20 @@ def test_trie_of_nothing(spark):
     assert conversation_trie(spark.createDataFrame([(None, 1, "user", "x")], TURNS)).collect() == []
     one = conversation_trie(spark.createDataFrame([(5, 0, "user", "x")], TURNS)).collect()  # h of 5 is not 0: its only turn is dropped
     assert sorted((r.conv_id, r.depth, r.n_leaves) for r in one) == [(a, b, f) for a, b, _, _, _, f, _, _ in plain_trie([(5, 0, "user", "x")])]
+
+
+# -- ids of any type in the n-gram join
+
+
+@pytest.mark.parametrize("kind", ["decimal(10,2)", "date"])
+def test_ngram_join_of_other_ids(spark, kind):
+    from graphloom.llm.ngram_join import ngram_components
+
+    same = " ".join(f"w{k}" for k in range(60))
+    rows = [(k, f"{same} x{k}" if k % 2 else f"other {k} text") for k in range(30)] + [(40, None), (41, "")]
+    df = clashing(spark.createDataFrame(rows, "doc_id int, text string"), ("id", "size", "home", "pure", "part", "sig", "node", "class", "component"))
+    df = df.withColumn("doc_id", F.expr("date_add(date'2020-01-01', doc_id)") if kind == "date" else F.col("doc_id").cast(kind))
+    groups = defaultdict(int)
+    for r in ngram_components(df, 3, 90, 100).collect():
+        groups[r.component_id] += 1
+    assert sorted(groups.values())[-2:] == [1, 15] and sum(groups.values()) == 32
