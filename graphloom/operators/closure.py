@@ -61,23 +61,4 @@ def primary_parent(edges: DataFrame, own: str) -> DataFrame:
     """cls, parent (one in the own namespace first, then by name), others (the rest, sorted)."""
     rank = F.struct((~F.col("sup").startswith(own)).alias("foreign"), "sup")
     per = edges.groupBy(F.col("sub").alias("cls")).agg(F.array_sort(F.collect_set(rank)).alias("r"))
-    return per.select("cls", F.col("r")[0]["sup"].alias("parent"), F.array_join(F.array_sort(F.transform(F.slice("r", 2, 1000000), lambda x: x["sup"])), ",").alias("others"))
-
-
-def final_successor(edges: DataFrame) -> DataFrame:
-    """node, final: following the smallest successor as long as there is one; a cycle ends at its first repeat.
-
-    edges has node, successor. One row per node with a successor.
-    """
-    step = edges.groupBy("node").agg(F.min("successor").alias("next"))
-    now = held(step.select("node", F.col("next").alias("at"), F.array("node").alias("seen")), "succession")
-    done = None
-    while True:
-        more = now.join(step.select(F.col("node").alias("at"), "next"), "at", "left")
-        ends = F.col("next").isNull() | F.array_contains("seen", F.col("next")) | F.array_contains("seen", F.col("at"))
-        more = held(more.select("node", F.when(ends, F.col("at")).otherwise(F.col("next")).alias("at"), F.when(ends, F.col("seen")).otherwise(F.concat("seen", F.array("at"))).alias("seen"), ends.alias("ends")), "succession")
-        over = more.where("ends").select("node", F.col("at").alias("final"))
-        done = over if done is None else done.unionByName(over)
-        now = more.where("not ends").select("node", "at", "seen")
-        if now.isEmpty():
-            return done
+    return per.select("cls", F.col("r")[0]["sup"].alias("parent"), F.array_join(F.array_sort(F.transform(F.slice("r", 2, F.size("r")), lambda x: x["sup"])), ",").alias("others"))

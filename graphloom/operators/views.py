@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.functions.terms import fold, token_key
-from graphloom.operators.closure import closure, final_successor, held
+from graphloom.operators.chains import final_successor
+from graphloom.operators.closure import closure, held
 from graphloom.operators.inference import TYPE
 
 LABEL = "rdfs:label"

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from graphloom.operators.chains import final_successor
+
 
 def newest(responses: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The newest row of each key."""
@@ -34,6 +36,16 @@ def resolve_aliases(requested: DataFrame, aliases: DataFrame, steps: int = 2) ->
     return out
 
 
+def resolve_chains(requested: DataFrame, aliases: DataFrame, records: DataFrame) -> DataFrame:
+    """title, target and the columns of records (target, ...): alias rows (source, target) followed to the end of the chain; no record gives nulls.
+
+    Of several targets of a source the smallest counts; aliases in a circle end at the first title met twice.
+    """
+    last = final_successor(aliases.select(F.col("source").alias("node"), F.col("target").alias("successor"))).select(F.col("node").alias("title"), "final")
+    found = requested.select("title").distinct().join(last.hint("merge"), "title", "left").select("title", F.coalesce("final", "title").alias("target"))
+    return found.join(records.hint("merge"), "target", "left").select("title", *records.columns)
+
+
 def json_rows(texts: DataFrame, column: str, value: str, key: str = "key") -> DataFrame:
     """One row per entry of a JSON object: the other columns, key, value of the given type."""
     rest = [c for c in texts.columns if c != column]
