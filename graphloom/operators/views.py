@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.functions.terms import fold, token_key
+from graphloom.functions.terms import fold
 from graphloom.operators.chains import final_successor
 from graphloom.operators.closure import closure, held
 from graphloom.operators.inference import TYPE
@@ -152,29 +152,6 @@ def quantile_breaks(values: DataFrame, ps: tuple[float, ...] = (0.2, 0.4, 0.6, 0
     return run.agg(F.array_sort(F.array_distinct(F.array(*cols))).alias("breaks"))
 
 
-def linked_mentions(questions: DataFrame, index: DataFrame, longest: int = 8, most: int = 6) -> DataFrame:
-    """qid, pos, n, text, candidates: longest names first, left to right, without overlaps.
-
-    questions has qid, text; index has key (folded words), entity.
-    """
-    words = questions.select("qid", F.split(token_key(F.col("text")), " ").alias("w"))
-    spans = words.select(
-        "qid",
-        F.explode(
-            F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.struct(i.alias("pos"), n.alias("n"), F.array_join(F.slice(F.col("w"), i, n), " ").alias("key")))).otherwise(F.expr("cast(array() as array<struct<pos: int, n: int, key: string>>)"))))
-        ).alias("x"),
-    ).select("qid", "x.*")
-    names = index.groupBy("key").agg(F.count_distinct("entity").alias("c"), F.array_join(F.slice(F.array_sort(F.collect_set("entity")), 1, most), ",").alias("candidates"))
-    names = names.where((F.col("c") <= most) & (F.length("key") >= 3)).drop("c")
-    found = spans.join(names, "key").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("rank"), "pos", "n", "key", "candidates"))).alias("items"))
-    kept = F.aggregate(
-        "items",
-        F.expr("cast(array() as array<struct<rank: int, pos: int, n: int, key: string, candidates: string>>)"),
-        lambda acc, x: F.when(F.exists(acc, lambda y: (y["pos"] < x["pos"] + x["n"]) & (x["pos"] < y["pos"] + y["n"])), acc).otherwise(F.concat(acc, F.array(x))),
-    )
-    return found.select("qid", F.inline(kept)).select("qid", "pos", "n", F.col("key").alias("text"), "candidates")
-
-
 def conflicts(proposals: DataFrame, types: DataFrame, prop: DataFrame, sub_class: DataFrame, disjoint: DataFrame) -> DataFrame:
     """id, side, known, new: classes that a proposed triple gives an end although it has a disjoint one.
 

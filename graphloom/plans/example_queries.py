@@ -7,9 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.terms import token_key
 from graphloom.operators import quality as Q
-from graphloom.operators import views as V
+from graphloom.operators.mentions import linked_mentions
 from graphloom.plans import composite_queries, graph_queries, view_queries  # noqa: F401
 from graphloom.plans.registry import ORACLES, QUERIES, query
 from graphloom.sources import landed
@@ -60,4 +59,4 @@ def u05(spark, d):
     name = F.concat_ws(" ", "p_name", "p_partkey")
     p = table(spark, d, "part")
     questions = p.select(F.col("p_partkey").alias("qid"), F.concat(F.lit("Where is "), name, F.lit("?")).alias("text"))
-    return V.linked_mentions(questions, p.select(token_key(name).alias("key"), iri("stadium", "p_partkey").alias("entity"))).select("qid", "pos", "n", "text")
+    return linked_mentions(questions, p.select(iri("stadium", "p_partkey").alias("entity"), name.alias("name"))).select("qid", "pos", "n", "text")

@@ -9,6 +9,7 @@ from graphloom.functions.terms import fold, token_key
 from graphloom.operators import views as V
 from graphloom.operators.chains import final_successor
 from graphloom.operators.inference import example_ontology
+from graphloom.operators.mentions import linked_mentions
 from graphloom.plans.registry import query
 from graphloom.sources.tables import LABEL, TYPE, graph, iri, table
 
@@ -347,8 +348,7 @@ def u03_all(spark, d):
 def u05(spark, d):
     p = table(spark, d, "part")
     questions = p.select(F.col("p_partkey").alias("qid"), F.concat(F.lit("Where is "), "p_name", F.lit("?")).alias("text"))
-    index = p.select(token_key(F.col("p_name")).alias("key"), iri("stadium", "p_partkey").alias("entity"))
-    return V.linked_mentions(questions, index).select("qid", "pos", "n", "text")
+    return linked_mentions(questions, p.select(iri("stadium", "p_partkey").alias("entity"), F.col("p_name").alias("name"))).select("qid", "pos", "n", "text")
 
 
 @query("u07_unknown_references", "SELECT DISTINCT 'kg:club/' || user_id AS ref FROM events WHERE user_id NOT IN (SELECT s_suppkey FROM supplier)")

@@ -147,9 +147,6 @@ def test_strict_quality(spark):
 def test_lanes_and_mentions(spark):
     s = spark.createDataFrame([(1, 10, 2000, 2003), (1, 11, 2001, 2002), (1, 12, 2002, 2005), (1, 13, 2003, 2004)], "k int, id long, start int, end int")
     assert dict(pairs(V.lanes(s, ["k"]), "id", "lane")) == {10: 0, 11: 1, 12: 1, 13: 0}
-    q = spark.createDataFrame([(1, "Who played for Old Trafford United or Old Trafford?")], "qid long, text string")
-    i = spark.createDataFrame([("old trafford", "st"), ("old trafford united", "club"), ("trafford", "x")], "key string, entity string")
-    assert pairs(V.linked_mentions(q, i), "pos", "text") == [(4, "old trafford united"), (8, "old trafford")]
 
 
 def test_conflicts_none_for_a_fitting_triple(spark):
