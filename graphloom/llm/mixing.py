@@ -83,14 +83,17 @@ def mix_to_weights(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block: in
 
     Returns one row per input row: id, source, size, source_size, target, copies, taken, and row_col (a written row number) if given. Null text has
     size 0; documents of size 0 take nothing; null sources form one source, the last; repeated rows count
-    each; an empty table gives an empty result; the random numbers depend on ids, texts and `seed`, those of
-    rows without an id on their place in the table.
+    each; an empty table gives an empty result. The random numbers depend on `seed` and on a row's rank by
+    source, id, text and size, so reruns agree however the rows lie: rows equal in all of these, with or without
+    an id, have ranks next to each other and may stand for one another, and no block has more of them than its share.
     """
     size = word_count(F.col("text")) if size is None else size
-    # a document's own number: of its id and text, so that reruns agree; rows without an id have their row's instead, lest they meet in one block
     row = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
-    own = F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col), F.col("text") if "text" in docs.columns else F.lit(0), F.lit(seed))).otherwise(F.xxhash64(row, F.lit(seed)))
-    sizes = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), row.cast("long").alias("row"), own.alias("u")), "sizes")
+    same = F.xxhash64("text") if "text" in docs.columns else F.lit(0).cast("long")
+    sizes = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), row.cast("long").alias("row"), same.alias("same")), "sizes")
+    # a document's own number: of its rank, which equal rows share among themselves and no place in the table decides
+    sizes = ranked(sizes, [F.col(c) for c in ("source", "id", "same", "size", "row")], "rank")
+    sizes = written(sizes.select("id", "source", "size", "row", F.xxhash64("rank", F.lit(seed)).alias("u")), "sizes")
     targets = written(source_targets(sizes, weights, most), "targets")
     named = targets.select(F.col("source").alias("_source"), "docs", "source_size", "target")
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)

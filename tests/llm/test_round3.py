@@ -275,3 +275,14 @@ def test_ngram_join_of_other_ids(spark, kind):
     for r in ngram_components(df, 3, 90, 100).collect():
         groups[r.component_id] += 1
     assert sorted(groups.values())[-2:] == [1, 15] and sum(groups.values()) == 32
+
+
+def test_mixing_reruns_agree_without_ids(spark):
+    from graphloom.llm.mixing import mix_to_weights
+
+    rows = [(None, f"w{i % 40} " * (1 + i % 9), "a" if i % 3 else "b") for i in range(300)] + [(7, "x y z", "a")] * 200
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    takes = lambda df: sorted(map(str, mix_to_weights(df).select("doc_id", "source", "size", "taken").collect()))
+    one = takes(docs.repartition(2))
+    assert one == takes(docs.repartition(5, "text")) == takes(docs.orderBy(F.desc("text")).coalesce(1))
+    assert len(one) == 500
