@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from graphloom.functions.terms import fold
 from graphloom.operators.chains import final_successor
 from graphloom.operators.closure import closure, held
+from graphloom.operators.grams import gram_index, ranked_search
 from graphloom.operators.inference import TYPE
 
 LABEL = "rdfs:label"
@@ -35,21 +36,8 @@ def name_index(triples: DataFrame, main: list[str]) -> DataFrame:
 
 
 def search(names: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """qid, entity, name, place: the k best names that contain each query (qid, text): equal, prefix, word start, inside; then shorter, then by name.
-
-    Names and queries meet on a shared piece of three letters, or of one or two for queries that have no more;
-    white space in queries counts as one space, empty queries find nothing.
-    """
-    of = lambda c, k: F.when(F.length(c) >= k, F.transform(F.sequence(F.lit(1), F.length(c) - (k - 1)), lambda i: F.substring(c, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-    pieces = lambda c: F.array_distinct(F.concat(of(c, 1), of(c, 2), of(c, 3)))
-    q = queries.select("qid", F.trim(F.regexp_replace(fold(F.col("text")), r"\s+", " ")).alias("q")).where("q <> ''")
-    q = q.withColumn("piece", F.substring("q", 1, 3))
-    n = names.withColumn("piece", F.explode(pieces(F.col("folded"))))
-    hit = n.join(q, "piece").where(F.contains("folded", F.col("q"))).drop("piece").distinct()
-    rank = F.when(F.col("folded") == F.col("q"), 0).when(F.startswith("folded", F.col("q")), 1).when(F.contains(F.concat(F.lit(" "), "folded"), F.concat(F.lit(" "), "q")), 2).otherwise(3)
-    best = hit.withColumn("rank", rank).groupBy("qid", "entity").agg(F.min(F.struct("rank", F.length("name").alias("n"), "name")).alias("b"))
-    place = F.row_number().over(Window.partitionBy("qid").orderBy("b.rank", "b.n", "b.name", "entity"))
-    return best.withColumn("place", place.cast("long")).where(F.col("place") <= k).select("qid", "entity", "b.name", "place")
+    """qid, entity, name, place: the k best names that contain each query (qid, text), by an index of the names made for it."""
+    return ranked_search(gram_index(names), queries, k)
 
 
 def counted(rows: DataFrame, order: str, name: str) -> DataFrame:
