@@ -68,7 +68,7 @@ def ranked_search(index: GramIndex, queries: DataFrame, k: int) -> DataFrame:
     counts by its best name. White space in queries counts as one space; null and empty queries find nothing.
     Queries of one text are answered once.
     """
-    asked = held(queries.select("qid", F.trim(F.regexp_replace(fold(F.col("text")), r"\s+", " ")).alias("q")).where("q <> ''"), "asked")
+    asked = queries.select("qid", F.trim(F.regexp_replace(fold(F.col("text")), r"\s+", " ")).alias("q")).where("q <> ''")
     hit = containing(index, asked)
     rank = F.when(F.col("folded") == F.col("q"), 0).when(F.startswith("folded", F.col("q")), 1).when(F.contains(F.concat(F.lit(" "), "folded"), F.concat(F.lit(" "), "q")), 2).otherwise(3)
     named = hit.withColumn("rank", rank).join(index.names.hint("merge"), "folded")

@@ -10,11 +10,13 @@ from graphloom.functions import terms as N
 TRIPLE = "array<struct<p: string, o: string, o_kind: string, dt: string, lang: string>>"
 
 
-def _fact(p: str, o: Column, kind: str = "lit", dt: str | None = None, lang: str | None = None) -> Column:
+def fact(p: str, o: Column, kind: str = "lit", dt: str | None = None, lang: str | None = None) -> Column:
+    """A triple of a record but for its subject."""
     return F.struct(F.lit(p).alias("p"), o.cast("string").alias("o"), F.lit(kind).alias("o_kind"), F.lit(dt).cast("string").alias("dt"), F.lit(lang).cast("string").alias("lang"))
 
 
-def _rows(records: DataFrame, facts: list[Column]) -> DataFrame:
+def facts_of(records: DataFrame, facts: list[Column]) -> DataFrame:
+    """s, p, o, o_kind, dt, lang: the facts of records (entity) that have a value."""
     every = F.filter(F.array(*facts), lambda f: f["o"].isNotNull() & (f["o"] != ""))
     return records.select(F.col("entity").alias("s"), F.explode(every).alias("f")).select("s", "f.*")
 
@@ -26,14 +28,14 @@ def core(records: DataFrame, site: str, lang: str, other_lang: str) -> DataFrame
     null or empty gives no triple. The source page's way back has the page as its subject.
     """
     page = N.page_url(F.col("title"), site)
-    own = _rows(
+    own = facts_of(
         records,
         [
-            _fact("rdf:type", F.col("cls"), "iri"), _fact("rdfs:label", F.col("title"), lang=lang), _fact("rdfs:label", F.col("en_title"), lang=other_lang),
-            _fact("owl:sameAs", F.col("qid_iri"), "iri"), _fact("kg:abstract", F.col("abstract"), lang=lang), _fact("rdfs:comment", N.short_abstract(F.col("abstract")), lang=lang),
-            _fact("kg:pageId", F.col("pageid"), dt="xsd:integer"), _fact("kg:revisionId", F.col("revid"), dt="xsd:integer"), _fact("kg:pageLength", F.col("length"), dt="xsd:integer"),
-            _fact("kg:page", page, "iri"), _fact("kg:derivedFrom", F.when(F.col("revid").isNotNull(), F.concat(page, F.lit("?oldid="), "revid")), "iri"),
-            _fact("kg:image", N.safe_iri(F.col("image")), "iri"),
+            fact("rdf:type", F.col("cls"), "iri"), fact("rdfs:label", F.col("title"), lang=lang), fact("rdfs:label", F.col("en_title"), lang=other_lang),
+            fact("owl:sameAs", F.col("qid_iri"), "iri"), fact("kg:abstract", F.col("abstract"), lang=lang), fact("rdfs:comment", N.short_abstract(F.col("abstract")), lang=lang),
+            fact("kg:pageId", F.col("pageid"), dt="xsd:integer"), fact("kg:revisionId", F.col("revid"), dt="xsd:integer"), fact("kg:pageLength", F.col("length"), dt="xsd:integer"),
+            fact("kg:page", page, "iri"), fact("kg:derivedFrom", F.when(F.col("revid").isNotNull(), F.concat(page, F.lit("?oldid="), "revid")), "iri"),
+            fact("kg:image", N.safe_iri(F.col("image")), "iri"),
         ],
     )
     back = records.where("title is not null").select(page.alias("s"), F.lit("kg:topic").alias("p"), F.col("entity").alias("o"), F.lit("iri").alias("o_kind"), *[F.lit(None).cast("string").alias(c) for c in ("dt", "lang")])
@@ -46,7 +48,7 @@ def coordinates(records: DataFrame) -> DataFrame:
     given = F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.struct(F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")))
     at = records.select("entity", F.coalesce(held, given).alias("at")).where("at is not null")
     lat, lon = (F.bround(F.col(f"at.{c}"), 6) for c in ("lat", "lon"))
-    return _rows(at, [_fact("geo:lat", lat, dt="xsd:double"), _fact("geo:long", lon, dt="xsd:double"), _fact("geo:point", F.concat_ws(" ", lat.cast("string"), lon.cast("string")))])
+    return facts_of(at, [fact("geo:lat", lat, dt="xsd:double"), fact("geo:long", lon, dt="xsd:double"), fact("geo:point", F.concat_ws(" ", lat.cast("string"), lon.cast("string")))])
 
 
 def link_iris(links: DataFrame, targets: DataFrame, namespace: str) -> DataFrame:

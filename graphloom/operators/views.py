@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable, Iterator
+from functools import partial
+from heapq import heappop, heappush
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -100,22 +105,37 @@ def relation_tree(edges: DataFrame, roots: DataFrame, fanout: tuple[int, ...] =
 
 
 def lanes(stations: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows (keys, id, start, end) with the first free lane: overlapping stations of a key go to different lanes."""
-    items = F.array_sort(F.collect_list(F.struct("start", "end", "id")))
-    fold_ = F.aggregate(
-        "items",
-        F.struct(F.expr("cast(array() as array<int>)").alias("ends"), F.expr("cast(array() as array<struct<id: bigint, lane: int>>)").alias("out")),
-        lambda acc, x: _place(acc, x),
-        lambda acc: acc["out"],
-    )
-    return stations.groupBy(*keys).agg(items.alias("items")).select(*keys, F.inline(fold_))
+    """keys, id, lane, beside of rows (keys, id, start, end): the first lane that is free at the start, and how many rows still run then.
 
-
-def _place(acc: Column, x: Column) -> Column:
-    free = F.array_position(F.transform(acc["ends"], lambda e: e <= x["start"]), True).cast("int")
-    lane = F.when(free > 0, free - 1).otherwise(F.size(acc["ends"]))
-    ends = F.when(free > 0, F.transform(acc["ends"], lambda e, i: F.when(i == free - 1, x["end"]).otherwise(e))).otherwise(F.concat(acc["ends"], F.array(x["end"])))
-    return F.struct(ends.alias("ends"), F.concat(acc["out"], F.array(F.struct(x["id"].cast("long").alias("id"), lane.alias("lane")))).alias("out"))
+    Rows are dealt by key and sorted by start, end and id; a sweep keeps the running rows' ends in a heap, so memory
+    grows with the rows that overlap, not with those of a key. A row ends before one that starts at its end; one
+    without an end keeps its lane; rows without a start are left out.
+    """
+    rows = stations.where("start is not null").select(*keys, "id", "start", "end").repartition(*keys).sortWithinPartitions(*keys, "start", F.col("end").asc_nulls_last(), "id")
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys, "id").schema]
+    return rows.mapInArrow(partial(_sweep, keys=keys), ", ".join([*fields, "lane int", "beside int"]))
+
+
+def _sweep(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    now, running, free, used = None, [], [], 0
+    for batch in batches:
+        out = []
+        key_of = zip(*(batch.column(k).to_pylist() for k in keys))
+        for key, start, end in zip(key_of, batch.column("start").to_pylist(), batch.column("end").to_pylist()):
+            if key != now:
+                now, running, free, used = key, [], [], 0
+            while running and running[0][0] <= start:
+                heappush(free, heappop(running)[1])
+            beside = used - len(free)
+            if free:
+                lane = heappop(free)
+            else:
+                lane, used = used, used + 1
+            if end is not None:
+                heappush(running, (end, lane))
+            out.append((lane, beside))
+        lane, beside = (pa.array([x[k] for x in out], pa.int32()) for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in [*keys, "id"]), lane, beside], names=[*keys, "id", "lane", "beside"])
 
 
 def direct_members(types: DataFrame, sub_class: DataFrame) -> DataFrame:

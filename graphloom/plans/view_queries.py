@@ -187,7 +187,7 @@ def b18(spark, d):
 @query("b19_career_lanes", "SELECT o_custkey, o_orderkey AS id, CAST(row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_orderkey) - 1 AS INTEGER) AS lane FROM orders")
 def b19(spark, d):
     y = F.year("o_orderdate")
-    return V.lanes(table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("id"), y.alias("start"), (y + 1).alias("end")), ["o_custkey"])
+    return V.lanes(table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("id"), y.alias("start"), (y + 1).alias("end")), ["o_custkey"]).drop("beside")
 
 
 @query("b20_career_span", "SELECT o_custkey, CAST(min(year(o_orderdate)) AS INTEGER) AS first, CAST(max(CASE WHEN o_orderstatus = 'O' THEN 2026 ELSE year(o_orderdate) END) AS INTEGER) AS last FROM orders GROUP BY o_custkey")
