@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -157,13 +158,18 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
     Returns one row per input row: id, n_words, n_removed, spans (removed word intervals), kept (the words
     that stay, joined by one space). Null and empty texts have no words; a text with fewer words than a
     window stays whole. Ids are integers that name one text: repeated rows are one document and give equal
-    results; a row with a null id keeps all its words and is no earlier place of any window. An empty table
-    gives an empty result; other columns are ignored. Exact but for collisions of 96-bit hashes.
+    results. Rows with a null id come after all others, in the order of a hash of their text; those of one text
+    are one document. Ids of other types than whole numbers raise TypeError, those from 2**62 on are not
+    told from nulls. An empty table gives an empty result; other columns are ignored. Exact but for collisions
+    of 96-bit hashes.
     """
     t = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = t.schema["id"].dataType.simpleString()
-    keyed = t.withColumn("row", F.col("id").cast("long"))
-    runs = repeated_runs(keyed.where("row is not null").select("row", "text"), window, gram)
+    if kind not in ("tinyint", "smallint", "int", "bigint") and not re.fullmatch(r"decimal\(\d+,0\)", kind):
+        raise TypeError(f"ids are {kind}, not whole numbers")
+    last = F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(1 << 62))  # from 2**62 on
+    keyed = t.withColumn("row", F.coalesce(F.col("id").cast("long"), last))
+    runs = repeated_runs(keyed.select("row", "text"), window, gram)
 
     kind_ = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
