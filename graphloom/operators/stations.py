@@ -47,8 +47,8 @@ def _lookup(pairs: dict[str, str | int], key: Column) -> Column:
 
 
 def _plain(team: Column) -> Column:
-    """The rendered text of a team without the marks of a loan."""
-    t = F.trim(X.render(team))
+    """The text of a rendered team without the marks of a loan."""
+    t = F.trim(team)
     t = F.when(t.startswith(LOAN_SIGN), F.ltrim(F.substring(t, F.lit(len(LOAN_SIGN) + 1), F.length(t)))).otherwise(t)
     for note in LOAN_NOTES:
         t = F.when(F.lower(t).endswith(note), F.rtrim(F.left(t, F.length(t) - len(note)))).otherwise(t)
@@ -80,23 +80,26 @@ def box_stations(fields: DataFrame, targets: DataFrame, classes: DataFrame, name
     fits = F.col("iri").isNotNull() & (F.col("cls").isNull() | (F.col("cls") == _lookup({f.kind: f.allow for f in families}, F.col("kind"))))
     first = F.min(F.when(fits, F.struct("pos", "iri", T.norm_title(F.coalesce("page", "title")).alias("label")))).alias("first")
     st = st.groupBy("entity", "idx", "kind", "team", "years", "apps", "goals").agg(first)
-    span, number = T.year_range(X.render(F.coalesce("years", F.lit("")))), lambda c: T.integer(X.render(F.col(c)))
-    return st.withColumn("span", span).select(
-        "entity", "idx", "kind", F.col("first.iri").alias("team"), F.coalesce("first.label", _plain(F.col("team"))).alias("label"), F.col("span.start").alias("start"), F.col("span.end").alias("end"),
-        number("apps").alias("apps"), number("goals").alias("goals"), T.on_loan(F.col("team")).alias("loan"),
+    shown = F.struct(X.render(F.coalesce("years", F.lit(""))).alias("years"), *[X.render(F.col(c)).alias(c) for c in ("apps", "goals")], F.when(F.col("first").isNull(), X.render(F.col("team"))).alias("label"))
+    st = st.select("entity", "idx", "kind", "first", F.col("team").alias("raw"), F.inline(F.array(shown)))  # a step of its own: each value is rendered once
+    st = st.select("*", F.inline(F.array(T.year_range(F.col("years")))))
+    return st.select(
+        "entity", "idx", "kind", F.col("first.iri").alias("team"), F.coalesce("first.label", _plain(F.col("label"))).alias("label"), "start", "end",
+        T.integer(F.col("apps")).alias("apps"), T.integer(F.col("goals")).alias("goals"), T.on_loan(F.col("raw")).alias("loan"),
     )
 
 
-def member_stations(memberships: DataFrame, classes: DataFrame, taken: DataFrame) -> DataFrame:
+def member_stations(memberships: DataFrame, classes: DataFrame, taken: DataFrame, order: tuple[str, ...] = ("team", "end", "apps", "goals")) -> DataFrame:
     """STATION rows from memberships (entity, team, label, start, end, apps, goals; the last four as text) of entities without a club station in `taken`.
 
     Teams of a class that is neither a club's nor a national team's are left out, unknown ones are clubs. Numbers go
-    on after those taken, by start (none first), team, end and the numbers.
+    on after those taken, by start (none first), then by the columns `order` (which memberships may have beside those
+    named): text would put Club 10 before Club 9.
     """
     have = taken.groupBy("entity").agg(F.max("idx").alias("last"), F.bool_or(F.col("kind") == CLUB).alias("club"))
     m = memberships.join(classes.select(F.col("iri").alias("team"), "cls").hint("merge"), "team", "left").where("cls is null or cls in ('kg:FootballClub', 'kg:NationalTeam')")
     m = m.join(have.hint("merge"), "entity", "left").where("not coalesce(club, false)")
-    place = F.row_number().over(Window.partitionBy("entity").orderBy(F.coalesce("start", F.lit("")), "team", "end", "apps", "goals"))
+    place = F.row_number().over(Window.partitionBy("entity").orderBy(F.coalesce("start", F.lit("")), *order))
     kind, number = F.when(F.col("cls") == "kg:NationalTeam", NATIONAL).otherwise(CLUB), lambda c: F.col(c).try_cast("double").cast("long").alias(c)
     return m.withColumn("idx", F.coalesce("last", F.lit(0)) + place).select(
         "entity", "idx", kind.alias("kind"), "team", F.coalesce("label", F.lit("")).alias("label"), T.leading_year(F.col("start")).alias("start"), T.leading_year(F.col("end")).alias("end"), number("apps"), number("goals"), F.lit(False).alias("loan")

@@ -12,7 +12,7 @@ from graphloom.operators.fusion import allowed
 from graphloom.operators.markup import infobox_parameters
 from graphloom.operators.records import link_iris
 from graphloom.plans.registry import query
-from graphloom.sources.tables import iri, table
+from graphloom.sources.tables import dealt, iri, table
 
 NOW = 2026
 _KINDS = {"kg:YouthStation": "youth", S.CLUB: "club", S.NATIONAL: "national team"}
@@ -67,16 +67,16 @@ def _sources(spark, d):
 
 def careers(spark, d):
     """The stations of every customer's page, or of the memberships where it has no club, and the parameters of all pages."""
-    fields = held(infobox_parameters(pages(spark, d), page="entity").select(F.col("page").alias("entity"), "key", "value"), "fields")
+    fields = held(infobox_parameters(dealt(pages(spark, d), "entity"), page="entity").select(F.col("page").alias("entity"), "key", "value"), "fields")
     targets, classes = _sources(spark, d)
     boxes = held(S.box_stations(fields, targets, classes, "kg:"), "stations")
     day, next_year = F.date_format("o_orderdate", "'+'yyyy-MM-dd"), F.concat(F.lit("+"), F.year("o_orderdate") + 1)
     text = lambda c, when: F.when(F.expr(when), F.expr(c).cast("string"))
     member = table(spark, d, "orders").where("o_orderstatus = 'F' and o_custkey % 5 = 0").select(
         iri("player", "o_custkey").alias("entity"), F.concat(F.lit("kg:Club_"), F.expr("o_orderkey % 120")).alias("team"), F.concat(F.lit("Club "), F.expr("o_orderkey % 120")).alias("label"),
-        day.alias("start"), F.when(F.expr("o_orderkey % 3 > 0"), next_year).alias("end"), text("o_orderkey % 40", "o_orderkey % 5 > 0").alias("apps"), text("o_orderkey % 7", "o_orderkey % 3 > 0").alias("goals"),
+        F.expr("o_orderkey % 120").alias("k"), "o_orderkey", day.alias("start"), F.when(F.expr("o_orderkey % 3 > 0"), next_year).alias("end"), text("o_orderkey % 40", "o_orderkey % 5 > 0").alias("apps"), text("o_orderkey % 7", "o_orderkey % 3 > 0").alias("goals"),
     )
-    return boxes.unionByName(S.member_stations(member, classes, boxes)), fields
+    return boxes.unionByName(S.member_stations(member, classes, boxes, ("k", "o_orderkey"))), fields
 
 
 @query("m22_stations_of_markup", f"WITH {_SQL} SELECT * FROM z")

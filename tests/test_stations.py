@@ -82,3 +82,12 @@ def test_empty_careers(spark):
     fields, targets, classes = _data(spark)
     none = S.box_stations(fields.limit(0), targets, classes, "k:")
     assert none.count() == 0 and S.timeline(none, 2026).count() == 0 and S.spans(none, 2026).count() == 0
+
+
+def test_memberships_go_by_the_order_given(spark):
+    fields, targets, classes = _data(spark)
+    rows = [("e", "k:Club_10", "+2001-01-01", "9", 10, 1), ("e", "k:Club_9", "+2001-01-01", "8", 9, 2), ("e", "k:Club_9", "+2001-01-01", "20", 9, 3)]
+    members = spark.createDataFrame(rows, "entity string, team string, start string, apps string, k int, place int").selectExpr("*", "team as label", "cast(null as string) as end", "cast(null as string) as goals")
+    taken = S.box_stations(fields.limit(0), targets, classes, "k:")
+    got = {r.idx: (r.team, r.apps) for r in S.member_stations(members, classes, taken, ("k", "place")).collect()}
+    assert got == {1: ("k:Club_9", 8), 2: ("k:Club_9", 20), 3: ("k:Club_10", 9)}
