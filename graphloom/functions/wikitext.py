@@ -60,6 +60,11 @@ NAMED, PLAIN = r"(?:\s*[\p{L}][\p{L}\p{N} _-]*=[^|\x06\x07]*\|)*", r"(?:\s*[0-9]
 REST = r"[^\x06\x07]*\x07"
 
 
+def _once(value: Column, use) -> Column:
+    """use(value) with the value worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _braces(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("{{"), F.lit(OPEN)), F.lit("}}"), F.lit(CLOSE))
 
@@ -72,7 +77,7 @@ def _depth(text: Column) -> Column:
 
 def _each_level(text: Column, step) -> Column:
     """Apply a step to a text as often as it has levels, so that templates of any depth are reached from the innermost on."""
-    return F.aggregate(F.sequence(F.lit(1), _depth(text)), text, lambda t, _: step(t))
+    return _once(text, lambda whole: F.aggregate(F.sequence(F.lit(1), _depth(whole)), whole, lambda t, _: step(t)))
 
 
 def _inner(text: Column) -> Column:
@@ -102,9 +107,12 @@ def _inner(text: Column) -> Column:
 
 def interpret(text: Column) -> Column:
     """Interpret nested templates, innermost first and of any depth: dates, heights, addresses, lists and wrappers stay, others go."""
-    t = F.regexp_replace(text, r"\|(?=[^\[\]]*\]\])", BAR)  # bars in a link are not those of its template
-    t = _each_level(_braces(t), _inner)
-    return F.replace(F.replace(F.translate(t, BAR, "|"), F.lit(OPEN), F.lit("{{")), F.lit(CLOSE), F.lit("}}"))
+    def levels(text: Column) -> Column:
+        t = F.regexp_replace(text, r"\|(?=[^\[\]]*\]\])", BAR)  # bars in a link are not those of its template
+        t = _each_level(_braces(t), _inner)
+        return F.replace(F.replace(F.translate(t, BAR, "|"), F.lit(OPEN), F.lit("{{")), F.lit(CLOSE), F.lit("}}"))
+
+    return _once(text, lambda t: F.when(t.rlike(r"\{\{|[\x01-\x08]"), levels(t)).otherwise(t))  # texts without templates stay as they are
 
 
 def outside(title: Column, namespaces: tuple[str, ...] = OTHER_NAMESPACES) -> Column:
@@ -115,6 +123,10 @@ def outside(title: Column, namespaces: tuple[str, ...] = OTHER_NAMESPACES) -> Co
 
 def unescape(text: Column) -> Column:
     """Character references as characters: decimal, hexadecimal, and those of ENTITIES; others stay."""
+    return _once(text, lambda t: F.when(F.contains(t, F.lit("&")), _unescape(t)).otherwise(t))
+
+
+def _unescape(text: Column) -> Column:
     found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(?:\d{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(0)))
     digits = lambda e: F.regexp_extract(e, r"([0-9a-fA-F]+);$", 1)
     number = lambda e: F.when(e.rlike("^&#[xX]"), F.conv(digits(e), 16, 10)).otherwise(digits(e)).cast("long")
@@ -128,6 +140,14 @@ def unescape(text: Column) -> Column:
 
 def render(text: Column, namespaces: tuple[str, ...] = OTHER_NAMESPACES) -> Column:
     """Text of a value: no comments, references, galleries or links outside of articles; links as their labels, line breaks as '; '."""
+    return _once(text, lambda t: F.when(t.rlike(_MARKED), _render(t, namespaces)).otherwise(t))
+
+
+#: What rendering may change; texts without it are their own rendering.
+_MARKED = r"[\x00-\x1f\u00a0{}\[\]<>&'();|]|  |^[ ,]|[ ,]$"
+
+
+def _render(text: Column, namespaces: tuple[str, ...]) -> Column:
     t = F.regexp_replace(text, r"(?s)<!--.*?-->", "")
     t = F.regexp_replace(t, r"(?is)<(?:ref|references|gallery)\b[^>]*/>|<(ref|references|gallery)\b.*?</\1\s*>", "")
     t = interpret(t)
@@ -166,12 +186,12 @@ def first_url(text: Column, endings: tuple[str, ...] = DOMAINS) -> Column:
 
 def _templates(text: Column, name: str) -> Column:
     """Bodies of the templates whose name begins as the pattern says, nested templates of any depth and all; unclosed ones are left out."""
-    pieces = F.split(F.concat(F.lit(" "), _braces(text)), rf"(?iu)(?=\x02\s*(?:(?:template|bản mẫu)\s*:\s*)?(?:{name}))")
-    rest = F.transform(F.sequence(F.lit(2), F.size(pieces)), lambda k: F.substring(F.array_join(F.slice(pieces, k, F.size(pieces)), ""), F.lit(2), F.length(text)))
+    split = F.split(F.concat(F.lit(" "), _braces(text)), rf"(?iu)(?=\x02\s*(?:(?:template|bản mẫu)\s*:\s*)?(?:{name}))")
+    rest = lambda pieces: F.transform(F.sequence(F.lit(2), F.size(pieces)), lambda k: F.substring(F.array_join(F.slice(pieces, k, F.size(pieces)), ""), F.lit(2), F.length(text)))
     done = lambda t: F.regexp_replace(t, r"\x02([^\x02\x03]*)\x03", "\x06$1\x07")
     body = lambda t: F.regexp_extract(_each_level(t, done), r"^\s*([^\x02\x03]*)\x03", 1)
     shown = lambda t: F.replace(F.replace(t, F.lit(DONE), F.lit("{{")), F.lit(ENDED), F.lit("}}"))
-    return F.when(F.size(pieces) > 1, F.filter(F.transform(rest, lambda t: shown(body(t))), lambda t: t != ""))
+    return _once(split, lambda pieces: F.when(F.size(pieces) > 1, F.filter(F.transform(rest(pieces), lambda t: shown(body(t))), lambda t: t != "")))
 
 
 def infobox(text: Column, aliases: tuple[str, ...] = ()) -> Column:
@@ -184,6 +204,10 @@ def infobox(text: Column, aliases: tuple[str, ...] = ()) -> Column:
 
 def params(body: Column) -> Column:
     """map of key to raw value of a template body; bars in links and nested templates do not split; the last of a key wins."""
+    return _once(body, _params)
+
+
+def _params(body: Column) -> Column:
     def hide(t: Column) -> Column:  # innermost links and templates first: their bars and brackets become control characters
         t = F.regexp_replace(t, r"\|(?=[^{}\[\]]*(?:\}\}|\]\]))", "\u0001")
         t = F.regexp_replace(t, r"\{\{([^{}|]*)\}\}", "\u0002\u0002$1\u0003\u0003")

@@ -8,7 +8,7 @@ from graphloom.functions import terms as N
 from graphloom.functions import wikitext as X
 from graphloom.operators import markup as M
 from graphloom.plans.registry import query
-from graphloom.sources.tables import table
+from graphloom.sources.tables import dealt, table
 
 
 @query("n01_norm_title", "SELECT p_partkey, upper(p_name[1]) || p_name[2:] AS title FROM part")
@@ -159,7 +159,7 @@ def v13(spark, d):
 
 def _boxes(spark, d):
     """A page of markup per customer: nested templates, links, references."""
-    c = table(spark, d, "customer").withColumn("y", F.expr("1950 + c_custkey % 50"))
+    c = dealt(table(spark, d, "customer"), "c_custkey").withColumn("y", F.expr("1950 + c_custkey % 50"))
     return c.select(
         "c_custkey",
         F.concat(
@@ -183,7 +183,7 @@ def x01(spark, d):
 
 def _shapes(spark, d):
     """A page per customer in four shapes: nested values, a brace that is never closed, a known family after another infobox, a file link of many bars."""
-    c, shape = table(spark, d, "customer"), F.expr("c_custkey % 4")
+    c, shape = dealt(table(spark, d, "customer"), "c_custkey"), F.expr("c_custkey % 4")
     lead = F.when(shape == 1, "{{never closed | a = ").when(shape == 2, "{{Infobox other|k=1}} ").otherwise("{{short|x}} ")
     name = F.when(shape == 2, "Known_family").otherwise("Infobox person")
     image = F.when(shape == 3, "[[File:a.jpg|thumb|left|x=1|alt|link|{{small|b|c=d}}]]").otherwise("")

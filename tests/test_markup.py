@@ -69,3 +69,19 @@ def test_render(spark, raw, want):
 def test_links_to_articles_only(spark):
     raw = "[[One]] [[template:x]] [[Wikipedia:y]] [[commons:X|l]] [[Thể loại:c]] [[fr:z]] [[Mission: Two]] [[one#part]]"
     assert spark.createDataFrame([(raw,)], "t string").select(X.links(F.col("t")).alias("v")).first().v == ["One", "Mission: Two"]
+
+
+def test_pages_are_read_where_they_are(spark):
+    """Neither parameters nor links move a page's tokens between tasks or sort them."""
+    pages = spark.createDataFrame([(1, PLAYER)], "page int, text string")
+    for df in (M.infobox_parameters(pages), M.page_links(pages), M.templates(pages)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" not in plan and "Sort" not in plan
+    parts = [(r.n, r.key, r.value) for r in M.templates(spark.createDataFrame([(1, "{{a|b|c=d=e||=f|[[g=|h]]=i}} {{j}}")], "page int, text string")).collect()]
+    assert parts == [(0, None, "a"), (1, None, "b"), (2, "c", "d=e"), (4, "", "f"), (5, "[[g=|h]]", "i"), (0, None, "j")]
+
+
+def test_values_are_worked_out_once(spark):
+    """A value that rendering uses in several places is in the plan once: it was 16 times."""
+    df = spark.createDataFrame([("x &amp; {{small|y}}",)], "t string").select(X.render(F.concat("t", F.lit("<marker>"))).alias("v"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("<marker>") == 1 and df.first().v == "x & y"
