@@ -17,14 +17,11 @@ def totals(given: DataFrame, parts: DataFrame) -> DataFrame:
 
 def raw_properties(rows: DataFrame, links: int = 10, chars: int = 500) -> DataFrame:
     """s, p, o, o_kind, dt from (s, key, raw): linked titles (up to `links`) if any, else the text unless longer than `chars`; digits are an xsd:integer."""
-    found = rows.withColumn("links", X.links(F.col("raw")))
-    none = F.lit(None).cast("string").alias("dt")
-    linked = found.where(F.size("links") > 0).select("s", F.col("key").alias("p"), F.explode(F.slice("links", 1, links)).alias("o"), F.lit("iri").alias("o_kind"), none)
-    text = found.where(F.size("links") == 0).select("s", F.col("key").alias("p"), X.render(F.col("raw")).alias("o"), F.lit("lit").alias("o_kind"))
-    text = text.where((F.col("o") != "") & (F.length("o") <= chars))
-    digits = F.col("o").rlike(r"^[0-9]+$")
-    number = text.withColumn("dt", F.when(digits, "xsd:integer")).withColumn("o", F.when(digits, F.regexp_replace("o", r"^0+(?=[0-9])", "")).otherwise(F.col("o")))
-    return linked.unionByName(number)
+    item = lambda o, kind: F.struct(o.alias("o"), F.lit(kind).alias("o_kind"))
+    items = F.transform(F.array(X.links(F.col("raw"))), lambda found: F.when(F.size(found) > 0, F.transform(F.slice(found, 1, links), lambda o: item(o, "iri"))).otherwise(F.array(item(X.render(F.col("raw")), "lit"))))[0]
+    out = rows.select("s", F.col("key").alias("p"), F.inline(items)).where((F.col("o_kind") == "iri") | ((F.col("o") != "") & (F.length("o") <= chars)))
+    digits = (F.col("o_kind") == "lit") & F.col("o").rlike(r"^[0-9]+$")
+    return out.select("s", "p", F.when(digits, F.regexp_replace("o", r"^0+(?=[0-9])", "")).otherwise(F.col("o")).alias("o"), "o_kind", F.when(digits, "xsd:integer").alias("dt"))
 
 
 def best(statements: DataFrame, keys: list[str], preferred: Column) -> DataFrame:

@@ -85,3 +85,12 @@ def test_values_are_worked_out_once(spark):
     """A value that rendering uses in several places is in the plan once: it was 16 times."""
     df = spark.createDataFrame([("x &amp; {{small|y}}",)], "t string").select(X.render(F.concat("t", F.lit("<marker>"))).alias("v"))
     assert df._jdf.queryExecution().optimizedPlan().toString().count("<marker>") == 1 and df.first().v == "x & y"
+
+
+def test_raw_properties_in_one_pass(spark):
+    from graphloom.operators.fusion import raw_properties
+
+    rows = [("a", "k", "[[One]] [[Two]]"), ("a", "n", "007"), ("a", "e", "<br>"), ("a", "z", None), ("a", "l", "x" * 501), ("a", "t", "{{small|t}}")]
+    df = raw_properties(spark.createDataFrame(rows, "s string, key string, raw string"))
+    assert sorted(map(tuple, df.collect()), key=str) == sorted([("a", "k", "One", "iri", None), ("a", "k", "Two", "iri", None), ("a", "n", "7", "lit", "xsd:integer"), ("a", "t", "t", "lit", None)], key=str)
+    assert "Union" not in df._jdf.queryExecution().optimizedPlan().toString()
