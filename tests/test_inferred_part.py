@@ -105,3 +105,27 @@ def test_proposals_add_what_the_fixpoint_of_each_adds(spark, tbox, every, stored
     assert (4, "kg:player/1", "kg:NationalTeam") in gained and (2, "kg:country/1", "kg:NationalTeamPlayer") in gained and not any(i == 5 for i, _, _ in gained)
     assert all(n in (s, o) for i, n, _ in gained for k, s, _, o in PROPOSED if k == i)
     assert {r.id: (r.domain, r.range) for r in W.property_axioms(proposed, tbox.prop).collect()}[7] == (None, None)
+
+
+def test_facts_are_told_apart_without_sorts_and_rounds_are_kept(spark):
+    """A round's facts are new ones, once each, in the table of all facts; their duplicates cost no sort."""
+    from graphloom.operators.inference import FACT, Known
+
+    rows = [("kg:a", "kg:p", "kg:b", "iri"), ("kg:a", "kg:p", "kg:b", "iri"), ("kg:a", "rdf:type", "kg:C", "iri")]
+    known = Known(spark)
+    first = known.add(spark.createDataFrame(rows, ", ".join(f"{c} string" for c in FACT)))
+    again = known.add(spark.createDataFrame([*rows, ("kg:b", "kg:q/r", "kg:a", "iri")], ", ".join(f"{c} string" for c in FACT)))
+    assert first == {"kg:p", "rdf:type"} and again == {"kg:q/r"}
+    assert known.add(spark.createDataFrame(rows, ", ".join(f"{c} string" for c in FACT))) == set()
+    assert sorted(map(tuple, known.facts().collect())) == sorted({*rows, ("kg:b", "kg:q/r", "kg:a", "iri")})
+    assert [tuple(r) for r in known.facts(1).collect()] == [("kg:b", "kg:q/r", "kg:a", "iri")]
+    assert {c.name for c in spark.catalog.listColumns(known.table)} == {"k", "s", "p", "o", "o_kind", "round"}
+
+
+def test_asserted_view_works_out_no_inference(spark, sf_dir, monkeypatch):
+    from graphloom.plans import stored_queries as Q
+
+    monkeypatch.setattr(Q.R, "inferred", None)
+    monkeypatch.setattr(Q, "_DERIVED", {})
+    monkeypatch.setattr(Q, "_STORED", {})
+    assert Q.s06(spark, sf_dir).count() == 16
