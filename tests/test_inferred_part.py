@@ -129,3 +129,16 @@ def test_asserted_view_works_out_no_inference(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(Q, "_DERIVED", {})
     monkeypatch.setattr(Q, "_STORED", {})
     assert Q.s06(spark, sf_dir).count() == 16
+
+
+def test_given_facts_that_no_rule_concludes_are_not_shuffled_and_inverses_do_not_lead_back(spark, tbox, every, monkeypatch):
+    added, inverted = [], []
+    add, inverse = R.Known.add, R.rule_inverse
+    monkeypatch.setattr(R.Known, "add", lambda self, found: added.append({r.p for r in found.select("p").distinct().collect()}) or add(self, found))
+    monkeypatch.setattr(R, "rule_inverse", lambda facts, axioms: inverted.append({r.p for r in facts.select("p").distinct().collect()}) or inverse(facts, axioms))
+    known = R.fixpoint(frame(spark, ROWS + ROWS), tbox)
+    assert added[0] == {"rdf:type", "kg:successor", "kg:locatedIn"} and set().union(*inverted) == {"kg:successor", "kg:playedFor"}
+    assert triples(known.facts()) == every
+    given = [("a", "kg:p", "b"), ("a", "kg:p", "b"), ("c", "kg:q", "a")]  # q has two inverses, and p and q are both given
+    more = R.Ontology(**{**tbox.__dict__, "inverse": R.small(spark, [("kg:p", "kg:q"), ("kg:q", "kg:r")], "p string, q string")})
+    assert triples(R.materialise(frame(spark, given), more)) == {("a", "kg:p", "b"), ("b", "kg:q", "a"), ("a", "kg:r", "b"), ("c", "kg:q", "a"), ("a", "kg:p", "c"), ("a", "kg:r", "c")}
