@@ -11,7 +11,7 @@ from graphloom.operators.chains import final_successor
 from graphloom.operators.inference import example_ontology
 from graphloom.operators.mentions import linked_mentions
 from graphloom.plans.registry import query
-from graphloom.sources.tables import LABEL, TYPE, graph, iri, table
+from graphloom.sources.tables import LABEL, TYPE, dealt, graph, iri, table
 
 _SUCC = "WITH RECURSIVE r(a, b) AS (SELECT n_nationkey, n_nationkey FROM nation UNION SELECT r.a, r.b // 2 FROM r WHERE r.b % 3 = 2), f AS (SELECT a, b FROM r WHERE b % 3 <> 2)"
 
@@ -339,9 +339,14 @@ SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(n AS INTEGER) AS n, array_to_st
 )
 def u03_all(spark, d):
     w = F.filter(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda x: x != "")
-    x = table(spark, d, "documents").select("doc_id", w.alias("w")).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(8)))).where(F.size("w") >= F.col("n"))
-    spans = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.struct(i.alias("pos"), F.col("n").alias("n"), F.array_join(F.slice("w", i, F.col("n")), " ").alias("gram")))
-    return x.select("doc_id", F.explode(spans).alias("s")).select("doc_id", "s.*")
+    x = dealt(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", w.alias("w"))
+    # a text is exploded once, to its positions with the words from there on; the longer grams of a position grow from the shorter ones
+    ahead = F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.slice("w", i, 8))
+    x = x.where(F.size("w") > 0).select("doc_id", F.posexplode(ahead).alias("pos", "a"))
+    x = x.select("doc_id", (F.col("pos") + 1).alias("pos"), "a", F.col("a")[0].alias("g1"))
+    for n in range(2, 9):
+        x = x.withColumn(f"g{n}", F.concat(f"g{n - 1}", F.lit(" "), F.get("a", F.lit(n - 1))))
+    return x.select("doc_id", "pos", F.posexplode(F.array(*[f"g{n}" for n in range(1, 9)])).alias("n", "gram")).where("gram is not null").select("doc_id", "pos", (F.col("n") + 1).alias("n"), "gram")
 
 
 @query("u05_linked_mentions", "SELECT p_partkey AS qid, CAST(pos AS INTEGER) AS pos, CAST(len(string_split(p_name, ' ')) AS INTEGER) AS n, lower(p_name) AS text FROM (SELECT p_partkey, p_name, 3 AS pos FROM part) WHERE p_name IN (SELECT p_name FROM part GROUP BY p_name HAVING count(*) <= 6)")
