@@ -46,11 +46,11 @@ def consequences(proposals: DataFrame, stored: DataFrame, tbox: Ontology) -> Dat
     delta = mine = _new(proposals, known, None)
     while not delta.isEmpty():
         few = delta.count() <= FEW
-        seed = delta.hint("broadcast") if few else delta
         found = [rule_sub_class(delta, classes), rule_sub_property(delta, props), rule_domain(delta, tbox.prop), rule_range(delta, tbox.prop), rule_inverse(delta, tbox.inverse)]
         for rule, a, b, axioms in pairs:
             if a and b:
-                found += [rule(seed.where(F.col("p").isin(a)), graph(b), axioms), rule(graph(a), seed.where(F.col("p").isin(b)), axioms)]
+                how = "broadcast" if few else None
+                found += [rule(delta.where(F.col("p").isin(a)), graph(b), axioms, (how, None)), rule(graph(a), delta.where(F.col("p").isin(b)), axioms, (None, how))]
                 found += [rule(delta, mine, axioms), rule(mine, delta, axioms)]
         delta = _new(reduce(DataFrame.unionByName, [f.select(*TAGGED) for f in found]), known, mine)
         mine = mine.unionByName(delta)
