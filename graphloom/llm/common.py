@@ -31,15 +31,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut, sizes are exact and a lost executor loses nothing."""
+    """Write df to the shared folder and read it back: lineage is cut, sizes are exact and a lost executor loses nothing. The shuffles of the write are deleted with its end."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_dropped(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.folder = path
     return out
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is run inside go when it ends, not when the driver happens to collect its garbage: what one table took is not on disk any more while the next one is made."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    held = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, held)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables of written() that nothing reads any more (what was made of them is written itself)."""
     for df in tables:

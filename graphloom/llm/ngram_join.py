@@ -384,10 +384,12 @@ def ngram_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100,
 
 def _components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     features = written(_features(docs, n, num, den), "features")
+    used: list[DataFrame] = []
     classes = written(
-        tree_merge(features.select("id", "size", "digest"), ["digest", "size"], fan_in=64).select("id", "size", F.when(F.col("size") > 0, F.col("keep.id")).otherwise(F.col("id")).alias("class")),
+        tree_merge(features.select("id", "size", "digest"), ["digest", "size"], fan_in=64, used=used).select("id", "size", F.when(F.col("size") > 0, F.col("keep.id")).otherwise(F.col("id")).alias("class")),
         "classes",
     )
+    release(*used)
     copies = written(classes.where("id <> class").select("id"), "copies")
     signed = sized_join(features.where("id is not null and size > 0").select("id", "size", "sigs"), copies, "id", "left_anti")
     often = written(signed.select(F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count("*").alias("n")).where("n > 1"), "often")
@@ -413,5 +415,6 @@ def _components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     nodes, hung = _forest(open_, docs, n, num, den)
     inside = nodes.select(F.explode("links").alias("l")).select("l.a", "l.b")
     last = links.union(inside).union(_leaf_links(_descend(nodes, hung, num, den), nodes, num, den))
-    last = components(last).withColumnRenamed("id", "class")
-    return sized_join(classes, written(last, "components"), "class", "left").select("id", F.col("size").alias("n_shingles"), F.coalesce("component", "class").alias("component_id"))
+    last = written(components(last).withColumnRenamed("id", "class"), "components")
+    release(open_, nodes, hung, links)
+    return sized_join(classes, last, "class", "left").select("id", F.col("size").alias("n_shingles"), F.coalesce("component", "class").alias("component_id"))
