@@ -1,4 +1,4 @@
-"""What proposed triples would add to the written graph, each on its own."""
+"""What proposed triples would add to the graph, each on its own."""
 
 from __future__ import annotations
 
@@ -11,50 +11,80 @@ from graphloom.operators.closure import held
 from graphloom.operators.inference import (
     FACT, TYPE, Ontology, rule_all_values, rule_chain, rule_domain, rule_inverse, rule_range, rule_some_values, rule_sub_class, rule_sub_property, schema_closure,
 )
+from graphloom.operators.sieve import sifted
 
 TAGGED = ["id", *FACT]
 #: Rows (of five short strings) up to which a side is broadcast.
 FEW = 200_000
+#: Classes of asked types up to which other types of the graph are left out before they are looked up.
+CLASSES = 1_000
 
 
 def _new(found: DataFrame, known: DataFrame, mine: DataFrame | None) -> DataFrame:
-    """Rows of found that neither the written graph nor the proposal itself has. Found is counted: few rows go to the buckets of the graph, more meet it by sort-merge."""
+    """Rows of found that neither the graph nor the proposal itself has. Found is counted: few rows go to where the graph's are, for more the graph is sifted, and what passes meets them by sort-merge."""
     found = held(found.select(*TAGGED).distinct(), "found")
     how = "broadcast" if found.count() <= FEW else "merge"
-    preds = [r.p for r in found.select("p").distinct().collect()]
-    asked = found.select(*FACT).distinct()
-    there = held(known.where(F.col("p").isin(preds)).join(asked.hint(how), FACT, "left_semi").select(*FACT).distinct(), "there")
+    asked, there = held(found.select(*FACT).distinct(), "asked"), known.where(F.col("p").isin([r.p for r in found.select("p").distinct().collect()])).select(*FACT)
+    classes = [r.o for r in asked.where(F.col("p") == TYPE).select("o").distinct().limit(CLASSES + 1).collect()]
+    there = there if len(classes) > CLASSES else there.where((F.col("p") != TYPE) | F.col("o").isin(classes))
+    there = there if how == "broadcast" else sifted(there, FACT, asked)
+    there = held(there.join(asked.hint(how), FACT, "left_semi").distinct(), "there")
     new = found.join(there.hint(how), FACT, "left_anti")
     return held(new if mine is None else new.join(mine.hint("merge"), TAGGED, "left_anti"), "delta")
 
 
-def consequences(proposals: DataFrame, stored: DataFrame, tbox: Ontology) -> DataFrame:
+def consequences(proposals: DataFrame, graph: DataFrame, tbox: Ontology) -> DataFrame:
     """id, s, p, o, o_kind: what each proposal (id, s, p, o, o_kind) adds to the graph, itself included, as if it were the only one.
 
-    stored is the written graph with its inferred part (parts.store): it is closed, so rules start from the
-    proposals only. A round applies them to what the last one found; premises come from the written graph, of the
-    predicates that the axioms name, or from what the same proposal has added. Found rows carry their proposal's
-    id and are joined to the graph by subject or object, so what is read beyond the scanned predicates grows with
-    the proposals, not with their number times the graph.
+    graph has the asserted triples and those that follow (parts.store, or both as they come): it is closed, so rules
+    start from the proposals only. A round applies them to what the last one found; premises come from the graph, of
+    the predicates that the axioms name, or from what the same proposal has added. An axiom runs only if the last
+    round has a predicate or class that it starts from. Found rows carry their proposal's id and are joined to the
+    graph by subject or object; of the graph only rows that pass a sieve of what is looked for are shuffled, so what is
+    moved grows with the proposals, not with the graph.
     """
-    known = stored.where(F.col("part") != "ontology")
+    known = graph.where(F.col("part") != "ontology")
     classes, props = schema_closure(tbox.sub_class), schema_closure(tbox.sub_prop)
-    of = lambda df, *cols: sorted({r[c] for r in df.collect() for c in cols})
-    lefts, rights, some, every = of(tbox.chain, "p1"), of(tbox.chain, "p2"), of(tbox.some_values, "p"), of(tbox.all_values, "p")
-    graph = lambda want: known.where(F.col("p").isin(want)).select(*FACT)
-    pairs = ((rule_chain, lefts, rights, tbox.chain), (rule_some_values, some, [TYPE], tbox.some_values), (rule_all_values, [TYPE], every, tbox.all_values))
-    delta = mine = _new(proposals, known, None)
-    while not delta.isEmpty():
-        few = delta.count() <= FEW
+    of = lambda df, c: {r[c] for r in df.collect()}  # noqa: E731  axioms, schema-sized
+    fillers, starts = of(tbox.some_values, "filler"), of(tbox.all_values, "cls")
+    # rule, predicates (and classes) of its two premises, its axioms, the columns by which the premises meet
+    pairs = (
+        (rule_chain, (of(tbox.chain, "p1"), None), (of(tbox.chain, "p2"), None), tbox.chain, ("o", "s")),
+        (rule_some_values, (of(tbox.some_values, "p"), None), ({TYPE}, fillers), tbox.some_values, ("o", "s")),
+        (rule_all_values, ({TYPE}, starts), (of(tbox.all_values, "p"), None), tbox.all_values, ("s", "s")),
+    )
+
+    def premise(df: DataFrame, want: tuple[set[str], set[str] | None]) -> DataFrame:
+        rows = df.where(F.col("p").isin(sorted(want[0])))
+        return rows if want[1] is None else rows.where(F.col("o").isin(sorted(want[1])))
+
+    def kinds(df: DataFrame) -> set[tuple[str, str | None]]:
+        """Predicates, and the classes of types that the axioms name."""
+        cls = F.when((F.col("p") == TYPE) & F.col("o").isin(sorted(fillers | starts)), F.col("o"))
+        return {(r.p, c) for r in df.select("p", cls.alias("c")).distinct().collect() for c in {r.c, None}}
+
+    def has(seen: set[tuple[str, str | None]], want: tuple[set[str], set[str] | None]) -> bool:
+        return any((p, c) in seen for p in want[0] for c in ({None} if want[1] is None else want[1]))
+
+    delta, mine, seen = _new(proposals, known, None), None, set()
+    while new := kinds(delta):
+        mine, seen, few = delta if mine is None else mine.unionByName(delta), seen | new, delta.count() <= FEW
         found = [rule_sub_class(delta, classes), rule_sub_property(delta, props), rule_domain(delta, tbox.prop), rule_range(delta, tbox.prop), rule_inverse(delta, tbox.inverse)]
-        for rule, a, b, axioms in pairs:
-            if a and b:
-                how = "broadcast" if few else None
-                found += [rule(delta.where(F.col("p").isin(a)), graph(b), axioms, (how, None)), rule(graph(a), delta.where(F.col("p").isin(b)), axioms, (None, how))]
-                found += [rule(delta, mine, axioms), rule(mine, delta, axioms)]
+        for rule, a, b, axioms, (left, right) in pairs:
+            how = "broadcast" if few else None
+            whole = lambda want, column, other, at: premise(known, want).select(*FACT) if few else sifted(premise(known, want).select(*FACT), [column], held(other.select(at).distinct(), "looked"))  # noqa: E731,B023
+            if has(new, a):
+                one = premise(delta, a)
+                found.append(rule(one, whole(b, right, one, left), axioms, (how, None)))
+                if has(seen, b):
+                    found.append(rule(one, premise(mine, b), axioms))
+            if has(new, b):
+                two = premise(delta, b)
+                found.append(rule(whole(a, left, two, right), two, axioms, (None, how)))
+                if has(seen, a):
+                    found.append(rule(premise(mine, a), two, axioms))
         delta = _new(reduce(DataFrame.unionByName, [f.select(*TAGGED) for f in found]), known, mine)
-        mine = mine.unionByName(delta)
-    return mine
+    return delta if mine is None else mine
 
 
 def gained_classes(proposals: DataFrame, added: DataFrame, own: str) -> DataFrame:
