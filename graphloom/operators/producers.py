@@ -54,9 +54,10 @@ _INTEGER = ("xsd:integer", "xsd:nonNegativeInteger")
 
 
 def _looked_up(df: DataFrame, other: DataFrame, key: str, applies: Column) -> DataFrame:
-    """Left join of the rows that `applies` holds for by their value; the others get keys that match nothing, dealt evenly."""
-    apart = F.concat(F.lit("\0"), F.xxhash64("entity", "value").cast("string"))
-    return df.withColumn("_key", F.when(applies, F.col("value")).otherwise(apart)).join(other.withColumnRenamed(key, "_key").hint("merge"), "_key", "left").drop("_key")
+    """Left join of the rows that `applies` holds for by their value; the others get nulls and are not shuffled."""
+    applies, added = F.coalesce(applies, F.lit(False)), [c for c in other.columns if c != key]
+    met = df.where(applies).join(other.withColumnRenamed(key, "value").hint("merge"), "value", "left").select(*df.columns, *added)
+    return met.unionByName(df.where(~applies).withColumns({c: F.lit(None).cast(other.schema[c].dataType) for c in added}))
 
 
 def _number(v: Column, digits: Column, dt: Column) -> Column:
@@ -65,43 +66,54 @@ def _number(v: Column, digits: Column, dt: Column) -> Column:
     return F.when(dt.isin(*_INTEGER), F.when(whole >= 0, whole.cast("string"))).otherwise(F.when(digits == 2, F.bround(v, 2)).otherwise(v).cast("string"))
 
 
-def produce(values: DataFrame, classes: DataFrame, within: DataFrame, rules: list[Rule], country: str | None = None) -> DataFrame:
-    """s, p, o, o_kind, dt, lang of all records, distinct.
+def produce(values: DataFrame, classes: DataFrame, within: DataFrame, rules: list[Rule], country: str | None = None, once: bool = True) -> DataFrame:
+    """s, p, o, o_kind, dt, lang of all records, distinct unless the caller does that (once).
 
     values has entity, cls, source (structured or box), prop, ord, kind (iri, lit, time), value, preferred and
     at (time of a value, null); classes value, target; within place, province. Values without a rule, null
-    values and numbers that cannot be read give no triple. Values are joined and dealt once for all rules. A
-    window holds what one record says of one property; where a rule keeps every value of every rank, values
-    are dealt by value instead.
+    values and numbers that cannot be read give no triple. Values are joined and dealt once for all rules, with the
+    number of their rule: its fields are looked up anew in each step, none is shuffled. Only links whose class
+    matters meet the classes, only values that a rule chooses among are dealt; where a rule keeps every value of
+    every rank, they stay where they are. A window holds what one record says of one property.
     """
     spark = values.sparkSession
     table = spark.createDataFrame([(k, *(list(x) if isinstance(x, tuple) else x for x in astuple(r))) for k, r in enumerate(rules)], _SCHEMA)
+    own = ["entity", "rule", "source", "ord", "kind", "value", "preferred", "at"]
+    told = lambda df: df.join(F.broadcast(table.drop("cls", "prop")), "rule")
     linked = F.col("kind") == "iri"
-    v = _looked_up(values.where("value is not null"), classes.select("value", "target"), "value", linked)
-    v = v.join(F.broadcast(table), ["cls", "prop"])
     structured, good = F.col("source") == STRUCTURED, F.coalesce("preferred", F.lit(False))
-    group = ["entity", "rule", "_deal"]
-    v = v.withColumn("_deal", F.when((F.col("how") == "union") & ~F.col("best"), F.xxhash64("value")).otherwise(0))
-    v = v.withColumn("_any", F.max(structured & good).over(Window.partitionBy(*group)))
-    v = v.where(~(F.col("best") & structured & F.col("_any")) | good)
+    v = values.where("value is not null").join(F.broadcast(table.select("rule", "cls", "prop")), ["cls", "prop"]).select(*own)
+    judged = (~structured | F.col("both")) & F.col("allow").isNotNull() | F.col("split").isNotNull()
+    v = _looked_up(told(v).select(*own, (linked & judged).alias("_judged")), classes.select("value", "target"), "value", F.col("_judged")).drop("_judged")
+
     fits = F.col("allow").isNull() | F.when(F.col("target").isNull(), ~F.col("known")).otherwise(F.array_contains("allow", F.col("target")))
     bad = linked & (~structured | F.col("both")) & ~fits
     read = F.col("value").try_cast("double") / F.when(structured, F.col("per")).otherwise(1.0)
-    v = v.withColumns({"_bad": bad, "_x": F.when(F.col("dt").isNotNull() & (F.col("kind") == "lit"), read)}).where("late or not _bad")
     outside = (F.col("source") == F.col("bound")) & ((F.col("_x") < F.col("low")) | (F.col("_x") > F.col("high")))
-    v = v.where(~F.coalesce(outside, F.lit(False)) & ~(F.col("other") & linked & (F.col("value") == F.col("entity"))))
+    alone = (F.col("how") == "union") & ~F.col("best")  # every value of every rank stays
+
+    def allowed(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumns({"_bad": bad, "_x": F.when(F.col("dt").isNotNull() & (F.col("kind") == "lit"), read)}).where("late or not _bad")
+        return rows.where(~F.coalesce(outside, F.lit(False)) & ~(F.col("other") & linked & (F.col("value") == F.col("entity"))))
 
+    group = ["entity", "rule"]
+    chosen = told(v).where(~alone).select(*own, "target").withColumn("_any", F.max(structured & good).over(Window.partitionBy(*group)))
+    chosen = allowed(told(chosen).where(~(F.col("best") & structured & F.col("_any")) | good))
     rank = F.when(structured == ~F.col("box_first"), 0).otherwise(1)
     time = F.when(F.col("how") == "latest", F.coalesce("at", F.lit(""))).otherwise("")
     in_order = Window.partitionBy(*group).orderBy(rank, time.desc(), "ord", "value")
-    v = v.withColumns({"_top": F.first(rank).over(in_order), "_n": F.row_number().over(in_order)})
+    chosen = chosen.withColumns({"_top": F.first(rank).over(in_order), "_n": F.row_number().over(in_order)})
     several = (rank == F.col("_top")) & (structured | (F.col("take") == 0) | (F.col("_n") <= F.col("take")))
-    v = v.where(F.when(F.col("how") == "union", True).when(F.col("how") == "fallback", several).otherwise(F.col("_n") == 1)).where("not _bad")
+    chosen = chosen.where(F.when(F.col("how") == "union", True).when(F.col("how") == "fallback", several).otherwise(F.col("_n") == 1))
+    kept = [*own, "target"]
+    v = chosen.where("not _bad").select(*kept).unionByName(allowed(told(v).where(alone)).where("not _bad").select(*kept))
 
     if any(r.within for r in rules):
-        inner = linked & F.col("within")
+        v = told(v).select(*kept, (linked & F.col("within")).alias("_inner"))
+        inner = F.col("_inner")
         v = _looked_up(v, within.select("place", "province"), "place", inner).where(~inner | F.col("province").isNotNull())
-        v = v.withColumn("value", F.when(inner, F.col("province")).otherwise(F.col("value"))).drop("province")
+        v = v.withColumn("value", F.when(inner, F.col("province")).otherwise(F.col("value"))).select(*kept)
+    v = told(v).withColumn("_x", F.when(F.col("dt").isNotNull() & (F.col("kind") == "lit"), read))
     if country is not None:
         v = v.where(~(linked & F.col("split").isNotNull() & (F.col("value") == country)))
 
@@ -120,7 +132,8 @@ def produce(values: DataFrame, classes: DataFrame, within: DataFrame, rules: lis
         fact(F.when(text | (time & (~day | F.col("year_too"))), F.col("year")), year, "lit", F.lit("xsd:gYear")),
     )
     full = F.filter(found, lambda f: f["p"].isNotNull() & f["o"].isNotNull() & (f["o"] != ""))
-    return v.select(F.col("entity").alias("s"), F.explode(full).alias("f")).select("s", "f.*").distinct()
+    out = v.select(F.col("entity").alias("s"), F.explode(full).alias("f")).select("s", "f.*")
+    return out.distinct() if once else out
 
 
 def former(values: DataFrame, cls: str, current: list[str]) -> DataFrame:
@@ -134,7 +147,7 @@ def former(values: DataFrame, cls: str, current: list[str]) -> DataFrame:
 
 
 def build(records: DataFrame, triples: DataFrame, groups: dict[str, str]) -> DataFrame:
-    """grp, s, p, o, o_kind, dt, lang: the triples whose subject is a record (entity, cls) with a group for its class, distinct."""
+    """grp, s, p, o, o_kind, dt, lang: the triples whose subject is a record (entity, cls) with a group for its class, distinct. Triples need not be: they are shuffled once, by subject."""
     pairs = F.create_map(*[F.lit(x) for kv in groups.items() for x in kv])
     seeds = records.select(F.col("entity").alias("s"), F.element_at(pairs, F.col("cls")).alias("grp")).where("grp is not null").distinct()
     return triples.join(seeds.hint("merge"), "s").select("grp", *TRIPLE).distinct()

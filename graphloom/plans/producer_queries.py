@@ -159,13 +159,13 @@ def values(spark, d: str, cls: str) -> DataFrame:
     return table(spark, d, name).selectExpr(f"{entity} as entity", f"'{cls}' as cls", f"explode(array({', '.join(rows)})) as v").select("entity", "cls", "v.*")
 
 
-def triples(spark, d: str, *classes: str) -> DataFrame:
-    """The triples of the records of some classes in one pass, FormerProvince types included."""
+def triples(spark, d: str, *classes: str, once: bool = True) -> DataFrame:
+    """The triples of the records of some classes in one pass, FormerProvince types included; distinct unless the caller does that (once)."""
     types = graph(spark, d).where(F.col("p") == TYPE).where(F.col("o").isin(PLAYER, CLUB, GROUND, AREA, LAND)).select(F.col("s").alias("value"), F.col("o").alias("target"))
     within = table(spark, d, "part").selectExpr("'kg:stadium/' || p_partkey as place", "'kg:province/' || (p_partkey % 25) as province")
     within = within.unionByName(table(spark, d, "nation").selectExpr("'kg:province/' || n_nationkey as place", "'kg:province/' || n_nationkey as province"))
     v = reduce(DataFrame.unionByName, [values(spark, d, c) for c in classes])
-    out = P.produce(v, types, within, [r for r in RULES if r.cls in classes], "kg:country/0")
+    out = P.produce(v, types, within, [r for r in RULES if r.cls in classes], "kg:country/0", once)
     return out.unionByName(P.former(values(spark, d, AREA), AREA, CURRENT)) if AREA in classes else out
 
 
@@ -293,4 +293,4 @@ GROUPS = {PLAYER: "players", CLUB: "teams", TEAM: "teams", GROUND: "places", SCH
 @query("m35_all_triples", " UNION ".join(f"SELECT '{GROUPS[c]}' AS grp, * FROM ({SQL[c]})" for c in GROUPS))
 def m35(spark, d):
     records = [table(spark, d, SPECS[c][0]).selectExpr(f"{SPECS[c][1]} as entity", f"'{c}' as cls") for c in GROUPS]
-    return P.build(reduce(DataFrame.unionByName, records), triples(spark, d, *GROUPS), GROUPS)
+    return P.build(reduce(DataFrame.unionByName, records), triples(spark, d, *GROUPS, once=False), GROUPS)
